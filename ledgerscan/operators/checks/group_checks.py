@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscan.functions import coerce as c
+from ledgerscan.functions import maths
 from ledgerscan.operators.checks import labels
 from ledgerscan.operators.checks.base import Check, grouped_result, text_key
 from ledgerscan.operators.checks.row_checks import account_combo_text, account_pair, combo_helpers
 
-WEIGHT = F.col("__weight")
+def _weight() -> Column:
+    """Rows of the key."""
+    return F.col("__weight")
 
 
 def _order(req: Check) -> Column:
@@ -22,7 +25,7 @@ def _order(req: Check) -> Column:
 def _rounded(req: Check, name: str) -> Column:
     """Amount as key text, rounded half-even; a missing amount is the empty key."""
     digits = req.whole("decimal_precision", 2)
-    return F.coalesce(F.bround(req.num(name), digits).cast("string"), F.lit(""))
+    return F.coalesce(maths.half_even(req.num(name), digits).cast("string"), F.lit(""))
 
 
 def duplicates(req: Check) -> DataFrame:
@@ -32,27 +35,27 @@ def duplicates(req: Check) -> DataFrame:
         for n in req.columns
     ]
     if req.check == "unique":
-        condition, word = WEIGHT == 1, labels.SINGLE
+        condition, word = _weight() == 1, labels.SINGLE
     else:
-        condition, word = (WEIGHT > 1) & (WEIGHT >= req.whole("min_count", 2)), labels.DUPLICATE
+        condition, word = (_weight() > 1) & (_weight() >= req.whole("min_count", 2)), labels.DUPLICATE
     aggs, others = {}, None
     if req.check == "duplicates" and req.param("keep_mode") in ("second", "first"):
         pick = F.min if req.param("keep_mode") == "second" else F.max
         aggs["__spared"] = pick(_order(req))
         others = _order(req) != F.col("__spared")
-    helpers = {"group_count": WEIGHT, "check_result": F.lit(word)}
+    helpers = {"group_count": _weight(), "check_result": F.lit(word)}
     return grouped_result(req, text_key(texts), aggs, condition, helpers, others, numbered=True)
 
 
 def duplicate_amount(req: Check) -> DataFrame:
     key = text_key([_rounded(req, n) for n in req.columns])
-    return grouped_result(req, key, {}, WEIGHT >= req.whole("min_count", 2), {"group_count": WEIGHT}, numbered=True)
+    return grouped_result(req, key, {}, _weight() >= req.whole("min_count", 2), {"group_count": _weight()}, numbered=True)
 
 
 def same_day_same_amount(req: Check) -> DataFrame:
     at, amount = req.required("date_col"), req.required("amount_col")
     key = text_key([c.text(c.day(req.moment(at))), _rounded(req, amount)])
-    return grouped_result(req, key, {}, WEIGHT >= req.whole("min_count", 2), {"group_count": WEIGHT}, numbered=True)
+    return grouped_result(req, key, {}, _weight() >= req.whole("min_count", 2), {"group_count": _weight()}, numbered=True)
 
 
 def repeated_invoice(req: Check) -> DataFrame:
@@ -70,37 +73,37 @@ def repeated_invoice(req: Check) -> DataFrame:
                 parts.append(_rounded(req, n))
         else:
             parts.append(c.normalized(n))
-    helpers = {"group_count": WEIGHT, "risk_level": F.lit(labels.HIGH)}
-    return grouped_result(req, text_key(parts), {}, WEIGHT >= req.whole("min_count", 2), helpers, numbered=True)
+    helpers = {"group_count": _weight(), "risk_level": F.lit(labels.HIGH)}
+    return grouped_result(req, text_key(parts), {}, _weight() >= req.whole("min_count", 2), helpers, numbered=True)
 
 
 def document_sequence_gap(req: Check) -> DataFrame:
     """Blank or repeated document numbers."""
     t = c.normalized(req.required("document_col", 0))
     helpers = {
-        "group_count": WEIGHT,
+        "group_count": _weight(),
         "check_result": F.lit(labels.BAD_DOCUMENT),
         "risk_level": F.lit(labels.MEDIUM),
     }
     blank = {"__blank": F.max(t == "")}
-    return grouped_result(req, {"__key": t}, blank, F.col("__blank") | (WEIGHT > 1), helpers)
+    return grouped_result(req, {"__key": t}, blank, F.col("__blank") | (_weight() > 1), helpers)
 
 
 def rare_user_transactions(req: Check) -> DataFrame:
     key = text_key([c.normalized(n) for n in req.columns])
-    helpers = {"group_count": WEIGHT, "risk_level": F.lit(labels.MEDIUM)}
-    return grouped_result(req, key, {}, WEIGHT <= req.whole("max_count", 3), helpers)
+    helpers = {"group_count": _weight(), "risk_level": F.lit(labels.MEDIUM)}
+    return grouped_result(req, key, {}, _weight() <= req.whole("max_count", 3), helpers)
 
 
 def user_intensity(req: Check) -> DataFrame:
     user, amount = req.required("user_col", 0), req.column("amount_col")
-    condition, aggs = WEIGHT >= req.whole("min_count", 100), {}
+    condition, aggs = _weight() >= req.whole("min_count", 100), {}
     if amount and req.param("amount_threshold") is not None:
         aggs["__sum"] = F.sum(F.abs(req.num(amount)))
         condition = condition | F.coalesce(F.col("__sum") >= req.number("amount_threshold", 0), F.lit(False))
     helpers = {
         "check_result": F.lit(labels.USER_INTENSITY),
-        "group_count": WEIGHT,
+        "group_count": _weight(),
         "risk_level": F.lit(labels.MEDIUM),
     }
     return grouped_result(req, {"__key": c.normalized(user)}, aggs, condition, helpers)
@@ -109,7 +112,7 @@ def user_intensity(req: Check) -> DataFrame:
 def rare_account_combo(req: Check) -> DataFrame:
     account, counter = account_pair(req)
     key = {"__key": account_combo_text(account, counter)}
-    condition = WEIGHT <= req.whole("max_count", 1)
+    condition = _weight() <= req.whole("max_count", 1)
     return grouped_result(req, key, {}, condition, combo_helpers(account, counter))
 
 
@@ -123,7 +126,7 @@ def split_transaction(req: Check) -> DataFrame:
     if not parts:
         raise ValueError("split_transaction: at least one group column is needed")
     size = F.abs(req.num(amount))
-    condition = (F.col("__sum") >= limit) & (WEIGHT >= req.whole("min_parts", 2))
+    condition = (F.col("__sum") >= limit) & (_weight() >= req.whole("min_parts", 2))
     helpers = {"group_total": F.col("__sum"), "risk_level": F.lit(labels.HIGH)}
     total = {"__sum": F.coalesce(F.sum(size), F.lit(0.0))}
     return grouped_result(req, text_key(parts), total, condition, helpers, size < limit, numbered=True)
@@ -137,7 +140,7 @@ def _exact(x: Column) -> Column:
 def single_leg_voucher(req: Check) -> DataFrame:
     voucher = req.required("voucher_col")
     debit, credit = req.column("debit_col"), req.column("credit_col")
-    condition, aggs = WEIGHT <= req.whole("min_rows", 1), {}
+    condition, aggs = _weight() <= req.whole("min_rows", 1), {}
     if debit and credit:
         aggs = {"__debit": F.sum(_exact(req.num(debit))), "__credit": F.sum(_exact(req.num(credit)))}
         d, k = F.col("__debit"), F.col("__credit")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscan.functions import coerce as c
+from ledgerscan.functions import maths
 from ledgerscan.operators import predicates as p
 from ledgerscan.operators.checks import labels
 from ledgerscan.operators.checks.base import (
@@ -174,8 +175,7 @@ def round_amounts(req: Check) -> DataFrame:
 
     def build(name: str) -> Column:
         x = F.abs(req.num(name)) if req.params.get("absolute", True) else req.num(name)
-        rest = x - F.floor(x / multiple) * multiple
-        return (x >= least) & (F.abs(rest) <= 1e-9)
+        return (x >= least) & (F.abs(maths.mod(x, multiple)) <= 1e-9)
 
     return _by_column(req, build, f"{multiple:g} katı yuvarlak tutar")
 
@@ -397,7 +397,7 @@ def benford(req: Check) -> DataFrame:
     """Rows whose leading digit is seen more or less often than log10(1 + 1/d) by over 0.08."""
     amount = req.columns[0]
     x = F.abs(req.num(amount))
-    whole = F.floor(F.when(x > req.number("min_amount", 0), x)).try_cast("decimal(38,0)")
+    whole = maths.floor(F.when(x > req.number("min_amount", 0), x)).try_cast("decimal(38,0)")
     digit = F.nullif(F.substring(whole.cast("string"), 1, 1), F.lit("0")).cast("int")
     df = req.df.withColumn("__digit", digit)
     counts = [F.count_if(F.col("__digit") == d) for d in range(1, 10)]

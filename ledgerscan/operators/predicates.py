@@ -282,7 +282,7 @@ OPERATORS: dict[str, Callable[[_Subject], Column]] = {
 }
 
 # These need a per-key count joined to the rows.
-COUNTING_OPERATORS = {"duplicate": F.col("__weight") > 1, "unique": F.col("__weight") == 1}
+COUNTING_OPERATORS = {"duplicate": "__weight > 1", "unique": "__weight = 1"}
 
 
 def mask_of(df: DataFrame, source: str | Column, cond: Condition, order_by=(), as_of=None) -> Column:
@@ -302,7 +302,7 @@ def with_condition(df: DataFrame, cond: Condition, order_by=(), as_of=None) -> t
         flag = f"__seen_{next(_fresh)}"
         key = {"__key": F.col(f"`{cond.column}`")}
         stats = keyed.group_stats(df, key, {})
-        out = keyed.attach(df, key, stats).withColumn(flag, COUNTING_OPERATORS[cond.operator]).drop("__weight", "__keep")
+        out = keyed.attach(df, key, stats).withColumn(flag, F.expr(COUNTING_OPERATORS[cond.operator])).drop("__weight", "__keep")
         return out, F.col(flag)
     return df, mask_of(df, cond.column, cond, order_by, as_of)
 
