@@ -44,7 +44,8 @@ def _by_words(req: Check, words: list[str], reason: str, operator: str = "regex"
 def _by_number(req: Check, operator: str, reason: str, value="", value2="") -> DataFrame:
     cond = p.Condition("", operator, value, value2, dtype="numeric")
     tested = [
-        Tested(label, p.mask_of(req.df, x, cond, order_by=req.order_by), x) for label, x in number_subjects(req)
+        Tested(label, p.mask_of(req.df, x, cond, order_by=req.order_by), _raw(label) if label in req.columns else x)
+        for label, x in number_subjects(req)
     ]
     return row_result(req, tested, reason)
 
