@@ -7,7 +7,7 @@ whole-stage code generation and messy text columns are parsed in the same pass a
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +35,14 @@ def _col(value: Column | str) -> Column:
     return F.col(f"`{value}`") if isinstance(value, str) else value
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it.
+
+    Filters evaluate a repeated subexpression every time it occurs; a lambda variable does not.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def is_numeric(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.NumericType, T.BooleanType))
 
@@ -60,15 +68,19 @@ def finite(x: Column) -> Column:
 
 def number_from_text(value: Column | str) -> Column:
     """Number hidden in text: currency signs, brackets for negatives, percent, either decimal mark."""
-    packed = F.regexp_replace(F.coalesce(_col(value).cast("string"), F.lit("")), r"^\s+|\s+$|[\x{00a0} ]", "")
-    negative = packed.rlike(r"^\(.*\)$")
-    percent = packed.endswith("%") | (negative & packed.endswith("%)"))
-    body = F.regexp_replace(packed, r"[^0-9,.eE+\-]", "")
-    comma_is_last_mark = body.contains(",") & ~F.substring_index(body, ",", -1).contains(".")
-    plain = F.when(comma_is_last_mark, F.translate(body, ",.", ".")).otherwise(F.translate(body, ",", ""))
-    parsed = plain.try_cast("double")
-    parsed = F.when(negative, -parsed).otherwise(parsed)
-    return finite(F.when(percent, parsed / 100).otherwise(parsed))
+
+    def with_signs(packed: Column) -> Column:
+        negative = packed.startswith("(") & packed.endswith(")")
+        percent = packed.endswith("%") | (negative & packed.endswith("%)"))
+        size = let(F.regexp_replace(packed, r"[^0-9,.eE+\-]", ""), with_decimal_mark)
+        return F.when(negative, -size).otherwise(size) / F.when(percent, F.lit(100.0)).otherwise(F.lit(1.0))
+
+    def with_decimal_mark(body: Column) -> Column:
+        comma_is_last_mark = body.contains(",") & ~F.substring_index(body, ",", -1).contains(".")
+        return F.when(comma_is_last_mark, F.translate(body, ",.", ".")).otherwise(F.translate(body, ",", "")).try_cast("double")
+
+    packed = F.translate(strip(text(value)), "\u00a0 ", "")
+    return let(let(packed, with_signs), finite)
 
 
 def number(value: Column | str, dtype: T.DataType) -> Column:

@@ -1,7 +1,7 @@
 """Statistics across several columns of one row.
 
-The number of columns is known when the plan is built, so sums and moments are written out as
-plain expressions; only order statistics use a small sorted array.
+Sums are written out over the columns; order statistics and moments work on the small array of the
+known values, bound once so that nested uses do not multiply the expression.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerscan.functions.coerce import let
+
 Numbers = Sequence[Column]
 
 # Euclid's algorithm needs at most this many steps for 64-bit integers.
@@ -39,7 +41,7 @@ def row_product(xs: Numbers) -> Column:
 
 
 def row_sumsq(xs: Numbers) -> Column:
-    return _total([_or_zero(x * x) for x in xs])
+    return _total([_or_zero(F.pow(x, F.lit(2.0))) for x in xs])
 
 
 def row_mean(xs: Numbers) -> Column:
@@ -60,10 +62,13 @@ def _sorted(xs: Numbers, ascending: bool = True) -> Column:
 
 def row_percentile(xs: Numbers, q: float) -> Column:
     """Linear interpolation between the two nearest ranks."""
-    ordered = _sorted(xs)
-    rank = (F.size(ordered) - 1) * F.lit(float(q))
-    low, high = F.get(ordered, F.floor(rank).cast("int")), F.get(ordered, F.ceil(rank).cast("int"))
-    return F.when(row_count(xs) > 0, low + (high - low) * (rank - F.floor(rank)))
+
+    def between(ordered: Column) -> Column:
+        rank = (F.size(ordered) - 1) * F.lit(float(q))
+        low, high = F.get(ordered, F.floor(rank).cast("int")), F.get(ordered, F.ceil(rank).cast("int"))
+        return F.when(F.size(ordered) > 0, low + (high - low) * (rank - F.floor(rank)))
+
+    return let(_sorted(xs), between)
 
 
 def row_median(xs: Numbers) -> Column:
@@ -78,37 +83,56 @@ def row_small(xs: Numbers, k: int) -> Column:
     return F.get(_sorted(xs), F.lit(k - 1))
 
 
+def _sum_of(known: Column, term) -> Column:
+    return F.aggregate(known, F.lit(0.0), lambda total, x: total + term(x))
+
+
+def _deviations(xs: Numbers, body) -> Column:
+    """``body(known values, their number, their mean, sum of squared deviations)``."""
+
+    def with_mean(known: Column) -> Column:
+        mean = F.try_divide(_sum_of(known, lambda x: x), F.size(known))
+        return let(F.struct(known.alias("known"), mean.alias("mean")), with_squares)
+
+    def with_squares(s: Column) -> Column:
+        squares = _sum_of(s["known"], lambda x: (x - s["mean"]) * (x - s["mean"]))
+        full = F.struct(s["known"].alias("known"), s["mean"].alias("mean"), squares.alias("squares"))
+        return let(full, lambda f: body(f["known"], F.size(f["known"]), f["mean"], f["squares"]))
+
+    return let(F.array_compact(F.array(*xs)), with_mean)
+
+
 def row_devsq(xs: Numbers) -> Column:
     """Sum of squared deviations from the row mean."""
-    mean = row_mean(xs)
-    return _total([_or_zero((x - mean) * (x - mean)) for x in xs])
+    return _deviations(xs, lambda known, n, mean, squares: squares)
 
 
 def row_var(xs: Numbers, ddof: int) -> Column:
-    n = row_count(xs)
-    return F.when(n > ddof, F.try_divide(row_devsq(xs), n - ddof))
+    return _deviations(xs, lambda known, n, mean, squares: F.when(n > ddof, F.try_divide(squares, n - ddof)))
 
 
 def row_std(xs: Numbers, ddof: int) -> Column:
     return F.sqrt(row_var(xs, ddof))
 
 
-def _standardized_moment(xs: Numbers, order: int) -> Column:
-    mean, std = row_mean(xs), row_std(xs, 0)
-    powers = [_or_zero(F.pow(F.try_divide(x - mean, std), F.lit(float(order)))) for x in xs]
-    return F.try_divide(_total(powers), row_count(xs))
-
-
 def row_skew(xs: Numbers) -> Column:
     """Population skewness; 0 for fewer than three values or no spread."""
-    defined = (row_count(xs) >= 3) & (row_std(xs, 0) > 0)
-    return F.when(defined, _standardized_moment(xs, 3)).otherwise(F.lit(0.0))
+
+    def body(known, n, mean, squares):
+        cubes = _sum_of(known, lambda x: F.pow(x - mean, F.lit(3.0)))
+        return F.when((n >= 3) & (squares > 0), cubes / n / F.pow(squares / n, F.lit(1.5))).otherwise(F.lit(0.0))
+
+    return _deviations(xs, body)
 
 
 def row_kurt(xs: Numbers) -> Column:
     """Population excess kurtosis; 0 for fewer than four values or no spread."""
-    defined = (row_count(xs) >= 4) & (row_std(xs, 0) > 0)
-    return F.when(defined, _standardized_moment(xs, 4) - 3).otherwise(F.lit(0.0))
+
+    def body(known, n, mean, squares):
+        fourths = _sum_of(known, lambda x: F.pow(x - mean, F.lit(4.0)))
+        return F.when((n >= 4) & (squares > 0), fourths / n / F.pow(squares / n, F.lit(2.0)) - 3).otherwise(F.lit(0.0))
+
+    return _deviations(xs, body)
 
 
 def _positive(xs: Numbers) -> list[Column]:
