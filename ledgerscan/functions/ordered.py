@@ -33,7 +33,7 @@ def rank(
     else:
         ranked = ordered.with_running_sum(F.col("__weight"), "__upto")
         ranked = ranked.withColumn(new_col, F.col("__upto") - F.col("__weight") + 1).drop("__upto")
-    return keyed.attach(df, keys, ranked.drop("__bucket")).drop("__weight", "__keep")
+    return keyed.attach(df, keys, ranked.drop("__bucket", "__at")).drop("__weight", "__keep")
 
 
 def _directed(order_by: Sequence[str], periods: int) -> list[Column]:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscan.functions import coerce as c
-from ledgerscan.plans import ordered
+from ledgerscan.plans import keyed, ordered
 
 QUANTILES = {"median": 0.5, "p25": 0.25, "p75": 0.75}
 AGGREGATES = [
@@ -27,7 +27,7 @@ def _aggregate(df: DataFrame, agg: str, column: str | None, order_by: Sequence[s
     if agg in ("first", "last"):
         if not order_by:
             raise ValueError("first/last need order_by columns")
-        order = F.when(raw.isNotNull(), F.struct(*[F.col(f"`{o}`") for o in order_by]))
+        order = F.when(raw.isNotNull(), keyed.order_key(order_by))
         return (F.min_by if agg == "first" else F.max_by)(raw, order)
     built = {
         "count": lambda: F.count(raw),
@@ -125,8 +125,6 @@ def sort_values(df: DataFrame, column: str, ascending: bool = True) -> DataFrame
 
 def with_group_totals(df: DataFrame, keys: Sequence[str], totals: dict[str, tuple[str, str]]) -> DataFrame:
     """Group sizes and sums kept on every row: ``totals`` maps a new name to ``(aggregate, column)``."""
-    from ledgerscan.plans import keyed
-
     key_cols = {f"__k{i}": F.col(f"`{k}`") for i, k in enumerate(keys)}
     aggs = {name: _aggregate(df, agg, column, ()) for name, (agg, column) in totals.items()}
     out = keyed.attach(df, key_cols, keyed.group_stats(df, key_cols, aggs))

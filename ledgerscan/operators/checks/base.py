@@ -178,11 +178,11 @@ def grouped_result(
     """
     numbered = numbered and req.helpers and bool(req.order_by)
     if numbered:
-        aggs = {**aggs, "__first": F.min(F.struct(*[F.col(f"`{o}`") for o in req.order_by]))}
+        aggs = {**aggs, "__first": F.min(keyed.order_key(req.order_by))}
     stats = keyed.group_stats(req.df, keys, aggs)
     if numbered:
         positions = OrderedRows(stats, ["__first"]).with_position("__group_id")
-        stats = positions.drop("__bucket")
+        stats = positions.drop("__bucket", "__at")
     out = keyed.attach(req.df, keys, stats, keep=group_condition if req.matched_only else None)
     match = group_condition if row_condition is None else group_condition & row_condition
     out = out.withColumn(MATCH, F.coalesce(match, F.lit(False)))

@@ -10,6 +10,7 @@ from ledgerscan.functions import maths
 from ledgerscan.operators.checks import labels
 from ledgerscan.operators.checks.base import Check, grouped_result, text_key
 from ledgerscan.operators.checks.row_checks import account_combo_text, account_pair, combo_helpers
+from ledgerscan.plans.keyed import order_key
 
 def _weight() -> Column:
     """Rows of the key."""
@@ -19,7 +20,7 @@ def _weight() -> Column:
 def _order(req: Check) -> Column:
     if not req.order_by:
         raise ValueError(f"{req.check}: keep_mode needs order_by columns that identify a row")
-    return F.struct(*[F.col(f"`{o}`") for o in req.order_by])
+    return order_key(req.order_by)
 
 
 def _rounded(req: Check, name: str) -> Column:

@@ -20,6 +20,7 @@ from ledgerscan.plans.tables import written
 MISSING_TEXTS = ["", "nan", "None"]
 POINTS = [0.05, 0.25, 0.5, 0.75, 0.95]
 LIST_SIZE = 3
+SMALL_VALUES = 100_000
 
 
 def _chosen(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
@@ -74,33 +75,47 @@ def text_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return out
 
 
-def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row per column with numbers: moments, exact quantiles, mode, signs, outliers."""
+def numeric_profile(
+    df: DataFrame, columns: Sequence[str] | None = None, small_values: int = SMALL_VALUES
+) -> DataFrame:
+    """One row per column with numbers: moments, exact quantiles, mode, signs, outliers.
+
+    Up to ``small_values`` distinct values the quantiles come from the built-in weighted aggregate,
+    whose buffer is then bounded; beyond that from the ordered layout.
+    """
     columns = _chosen(df, columns)
     numbers = _long(df, columns, lambda n: c.num(df, n)).filter("value is not null")
     numbers = written(numbers.groupBy("column", "value").count())
     x, n = F.col("value"), F.col("count")
     total = F.sum(n)
-    base = numbers.groupBy("column").agg(
+    aggs = [
         total.alias("n"),
         (F.sum(x * n) / total).alias("mean"),
         F.min(x).alias("min"),
         F.max(x).alias("max"),
-        F.max(F.struct(n.alias("n"), (-x).alias("x"))).alias("__mode"),
+        F.max(n).alias("__most"),
         F.sum(F.when(x < 0, n).otherwise(0)).alias("negative_count"),
         F.sum(F.when(x == 0, n).otherwise(0)).alias("zero_count"),
-    )
-    points = weighted_quantiles(numbers, POINTS)
-    first = F.broadcast(base.join(F.broadcast(points), "column"))
+    ]
+    if numbers.count() <= small_values:
+        points = F.percentile(x, F.array(*[F.lit(p) for p in POINTS]), n).alias("__points")
+        first = numbers.groupBy("column").agg(*aggs, points)
+        first = first.withColumns({_point_name(p): F.get("__points", F.lit(i)) for i, p in enumerate(POINTS)})
+        first = first.drop("__points")
+    else:
+        first = numbers.groupBy("column").agg(*aggs).join(F.broadcast(weighted_quantiles(numbers, POINTS)), "column")
+    # one row per column; written so that the second pass does not repeat the first
+    first = written(first.withColumns({"q1": F.col("percentile_25"), "q3": F.col("percentile_75")}))
     # deviations from the known mean, so that moments do not lose digits
     d = x - F.col("mean")
     fence = F.col("q3") - F.col("q1")
     outside = (x < F.col("q1") - 1.5 * fence) | (x > F.col("q3") + 1.5 * fence)
-    second = numbers.join(first, "column").groupBy("column").agg(
+    second = numbers.join(F.broadcast(first.withColumnRenamed("n", "__n")), "column").groupBy("column").agg(
         (F.sum(n * d * d) / total).alias("variance"),
         (F.sum(n * d * d * d) / total).alias("__m3"),
         (F.sum(n * d * d * d * d) / total).alias("__m4"),
         F.sum(F.when(outside, n).otherwise(0)).alias("outlier_count"),
+        F.min(F.when(n == F.col("__most"), x)).alias("mode"),
     )
     out = first.join(F.broadcast(second), "column")
     var = F.col("variance")
@@ -109,7 +124,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         "n",
         "mean",
         F.col("percentile_50").alias("median"),
-        (-F.col("__mode.x")).alias("mode"),
+        "mode",
         F.sqrt(var).alias("std"),
         "variance",
         "min",
@@ -135,23 +150,47 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     )
 
 
+def _point_name(point: float) -> str:
+    return f"percentile_{round(point * 100)}"
+
+
 def weighted_quantiles(numbers: DataFrame, points: Sequence[float]) -> DataFrame:
-    """Exact quantiles per column from distinct (column, value, count) rows."""
-    rows = ordered.OrderedRows(numbers, ["value"], ["column"]).with_running_sum(F.col("count"), "__upto", total="__n")
+    """Exact quantiles per column from distinct (column, value, count) rows, laid out in order.
+
+    Totals per bucket and column (a row per bucket, plus one per column) tell in which buckets the
+    wanted ranks fall; only the rows of those buckets are ranked.
+    """
+    rows = ordered.OrderedRows(numbers, ["value"], ["column"]).rows
+    totals = rows.groupBy("__bucket", "column").agg(F.sum("count").alias("__sum"))
+    per_column = Window.partitionBy("column")
+    before = F.sum("__sum").over(per_column.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select(
+        "*", F.coalesce(before, F.lit(0)).alias("__before"), F.sum("__sum").over(per_column).alias("__n")
+    )
+
+    def ranks(p: float) -> tuple[Column, Column]:
+        at = (F.col("__n") - 1) * F.lit(float(p))
+        return F.floor(at), F.ceil(at)
+
+    wanted = F.lit(False)
+    for p in points:
+        for rank in ranks(p):
+            wanted = wanted | ((rank >= F.col("__before")) & (rank < F.col("__before") + F.col("__sum")))
+    ranked = rows.join(F.broadcast(totals.filter(wanted)), ["__bucket", "column"])
+    in_bucket = Window.partitionBy("__bucket", "column").orderBy("__at")
+    ranked = ranked.withColumn("__upto", F.col("__before") + F.sum("count").over(in_bucket))
     picks = []
     for i, p in enumerate(points):
-        at = (F.col("__n") - 1) * F.lit(p)
-        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+        for side, rank in zip(("lo", "hi"), ranks(p), strict=True):
             here = (rank < F.col("__upto")) & (rank >= F.col("__upto") - F.col("count"))
             picks.append(F.max(F.when(here, F.col("value"))).alias(f"__{side}{i}"))
-    picked = rows.groupBy("column").agg(F.max("__n").alias("__n"), *picks)
+    picked = ranked.groupBy("column").agg(F.max("__n").alias("__n"), *picks)
     named = []
     for i, p in enumerate(points):
-        at = (F.col("__n") - 1) * F.lit(p)
+        at = (F.col("__n") - 1) * F.lit(float(p))
         low, high = F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        named.append((low + (high - low) * (at - F.floor(at))).alias(f"percentile_{round(p * 100)}"))
-    out = picked.select("column", *named)
-    return out.withColumns({"q1": F.col("percentile_25"), "q3": F.col("percentile_75")})
+        named.append((low + (high - low) * (at - F.floor(at))).alias(_point_name(p)))
+    return picked.select("column", *named)
 
 
 def histogram(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscan.functions import coerce as c
@@ -46,49 +46,64 @@ def _keyword_test(word: str, whole_word: bool):
     return lambda t: t.contains(folded) & t.rlike(pattern)
 
 
-def _keyword_hits(df: DataFrame, columns: Sequence[str], words: Sequence[str], whole_word: bool) -> DataFrame:
-    """``df`` with one boolean per keyword; the text of a column is folded once."""
-    columns = [n for n in columns if n in df.columns]
-    texts = df.select("*", *[c.folded(n).alias(f"__t{i}") for i, n in enumerate(columns)])
-    hits = []
-    for k, word in enumerate(words):
+def _keyword_tests(texts: Column, count: int, words: Sequence[str], whole_word: bool) -> list[Column]:
+    """One boolean per keyword over an array of folded texts."""
+    tests = []
+    for word in words:
         test = _keyword_test(word, whole_word)
         found = F.lit(False)
-        for i in range(len(columns)):
-            found = found | test(F.col(f"__t{i}"))
-        hits.append(found.alias(f"__k{k}"))
-    return texts.select(*[F.col(f"`{n}`") for n in df.columns], *hits)
+        for i in range(count):
+            found = found | test(F.get(texts, F.lit(i)))
+        tests.append(found)
+    return tests
+
+
+def _folded_texts(df: DataFrame, columns: Sequence[str]) -> tuple[Column, int]:
+    known = [n for n in columns if n in df.columns]
+    return F.array(*[c.folded(n) for n in known]), len(known)
 
 
 def keyword_scan(df: DataFrame, columns: Sequence[str], words: Sequence[str], mode: str = "tam") -> DataFrame:
     """Rows that hold any keyword, with the list of the matched ones as first column.
 
-    ``mode`` is ``tam`` (whole word) or ``icerik`` (anywhere in the text).
+    ``mode`` is ``tam`` (whole word) or ``icerik`` (anywhere in the text). Texts are folded once per
+    row; exploding the list of at most one result drops the other rows without a second evaluation.
     """
     words = list(dict.fromkeys(words))
-    hits = _keyword_hits(df, columns, words, mode != "icerik")
-    listed = F.concat_ws(", ", *[F.when(F.col(f"__k{k}"), F.lit(w)) for k, w in enumerate(words)])
-    out = hits.select(listed.alias(KEYWORDS), *[F.col(f"`{n}`") for n in df.columns])
-    return out.filter(F.col(f"`{KEYWORDS}`") != "")
+    texts, count = _folded_texts(df, columns)
+
+    def listed(folded: Column) -> Column:
+        tests = _keyword_tests(folded, count, words, mode != "icerik")
+        return F.concat_ws(", ", *[F.when(t, F.lit(w)) for t, w in zip(tests, words, strict=True)])
+
+    found = F.filter(F.array(c.let(texts, listed)), lambda v: v != "")
+    return df.select(F.explode(found).alias(KEYWORDS), *[F.col(f"`{n}`") for n in df.columns])
+
+
+def _keyword_flags(df: DataFrame, columns: Sequence[str], words: Sequence[str], mode: str) -> DataFrame:
+    texts, count = _folded_texts(df, columns)
+
+    def flags(folded: Column) -> Column:
+        return F.array(*_keyword_tests(folded, count, words, mode != "icerik"))
+
+    return df.select(c.let(texts, flags).alias("flags"))
 
 
 def keyword_counts(df: DataFrame, columns: Sequence[str], words: Sequence[str], mode: str = "tam") -> DataFrame:
     """Matched rows per keyword (also those never found)."""
     words = list(dict.fromkeys(words))
-    hits = _keyword_hits(df.select(*[f"`{n}`" for n in columns]), columns, words, mode != "icerik")
-    counts = hits.agg(*[F.count_if(f"__k{k}").alias(f"__k{k}") for k in range(len(words))])
-    pairs = F.array(*[F.struct(F.lit(w).alias("keyword"), F.col(f"__k{k}").alias("matched")) for k, w in enumerate(words)])
-    return counts.select(F.inline(pairs))
+    hits = _keyword_flags(df, columns, words, mode)
+    counts = hits.agg(*[F.count_if(F.get("flags", F.lit(k))).alias(f"__k{k}") for k in range(len(words))])
+    pairs = [F.struct(F.lit(w).alias("keyword"), F.col(f"__k{k}").alias("matched")) for k, w in enumerate(words)]
+    return counts.select(F.inline(F.array(*pairs)))
 
 
 def keyword_summary(df: DataFrame, columns: Sequence[str], words: Sequence[str], mode: str = "tam") -> DataFrame:
     """One row: scanned rows and matched rows."""
-    words = list(dict.fromkeys(words))
-    hits = _keyword_hits(df.select(*[f"`{n}`" for n in columns]), columns, words, mode != "icerik")
-    anything = F.lit(False)
-    for k in range(len(words)):
-        anything = anything | F.col(f"__k{k}")
-    return hits.agg(F.count(F.lit(1)).alias("total_rows"), F.count_if(anything).alias("matched_rows"))
+    hits = _keyword_flags(df, columns, list(dict.fromkeys(words)), mode)
+    return hits.agg(
+        F.count(F.lit(1)).alias("total_rows"), F.count_if(F.array_contains("flags", True)).alias("matched_rows")
+    )
 
 
 def _criteria(criteria: Sequence[dict]) -> list[tuple[str, list[str], list[str]]]:

@@ -11,6 +11,7 @@ joined back in one of two ways, chosen by its counted size:
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,12 @@ def group_stats(df: DataFrame, keys: dict[str, Column], aggs: dict[str, Column])
     )
 
 
+def order_key(order_by: Sequence[str]) -> Column:
+    """The order columns as one comparable value (a lone column stays bare: cheaper to aggregate)."""
+    columns = [F.col(f"`{o}`") for o in order_by]
+    return columns[0] if len(columns) == 1 else F.struct(*columns)
+
+
 def _on(left: DataFrame, right: DataFrame, keys: list[str], prefix: str) -> Column:
     return reduce(
         lambda a, b: a & b, [left[k].eqNullSafe(right[prefix + k]) for k in keys]

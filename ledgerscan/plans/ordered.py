@@ -24,7 +24,11 @@ def _columns(names: Sequence[str | Column]) -> list[Column]:
 
 
 class OrderedRows:
-    """Rows of ``df`` in buckets of ascending ``(partition_by, order_by)``."""
+    """Rows of ``df`` in buckets of ascending ``(partition_by, order_by)``.
+
+    Every row knows its bucket and its 0-based place in it (``__bucket``, ``__at``), both taken from
+    the sorted range partitions while they are written.
+    """
 
     def __init__(
         self,
@@ -36,12 +40,16 @@ class OrderedRows:
         if not order_by:
             raise ValueError("an order-dependent operator needs order_by columns")
         self.partition_by = list(partition_by)
-        self.order = _columns(order_by)
-        self.columns = df.columns
         count = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        layout = [*_columns(self.partition_by), *self.order]
-        placed = df.repartitionByRange(count, *layout).withColumn("__bucket", F.spark_partition_id())
-        self.rows = written(placed)
+        layout = [*_columns(self.partition_by), *_columns(order_by)]
+        placed = df.repartitionByRange(count, *layout).sortWithinPartitions(*layout)
+        placed = written(placed.withColumn("__id", F.monotonically_increasing_id()))
+        # the id holds the partition in its upper bits and the place inside it in the lower 33
+        self.rows = placed.select(
+            *df.columns,
+            F.shiftright("__id", 33).cast("int").alias("__bucket"),
+            F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)).alias("__at"),
+        )
 
     # -- pieces ---------------------------------------------------------------------------
 
@@ -49,15 +57,29 @@ class OrderedRows:
         return F.struct(F.lit(0).alias("__g"), *_columns(self.partition_by))
 
     def window(self):
-        return Window.partitionBy("__bucket", *_columns(self.partition_by)).orderBy(*self.order)
+        """Rows of one group inside one bucket, in order."""
+        return Window.partitionBy("__bucket", *_columns(self.partition_by)).orderBy("__at")
+
+    def _starts(self) -> DataFrame:
+        """One row per bucket: the number of rows in all earlier buckets."""
+        sizes = self.rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
+        before = F.sum("__n").over(
+            Window.partitionBy(F.lit(0)).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+        )
+        return sizes.select(F.col("__bucket").alias("__start_bucket"), F.coalesce(before, F.lit(0)).alias("__start"))
 
     def _edges(self, rows: DataFrame, aggs: dict[str, Column]) -> DataFrame:
         """Aggregates of the first and last group of every bucket: at most two rows per bucket."""
-        bounds = rows.groupBy(F.col("__bucket").alias("__edge_bucket")).agg(
-            F.min(self.group()).alias("__low"), F.max(self.group()).alias("__high")
-        )
-        at_edge = rows.join(F.broadcast(bounds), F.col("__bucket") == F.col("__edge_bucket")).filter(
-            self.group().eqNullSafe(F.col("__low")) | self.group().eqNullSafe(F.col("__high"))
+        if not self.partition_by:
+            return rows.groupBy("__bucket", self.group().alias("__group")).agg(*[c.alias(n) for n, c in aggs.items()])
+        sizes = self.rows.groupBy(F.col("__bucket").alias("__edge_bucket")).agg(F.count(F.lit(1)).alias("__n"))
+        ends = self.rows.join(F.broadcast(sizes), F.col("__bucket") == F.col("__edge_bucket"))
+        ends = ends.filter((F.col("__at") == 0) | (F.col("__at") == F.col("__n") - 1))
+        ends = ends.select("__edge_bucket", self.group().alias("__end")).distinct()
+        at_edge = rows.join(
+            F.broadcast(ends),
+            (F.col("__bucket") == F.col("__edge_bucket")) & self.group().eqNullSafe(F.col("__end")),
+            "left_semi",
         )
         return at_edge.groupBy("__bucket", self.group().alias("__group")).agg(
             *[c.alias(n) for n, c in aggs.items()]
@@ -74,14 +96,21 @@ class OrderedRows:
 
     # -- operators ------------------------------------------------------------------------
 
-    def with_position(self, name: str = "__position", rows: DataFrame | None = None) -> DataFrame:
+    def with_place(self, name: str = "__place") -> DataFrame:
+        """1-based place of every row in the whole order; no shuffle."""
+        starts = self._starts()
+        placed = self.rows.join(F.broadcast(starts), F.col("__bucket") == F.col("__start_bucket"))
+        return placed.withColumn(name, F.col("__start") + F.col("__at") + 1).drop("__start_bucket", "__start")
+
+    def with_position(self, name: str = "__position") -> DataFrame:
         """1-based position of every row inside its partition group."""
-        rows = self.rows if rows is None else rows
-        edges = self._edges(rows, {"__n": F.count(F.lit(1))})
+        if not self.partition_by:
+            return self.with_place(name)
+        edges = self._edges(self.rows, {"__n": F.count(F.lit(1))})
         edges = edges.select(
             "__bucket", "__group", F.coalesce(F.sum("__n").over(self._earlier()), F.lit(0)).alias("__before")
         )
-        placed = self._with_edges(rows, edges)
+        placed = self._with_edges(self.rows, edges)
         local = F.row_number().over(self.window())
         return placed.withColumn(name, local + F.coalesce("__before", F.lit(0))).drop("__before")
 
@@ -103,9 +132,9 @@ class OrderedRows:
         return out.drop("__v", "__before", "__whole")
 
     def with_last_known(self, value: Column, name: str) -> DataFrame:
-        """``value`` carried forward over nulls; the result also has ``__position``."""
-        rows = self.with_position().withColumn("__v", value)
-        known = F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col("__position")))
+        """``value`` carried forward over nulls."""
+        rows = self.rows.withColumn("__v", value)
+        known = F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col("__at")))
         edges = self._edges(rows, {"__last": known})
         edges = edges.select(
             "__bucket", "__group", F.last("__last", ignorenulls=True).over(self._earlier()).alias("__before")
@@ -115,24 +144,24 @@ class OrderedRows:
         return placed.withColumn(name, F.coalesce(local, F.col("__before"))).drop("__v", "__before")
 
     def with_halo(self, rows: DataFrame, depth: int) -> DataFrame:
-        """``rows`` (with ``__position``) plus, per bucket, copies of up to ``depth`` preceding rows.
+        """``rows`` plus, per bucket, copies of the ``depth`` rows before it in the whole order.
 
-        Copies carry ``__halo = true``. At most ``depth`` copies per bucket are made.
+        Copies carry ``__halo = true`` and a negative ``__at``, so they sort before the bucket's own
+        rows. A bucket gets at most ``depth`` copies, also when they come from several buckets.
         """
-        starts = self._edges(rows, {"__start": F.min("__position")}).filter("__start > 1")
+        starts = self._starts().filter("__start > 0")
         wanted = starts.select(
-            F.col("__bucket").alias("__for_bucket"),
-            "__group",
-            F.explode(
-                F.sequence(F.greatest(F.col("__start") - depth, F.lit(1)), F.col("__start") - 1)
-            ).alias("__wanted"),
+            F.col("__start_bucket").alias("__for_bucket"),
+            F.col("__start").alias("__for_start"),
+            F.explode(F.sequence(F.greatest(F.col("__start") - depth + 1, F.lit(1)), F.col("__start"))).alias("__wanted"),
         )
-        on = self.group().eqNullSafe(F.col("__group")) & (F.col("__position") == F.col("__wanted"))
+        sources = self._starts()
+        placed = rows.join(F.broadcast(sources), F.col("__bucket") == F.col("__start_bucket"))
         copies = (
-            rows.join(F.broadcast(wanted), on)
+            placed.join(F.broadcast(wanted), F.col("__start") + F.col("__at") + 1 == F.col("__wanted"))
             .withColumn("__bucket", F.col("__for_bucket"))
-            .drop("__for_bucket", "__group", "__wanted")
-            .withColumn("__halo", F.lit(True))
+            .withColumn("__at", F.col("__wanted") - F.col("__for_start") - 1)
+            .select(*rows.columns, F.lit(True).alias("__halo"))
         )
         return rows.withColumn("__halo", F.lit(False)).unionByName(copies)
 
@@ -147,11 +176,10 @@ def neighbours(
 ) -> DataFrame:
     """``outputs``: name -> function(window) giving a Column that looks back at most ``depth`` rows."""
     ordered = OrderedRows(df, order_by, partition_by)
-    rows = ordered.with_last_known(prepare[1], prepare[0]) if prepare else ordered.with_position()
-    window = Window.partitionBy("__bucket", *_columns(partition_by)).orderBy("__position")
+    rows = ordered.with_last_known(prepare[1], prepare[0]) if prepare else ordered.rows
     out = ordered.with_halo(rows, depth)
     for name, build in outputs.items():
-        out = out.withColumn(name, build(window))
+        out = out.withColumn(name, build(ordered.window()))
     return out.filter(~F.col("__halo")).select(*df.columns, *outputs)
 
 
@@ -172,12 +200,12 @@ def quantiles(
     keys = list(keys)
     largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if largest <= limit:
-        exprs = [
-            F.percentile(F.col(f"`{v}`"), F.lit(p)).alias(f"{v}__q{i}")
-            for v in values
-            for i, p in enumerate(points)
-        ]
-        return df.groupBy(*keys).agg(*exprs)
+        # one aggregate per column serves all points
+        wanted = F.array(*[F.lit(float(p)) for p in points])
+        found = df.groupBy(*keys).agg(*[F.percentile(F.col(f"`{v}`"), wanted).alias(f"__{v}") for v in values])
+        return found.select(
+            *keys, *[F.get(f"__{v}", F.lit(i)).alias(f"{v}__q{i}") for v in values for i in range(len(points))]
+        )
 
     long = df.select(
         *keys,

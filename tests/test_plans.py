@@ -70,14 +70,10 @@ def test_halo_reaches_over_several_buckets(spark):
     df = spark.range(40).select(F.col("id").alias("ord"), (F.col("id") * 2.0).alias("x"))
     ordered = OrderedRows(df, ["ord"], buckets=30)
     assert ordered.rows.select("__bucket").distinct().count() > 15
-    placed = ordered.with_position()
-    positions = {r["ord"]: r["__position"] for r in placed.collect()}
+    positions = {r["ord"]: r["__position"] for r in ordered.with_position().collect()}
     assert positions == {i: i + 1 for i in range(40)}
-    halo = ordered.with_halo(placed, 5)
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("__bucket").orderBy("__position")
-    lagged = halo.withColumn("l", F.lag("x", 5).over(w)).filter("not __halo")
+    halo = ordered.with_halo(ordered.rows, 5)
+    lagged = halo.withColumn("l", F.lag("x", 5).over(ordered.window())).filter("not __halo")
     assert {r["ord"]: r["l"] for r in lagged.collect()} == {i: (i - 5) * 2.0 if i >= 5 else None for i in range(40)}
 
 
@@ -125,6 +121,8 @@ def test_profile_matches_pandas(df, pdf):
     assert row["median"] == x.median() and row["q1"] == x.quantile(0.25)
     z = (x - x.mean()) / x.std(ddof=0)
     assert row["skewness"] == pytest.approx((z**3).mean()) and row["kurtosis"] == pytest.approx((z**4).mean() - 3)
+    spread = profile.numeric_profile(df, ["x", "ord"], small_values=0).toPandas().set_index("column")
+    pd.testing.assert_frame_equal(out.sort_index(), spread.sort_index())
     bins = profile.histogram(df, ["x"]).orderBy("bin").toPandas()["rows"].tolist()
     assert bins == np.histogram(x, bins=min(20, max(5, int(np.sqrt(len(x))))))[0].tolist()
 
