@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerscan.operators.checks import group_checks as g
 from ledgerscan.operators.checks import row_checks as r
 from ledgerscan.operators.checks.base import HELPER_COLUMNS, MATCH, Check
+from ledgerscan.plans.tables import written
 
 CHECKS: dict[str, Callable[[Check], DataFrame]] = {
     "empty": r.empty,
@@ -71,6 +72,27 @@ CHECKS: dict[str, Callable[[Check], DataFrame]] = {
     "journal_risk": r.journal_risk,
 }
 
+# Checks that compare a row with other rows.
+WHOLE_TABLE = {
+    "top_n",
+    "bottom_n",
+    "random_n",
+    "duplicates",
+    "unique",
+    "duplicate_amount",
+    "same_day_same_amount",
+    "duplicate_invoice_payment",
+    "reversal_check",
+    "document_sequence_gap",
+    "rare_user_transactions",
+    "user_intensity",
+    "rare_account_combo",
+    "split_transaction",
+    "single_leg_voucher",
+    "debit_credit_imbalance",
+    "benford",
+}
+
 # Checks whose columns all come from parameters.
 WITHOUT_COLUMNS = {
     "journal_risk",
@@ -95,11 +117,13 @@ def annotate(
     order_by: Sequence[str] = (),
     as_of=None,
     matched_only: bool = False,
+    base: DataFrame | None = None,
     **params,
 ) -> DataFrame:
     """All rows of ``df`` with the boolean ``__match`` and the helper columns of the check.
 
-    ``matched_only`` lets a grouped check drop the other rows early.
+    ``matched_only`` lets a grouped check drop the other rows early; ``base`` is the plain table whose
+    rows ``df`` annotates, so that statistics need not go through earlier annotations.
     """
     if check not in CHECKS:
         raise ValueError(f"Unsupported check: {check}")
@@ -109,7 +133,7 @@ def annotate(
         raise ValueError(f"{check}: choose at least one column")
     request = Check(
         df, check, columns, method or params.get("column_method") or "any", name or check, helpers, order_by, as_of,
-        matched_only, params,
+        matched_only, params, base,
     )
     if request.method == "compare_columns" and len(columns) >= 2:
         return r.compared_columns(request)
@@ -125,10 +149,19 @@ def run_check(df: DataFrame, check: str, columns: Sequence[str] | str = (), scop
 
 
 def chain_and(df: DataFrame, checks: Sequence[dict]) -> DataFrame:
-    """Checks one after another: a later check sees only the rows left by the earlier ones."""
+    """Checks one after another: a later check sees only the rows left by the earlier ones.
+
+    A check over the whole table reads its input twice. After an earlier one of that kind the rows
+    left so far are written first, so that a long chain does not repeat its beginning.
+    """
     if not checks:
         raise ValueError("The check chain is empty")
+    joined = False
     for spec in checks:
+        if spec["check"] in WHOLE_TABLE:
+            if joined:
+                df = written(df)
+            joined = True
         df = run_check(df, **spec)
     return df
 
@@ -139,7 +172,7 @@ def chain_or(df: DataFrame, checks: Sequence[dict]) -> DataFrame:
         raise ValueError("The check chain is empty")
     out, marks, explained = df, [], {}
     for i, spec in enumerate(checks):
-        out = annotate(out, **spec)
+        out = annotate(out, base=df, **spec)
         mark = f"__hit{i}"
         marks.append(F.col(mark))
         out = out.withColumnRenamed(MATCH, mark)

@@ -43,6 +43,12 @@ class Check:
     as_of: object = None
     matched_only: bool = False
     params: dict = field(default_factory=dict)
+    base: DataFrame | None = None
+
+    @property
+    def source(self) -> DataFrame:
+        """Where statistics over all rows come from: ``df``, or the plain table whose rows ``df`` annotates."""
+        return self.df if self.base is None else self.base
 
     def param(self, key: str, default=None):
         value = self.params.get(key)
@@ -179,7 +185,7 @@ def grouped_result(
     numbered = numbered and req.helpers and bool(req.order_by)
     if numbered:
         aggs = {**aggs, "__first": F.min(keyed.order_key(req.order_by))}
-    stats = keyed.group_stats(req.df, keys, aggs)
+    stats = keyed.group_stats(req.source, keys, aggs)
     if numbered:
         positions = OrderedRows(stats, ["__first"]).with_position("__group_id")
         stats = positions.drop("__bucket", "__at")

@@ -44,7 +44,7 @@ def _by_words(req: Check, words: list[str], reason: str, operator: str = "regex"
 def _by_number(req: Check, operator: str, reason: str, value="", value2="") -> DataFrame:
     cond = p.Condition("", operator, value, value2, dtype="numeric")
     tested = [
-        Tested(label, p.mask_of(req.df, x, cond, order_by=req.order_by), _raw(label) if label in req.columns else x)
+        Tested(label, p.mask_of(req.source, x, cond, order_by=req.order_by), _raw(label) if label in req.columns else x)
         for label, x in number_subjects(req)
     ]
     return row_result(req, tested, reason)
@@ -401,7 +401,7 @@ def benford(req: Check) -> DataFrame:
     shown = F.coalesce(F.when(whole < 1e18, whole.cast("long")).cast("string"), whole.try_cast("decimal(38,0)").cast("string"))
     digit = F.nullif(F.substring(shown, 1, 1), F.lit("0")).cast("int")
     # nine counts at most, so the shares fit a one-row map; the subquery keeps the deviating digits
-    counts = req.df.select(digit.alias("digit")).filter("digit is not null").groupBy("digit").count()
+    counts = req.source.select(digit.alias("digit")).filter("digit is not null").groupBy("digit").count()
     one = counts.agg(
         F.map_from_entries(F.collect_list(F.struct("digit", "count"))).alias("rows"), F.sum("count").alias("total")
     ).select(F.transform_values("rows", lambda _, n: n / F.col("total")).alias("shares"))

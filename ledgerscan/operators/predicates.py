@@ -294,17 +294,23 @@ def mask_of(df: DataFrame, source: str | Column, cond: Condition, order_by=(), a
     return F.coalesce(OPERATORS[cond.operator](_Subject(df, source, cond, order_by, as_of)), F.lit(False))
 
 
-def with_condition(df: DataFrame, cond: Condition, order_by=(), as_of=None) -> tuple[DataFrame, Column]:
-    """``df`` (with a helper column if the operator needs one) and the boolean column of the condition."""
+def with_condition(
+    df: DataFrame, cond: Condition, order_by=(), as_of=None, base: DataFrame | None = None
+) -> tuple[DataFrame, Column]:
+    """``df`` (with a helper column if the operator needs one) and the boolean column of the condition.
+
+    ``base`` is the table without helper columns of earlier conditions; statistics come from it.
+    """
+    base = df if base is None else base
     if cond.column not in df.columns:
         raise ValueError(f"Column not found: {cond.column}")
     if cond.enabled and cond.operator in COUNTING_OPERATORS:
         flag = f"__seen_{next(_fresh)}"
         key = {"__key": F.col(f"`{cond.column}`")}
-        stats = keyed.group_stats(df, key, {})
+        stats = keyed.group_stats(base, key, {})
         out = keyed.attach(df, key, stats).withColumn(flag, F.expr(COUNTING_OPERATORS[cond.operator])).drop("__weight", "__keep")
         return out, F.col(flag)
-    return df, mask_of(df, cond.column, cond, order_by, as_of)
+    return df, mask_of(base, cond.column, cond, order_by, as_of)
 
 
 def where_conditions(
@@ -319,22 +325,22 @@ def where_conditions(
 
 def where_tree(df: DataFrame, node: dict | Condition | None, order_by=(), as_of=None) -> DataFrame:
     """Rows that pass a nested group ``{"logic": "and" | "or", "children": [...]}``."""
-    out, mask = _tree(df, node, order_by, as_of, depth=0)
+    out, mask = _tree(df, node, order_by, as_of, 0, df)
     return out.filter(mask).select(*[F.col(f"`{n}`") for n in df.columns])
 
 
-def _tree(df, node, order_by, as_of, depth) -> tuple[DataFrame, Column]:
+def _tree(df, node, order_by, as_of, depth, base) -> tuple[DataFrame, Column]:
     if depth > MAX_DEPTH:
         raise ValueError("Filter group depth limit exceeded")
     if isinstance(node, Condition):
-        return with_condition(df, node, order_by, as_of)
+        return with_condition(df, node, order_by, as_of, base)
     children = [child for child in (node or {}).get("children") or [] if child]
     if not children:
         return df, F.lit(True)
     either = str(node.get("logic", "and")).lower() == "or"
     combined = None
     for child in children:
-        df, mask = _tree(df, child, order_by, as_of, depth + 1)
+        df, mask = _tree(df, child, order_by, as_of, depth + 1, base)
         combined = mask if combined is None else (combined | mask if either else combined & mask)
     return df, combined
 

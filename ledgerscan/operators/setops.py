@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
-from ledgerscan.sources.schema import fill_defaults
+from ledgerscan.functions.defaults import fill_defaults
 
 
 def append(frames: Sequence[DataFrame], fill: bool = True) -> DataFrame:

@@ -33,8 +33,7 @@ def read_csv(
     options = {"sep": sep, "encoding": encoding, "quote": '"', "escape": '"'}
     if not skiprows and not header_row:
         source = path
-        first = spark.read.options(**options).option("header", True).csv(path)
-        names = _header_names(spark, path, options) or first.columns
+        names = _header_names(spark, path, options)
         reader = spark.read.options(**options).option("header", True).option("enforceSchema", True)
     else:
         lines = spark.sparkContext.textFile(path)

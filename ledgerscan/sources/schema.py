@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerscan.functions import coerce as c
+from ledgerscan.functions.defaults import fill_defaults
 from ledgerscan.plans.tables import written
 
 # Rules of the type labels.
@@ -16,6 +16,9 @@ SAMPLE_ROWS = 500
 NUMERIC_SHARE, DATE_SHARE = 0.85, 0.70
 
 
+__all__ = ["clean_columns", "fill_defaults", "infer_types", "make_unique", "value_index"]
+
+
 def make_unique(names: Sequence[str | None]) -> list[str]:
     """Trimmed names; blanks become ``Col_{i}``, repeats get ``_2``, ``_3``."""
     seen: dict[str, int] = {}
@@ -31,23 +34,6 @@ def clean_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*make_unique(df.columns))
 
 
-def fill_defaults(df: DataFrame) -> DataFrame:
-    """Missing values replaced: numbers (also NaN, infinite) 0, booleans false, text ""; dates stay."""
-    out = {}
-    for field in df.schema.fields:
-        value = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            usable = ~F.isnan(value) & (F.abs(value) != float("inf"))
-            out[field.name] = F.coalesce(F.when(usable, value), F.lit(0).cast(field.dataType))
-        elif isinstance(field.dataType, T.NumericType):
-            out[field.name] = F.coalesce(value, F.lit(0).cast(field.dataType))
-        elif isinstance(field.dataType, T.BooleanType):
-            out[field.name] = F.coalesce(value, F.lit(False))
-        elif isinstance(field.dataType, T.StringType):
-            out[field.name] = F.coalesce(value, F.lit(""))
-    return df.withColumns(out) if out else df
-
-
 def infer_types(df: DataFrame) -> dict[str, str]:
     """Display label per column - ``numeric``, ``date`` or ``text`` - from 500 non-null values each.
 
@@ -80,6 +66,12 @@ def infer_types(df: DataFrame) -> dict[str, str]:
 def value_index(df: DataFrame, columns: Sequence[str] | None = None, max_unique: int = 50_000) -> DataFrame:
     """Distinct non-null values (as text) of every column that has at most ``max_unique`` of them."""
     columns = list(columns) if columns else df.columns
+    # sketches first: a column with clearly too many values (twice the limit) is not collected at all
+    rough = df.agg(*[F.approx_count_distinct(F.col(f"`{n}`").cast("string")).alias(f"n{i}") for i, n in enumerate(columns)])
+    sizes = rough.first()
+    columns = [n for i, n in enumerate(columns) if sizes[i] <= 2 * max_unique]
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, value string")
     pairs = [F.struct(F.lit(n).alias("column"), F.col(f"`{n}`").cast("string").alias("value")) for n in columns]
     values = written(df.select(F.inline(F.array(*pairs))).filter("value is not null").distinct())
     small = values.groupBy("column").count().filter(F.col("count") <= max_unique).select("column")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ledgerscan.functions.defaults import fill_defaults
 from ledgerscan.operators.setops import append
-from ledgerscan.sources.schema import fill_defaults
 
 ROWS_PER_FILE = 1_000_000
 _ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS"

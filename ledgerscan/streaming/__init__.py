@@ -8,19 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ledgerscan.operators.checks import run_check
-
-# Checks that need other rows, and so a batch.
-BATCH_ONLY = {
-    "top_n", "bottom_n", "random_n", "duplicates", "unique", "duplicate_amount", "same_day_same_amount",
-    "duplicate_invoice_payment", "reversal_check", "document_sequence_gap", "rare_user_transactions",
-    "user_intensity", "rare_account_combo", "split_transaction", "single_leg_voucher", "debit_credit_imbalance",
-    "benford",
-}
+from ledgerscan.operators.checks import WHOLE_TABLE, run_check
 
 
 def check_stream(df: DataFrame, check: str, columns=(), **kwargs) -> DataFrame:
     """The matching rows of a row-local check, for a streaming (or batch) DataFrame."""
-    if check in BATCH_ONLY:
+    if check in WHOLE_TABLE:
         raise ValueError(f"{check} looks at more than one row; run it on a batch")
     return run_check(df, check, columns, **kwargs)

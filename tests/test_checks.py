@@ -189,3 +189,35 @@ def test_top_n_breaks_ties_by_order(spark):
     assert ids(where_conditions(df, [Condition("x", "bottom_n", 99)], order_by=["rid"])) == [0, 1, 2, 3, 4]
     sample = where_conditions(df, [Condition("x", "random_n", 4)], order_by=["rid"])
     assert len(ids(sample)) == 4 and ids(sample) == ids(sample)
+
+
+def test_chains_of_grouped_checks(spark):
+    n = F.col("id")
+    df = spark.range(60).select(n.alias("rid"), (n % 10).alias("a"), (n % 4).alias("b"), (n % 7 - 3).alias("x"))
+    chained = chain_and(
+        df,
+        [
+            {"check": "negative", "columns": "x"},
+            {"check": "duplicates", "columns": ["a"], "min_count": 3},
+            {"check": "duplicates", "columns": ["b"], "min_count": 2},
+        ],
+    )
+    rows = [(i, i % 10, i % 4) for i in range(60) if i % 7 - 3 < 0]
+    rows = [r for r in rows if sum(o[1] == r[1] for o in rows) >= 3]
+    rows = [r for r in rows if sum(o[2] == r[2] for o in rows) >= 2]
+    assert ids(chained) == [r[0] for r in rows] and rows
+    either = chain_or(
+        df,
+        [
+            {"check": "rare_user_transactions", "columns": ["x"], "max_count": 8},
+            {"check": "top_n", "columns": "x", "n": 3, "order_by": ["rid"]},
+            {"check": "duplicates", "columns": ["a", "b"], "min_count": 3},
+        ],
+    )
+    per_x = {x: sum((i % 7 - 3) == x for i in range(60)) for x in range(-3, 4)}
+    top = sorted(range(60), key=lambda i: (-(i % 7 - 3), i))[:3]
+    pairs = {}
+    for i in range(60):
+        pairs.setdefault((i % 10, i % 4), []).append(i)
+    expected = [i for i in range(60) if per_x[i % 7 - 3] <= 8 or i in top or len(pairs[(i % 10, i % 4)]) >= 3]
+    assert ids(either) == expected
