@@ -129,7 +129,12 @@ def number_subjects(req: Check) -> list[tuple[str, Column]]:
 def row_result(
     req: Check, tested: Sequence[Tested], reason: str, match: Callable[[list[Column]], Column] | None = None
 ) -> DataFrame:
-    """Annotated rows of a check that looks at one row at a time."""
+    """Annotated rows of a check that looks at one row at a time.
+
+    When only matches are wanted, the bare tests filter first: they can be pushed into the scan.
+    """
+    if req.matched_only and match is None:
+        req = req.with_df(req.df.filter(combine([t.mask for t in tested], req.method)))
     flags = [f"__m{i}" for i in range(len(tested))]
     values = [f"__v{i}" for i in range(len(tested))]
     out = req.df.select(
@@ -158,7 +163,8 @@ def row_result(
 
 def simple_result(req: Check, match: Column, helpers: dict[str, Column]) -> DataFrame:
     """Annotated rows with ready-made helper columns."""
-    out = req.df.withColumn(MATCH, F.coalesce(match, F.lit(False)))
+    df = req.df.filter(match) if req.matched_only else req.df
+    out = df.withColumn(MATCH, F.coalesce(match, F.lit(False)))
     if req.helpers:
         out = out.withColumns({"check_name": F.lit(req.name), **helpers})
     return out

@@ -32,7 +32,7 @@ def _by_text(req: Check, operator: str, reason: str, value="", values=None, matc
     cond = p.Condition(
         "", operator, value, values=values, case_sensitive=bool(req.params.get("case_sensitive", False))
     )
-    tested = [Tested(label, p.mask_of(req.df, s, cond), s) for label, s in text_subjects(req)]
+    tested = [Tested(label, p.test_of(req.df, s, cond), s) for label, s in text_subjects(req)]
     return row_result(req, tested, reason, match)
 
 
@@ -43,10 +43,11 @@ def _by_words(req: Check, words: list[str], reason: str, operator: str = "regex"
 
 def _by_number(req: Check, operator: str, reason: str, value="", value2="") -> DataFrame:
     cond = p.Condition("", operator, value, value2, dtype="numeric")
-    tested = [
-        Tested(label, p.mask_of(req.source, x, cond, order_by=req.order_by), _raw(label) if label in req.columns else x)
-        for label, x in number_subjects(req)
-    ]
+    tested = []
+    for label, x in number_subjects(req):
+        own = label in req.columns
+        test = p.test_of(req.source, label if own else x, cond, order_by=req.order_by)
+        tested.append(Tested(label, test, _raw(label) if own else x))
     return row_result(req, tested, reason)
 
 
@@ -194,7 +195,7 @@ def _ranged(req: Check, reason: str, outside: bool) -> DataFrame:
         inside = p.date_range(
             req.moment(name), req.param("start_date"), req.param("end_date"), req.params.get("ignore_time", True)
         )
-        return ~inside if outside else inside
+        return ~F.coalesce(inside, F.lit(False)) if outside else inside
 
     return _by_column(req, build, reason)
 
@@ -280,6 +281,13 @@ def account_codes(req: Check) -> DataFrame:
     codes = c.value_list(req.params.get("include_accounts", req.params.get("values", "")))
     width = req.whole("prefix_len", 0)
     codes = [v[:width] if width else v for v in codes]
+    if codes and all(v.lower() == v.upper() for v in codes):
+        # codes without letters: a plain prefix test means the same and can be pushed into the scan
+        tested = []
+        for label, s in text_subjects(req):
+            t = s.cast("string")
+            tested.append(Tested(label, reduce(lambda a, b: a | b, [t.startswith(v) for v in codes]), s))
+        return row_result(req, tested, labels.REASONS["account_codes"])
     return _by_words(req, codes, labels.REASONS["account_codes"], prefix="^")
 
 

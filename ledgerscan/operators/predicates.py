@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerscan.functions import coerce as c
 from ledgerscan.plans import keyed
@@ -38,7 +39,7 @@ _fresh = itertools.count()
 
 @dataclass(frozen=True)
 class Condition:
-    """One test. ``column`` is a column name, or use :func:`mask_of` for a computed column."""
+    """One test. ``column`` is a column name, or use :func:`test_of` for a computed column."""
 
     column: str
     operator: str = "contains"
@@ -68,6 +69,13 @@ class _Subject:
     def cased(self) -> Column:
         return self.text if self.cond.case_sensitive else F.lower(self.text)
 
+    @property
+    def comparable(self) -> Column:
+        """The text to compare with a non-empty needle: the bare column if its case counts."""
+        if self.cond.case_sensitive and self.needle and isinstance(self.dtype, T.StringType):
+            return self.raw
+        return self.cased
+
     @property
     def needle(self) -> str:
         v = str(self.cond.value)
@@ -79,7 +87,13 @@ class _Subject:
 
     @property
     def target(self) -> Column:
-        return F.lit(c.float_param(self.cond.value)).cast("double")
+        return self.literal(c.float_param(self.cond.value))
+
+    def literal(self, value: float | None) -> Column:
+        """A number to compare with: whole for a whole-number column, so that no cast hides the column."""
+        if isinstance(self.dtype, T.IntegralType) and value is not None and value.is_integer() and abs(value) < 2**53:
+            return F.lit(int(value))
+        return F.lit(value).cast("double")
 
     @property
     def moment(self) -> Column:
@@ -107,10 +121,13 @@ class _Subject:
 def date_range(ts: Column, start, end, ignore_time: bool = True) -> Column:
     """Inclusive range; reversed bounds are swapped, an unreadable bound matches nothing."""
     a, b = c.date_literal(start), c.date_literal(end)
-    if ignore_time:
-        ts, a, b = c.day(ts), c.day(a), c.day(b)
+    low, high = F.least(a, b), F.greatest(a, b)
     both = a.isNotNull() & b.isNotNull()
-    return F.coalesce(both & ts.between(F.least(a, b), F.greatest(a, b)), F.lit(False))
+    if not ignore_time:
+        return both & (ts >= low) & (ts <= high)
+    # whole days as a half-open range of the bare timestamp, which file scans can use
+    first, after = c.day(low).cast("timestamp_ntz"), F.date_add(c.day(high), 1).cast("timestamp_ntz")
+    return both & (ts >= first) & (ts < after)
 
 
 def best_rows(df: DataFrame, key: Column, n: int, order_by: Sequence[str], largest: bool) -> Column:
@@ -140,6 +157,23 @@ def sampled_rows(df: DataFrame, n: int, order_by: Sequence[str], seed: int = RAN
     return F.struct(digest.alias("digest"), ties.alias("tie")) <= bound
 
 
+def _number(test: Callable[[Column, _Subject], Column]) -> Callable[[_Subject], Column]:
+    """A comparison of the coerced number.
+
+    On a double column the bare column is compared and the valid range tested beside it (that range
+    also leaves out NaN), so that both reach the file scan as pushed filters.
+    """
+
+    def build(s: _Subject) -> Column:
+        if isinstance(s.dtype, T.IntegralType):
+            return test(s.raw, s)
+        if isinstance(s.dtype, T.DoubleType):
+            return test(s.raw, s) & s.raw.between(-c.NUMERIC_ABS_LIMIT, c.NUMERIC_ABS_LIMIT)
+        return test(s.number, s)
+
+    return build
+
+
 def _contains(s: _Subject) -> Column:
     return s.cased.contains(s.needle)
 
@@ -150,7 +184,9 @@ def _regex(s: _Subject) -> Column:
 
 
 def _equals(s: _Subject) -> Column:
-    return s.number == s.target if s.cond.dtype == "numeric" else s.cased == s.needle
+    if s.cond.dtype == "numeric":
+        return _number(lambda x, s: x == s.target)(s)
+    return s.comparable == s.needle
 
 
 def _not_equals(s: _Subject) -> Column:
@@ -171,12 +207,12 @@ def _between(s: _Subject) -> Column:
     low, high = c.float_param(s.cond.value), c.float_param(s.cond.value2)
     if low is None or high is None:
         return F.lit(False)
-    return s.number.between(min(low, high), max(low, high))
+    return _number(lambda x, s: x.between(s.literal(min(low, high)), s.literal(max(low, high))))(s)
 
 
 def _num_in(s: _Subject) -> Column:
     wanted = [v for v in (c.float_param(x) for x in s.list_values()) if v is not None]
-    return s.number.isin(wanted) if wanted else F.lit(False)
+    return _number(lambda x, s: x.isin([s.literal(v) for v in wanted]))(s) if wanted else F.lit(False)
 
 
 def _not(build: Callable[[_Subject], Column]) -> Callable[[_Subject], Column]:
@@ -228,8 +264,8 @@ OPERATORS: dict[str, Callable[[_Subject], Column]] = {
     "not_contains": _not(_contains),
     "equals": _equals,
     "not_equals": _not_equals,
-    "starts": lambda s: s.cased.startswith(s.needle),
-    "ends": lambda s: s.cased.endswith(s.needle),
+    "starts": lambda s: s.comparable.startswith(s.needle),
+    "ends": lambda s: s.comparable.endswith(s.needle),
     "regex": _regex,
     "regex_not": _not(_regex),
     "in": _in,
@@ -239,18 +275,18 @@ OPERATORS: dict[str, Callable[[_Subject], Column]] = {
     "len_eq": lambda s: F.length(s.text) == int(float(s.cond.value)),
     "len_lt": lambda s: F.length(s.text) < int(float(s.cond.value)),
     "len_gt": lambda s: F.length(s.text) > int(float(s.cond.value)),
-    "gt": lambda s: s.number > s.target,
-    "gte": lambda s: s.number >= s.target,
-    "lt": lambda s: s.number < s.target,
-    "lte": lambda s: s.number <= s.target,
+    "gt": _number(lambda x, s: x > s.target),
+    "gte": _number(lambda x, s: x >= s.target),
+    "lt": _number(lambda x, s: x < s.target),
+    "lte": _number(lambda x, s: x <= s.target),
     "between": _between,
     "not_between": _not(_between),
     "num_in": _num_in,
     "num_not_in": _not(_num_in),
-    "zero": lambda s: s.number == 0,
-    "non_zero": lambda s: s.number != 0,
-    "positive": lambda s: s.number > 0,
-    "negative": lambda s: s.number < 0,
+    "zero": _number(lambda x, s: x == 0),
+    "non_zero": _number(lambda x, s: x != 0),
+    "positive": _number(lambda x, s: x > 0),
+    "negative": _number(lambda x, s: x < 0),
     "top_n": lambda s: best_rows(s.df, s.number, s.whole(10, 1), s.order_by, largest=True),
     "bottom_n": lambda s: best_rows(s.df, s.number, s.whole(10, 1), s.order_by, largest=False),
     "random_n": lambda s: sampled_rows(s.df, s.whole(10, 1), s.order_by),
@@ -285,21 +321,27 @@ OPERATORS: dict[str, Callable[[_Subject], Column]] = {
 COUNTING_OPERATORS = {"duplicate": "__weight > 1", "unique": "__weight = 1"}
 
 
-def mask_of(df: DataFrame, source: str | Column, cond: Condition, order_by=(), as_of=None) -> Column:
-    """Boolean column of a condition on a named or computed column; never null."""
+def test_of(df: DataFrame, source: str | Column, cond: Condition, order_by=(), as_of=None) -> Column:
+    """Boolean column of a condition on a named or computed column; null counts as false."""
     if not cond.enabled:
         return F.lit(True)
     if cond.operator not in OPERATORS:
         raise ValueError(f"Unsupported filter operator: {cond.operator}")
-    return F.coalesce(OPERATORS[cond.operator](_Subject(df, source, cond, order_by, as_of)), F.lit(False))
+    return OPERATORS[cond.operator](_Subject(df, source, cond, order_by, as_of))
+
+
+def mask_of(df: DataFrame, source: str | Column, cond: Condition, order_by=(), as_of=None) -> Column:
+    """The same, never null."""
+    return F.coalesce(test_of(df, source, cond, order_by, as_of), F.lit(False))
 
 
 def with_condition(
     df: DataFrame, cond: Condition, order_by=(), as_of=None, base: DataFrame | None = None
 ) -> tuple[DataFrame, Column]:
-    """``df`` (with a helper column if the operator needs one) and the boolean column of the condition.
+    """``df`` (with a helper column if the operator needs one) and the test, where null counts as false.
 
-    ``base`` is the table without helper columns of earlier conditions; statistics come from it.
+    Tests are only combined by AND and OR, so a bare test filters like its never-null form, and
+    comparisons can be pushed into the scan. ``base`` is the table without helper columns of earlier conditions; statistics come from it.
     """
     base = df if base is None else base
     if cond.column not in df.columns:
@@ -310,7 +352,7 @@ def with_condition(
         stats = keyed.group_stats(base, key, {})
         out = keyed.attach(df, key, stats).withColumn(flag, F.expr(COUNTING_OPERATORS[cond.operator])).drop("__weight", "__keep")
         return out, F.col(flag)
-    return df, mask_of(base, cond.column, cond, order_by, as_of)
+    return df, test_of(base, cond.column, cond, order_by, as_of)
 
 
 def where_conditions(
