@@ -270,6 +270,12 @@ def _numbered(relation: str, key: str, order: str) -> str:
 
 
 _TWO = "lower(CAST(o_custkey AS VARCHAR)) || '#' || lower(o_orderpriority)"
+plain_check(
+    "check_method_combination", "duplicates", "postings", ["o_custkey", "o_orderpriority"], ["group_count", "check_result"],
+    f"""SELECT o_orderkey, n AS group_count, 'Duplicate' AS check_result
+        FROM {_numbered(POSTINGS_SQL, _TWO, "o_orderkey")} WHERE n >= 2""",
+    method="combination",
+)
 for _mode, _rank in (("all", ""), ("second", "AND rn > 1"), ("first", "AND rn < n")):
     plain_check(
         f"check_duplicates_{_mode}", "duplicates", "postings", ["o_custkey", "o_orderpriority"],

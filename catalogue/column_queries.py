@@ -12,6 +12,7 @@ from ledgerscan.functions import coerce as c
 from ledgerscan.operators import columns as cols
 from ledgerscan.plans.tables import shared_folder
 from ledgerscan.sources import fill_defaults, infer_types, read_any, read_csv, read_parquet, save, value_index, write
+from ledgerscan.sources.schema import clean_columns
 
 
 def _folder(spark, kind: str) -> str:
@@ -294,3 +295,35 @@ def _infer(spark, sf):
 )
 def _value_index(spark, sf):
     return value_index(table(spark, sf, "orders"), ["o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey"], 2000)
+
+
+@query(
+    "source_csv_header_row",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS key, CAST(o_totalprice AS VARCHAR) AS price, NULL::VARCHAR AS "Col_2" FROM orders""",
+)
+def _header_row(spark, sf):
+    """A report with a title line above its header, which ends in an unnamed column."""
+    path = _folder(spark, "report")
+    head = spark.range(0, 2, 1, 1).select(F.when(F.col("id") == 0, "Open orders").otherwise("key;price;").alias("value"))
+    body = table(spark, sf, "orders").select(F.concat_ws(";", "o_orderkey", "o_totalprice").alias("value"))
+    head.union(body).write.text(path)
+    return read_csv(spark, path, sep=";", header_row=1)
+
+
+@query(
+    "source_csv_skiprows",
+    """SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS name FROM customer""",
+)
+def _skip_rows(spark, sf):
+    """Two lines of units below the header are left out."""
+    path = _folder(spark, "units")
+    lines = F.element_at(F.array(F.lit("key,name"), F.lit("number,text"), F.lit("-,-")), F.col("id").cast("int") + 1)
+    head = spark.range(0, 3, 1, 1).select(lines.alias("value"))
+    body = table(spark, sf, "customer").select(F.concat_ws(",", "c_custkey", "c_name").alias("value"))
+    head.union(body).write.text(path)
+    return read_csv(spark, path, skiprows=2)
+
+
+@query("clean_column_names", """SELECT s_suppkey AS "id", s_name AS "id_2", s_nationkey AS "Col_2", s_acctbal AS "x" FROM supplier""")
+def _clean_names(spark, sf):
+    return clean_columns(table(spark, sf, "supplier").toDF("id", " id", "  ", "x "))

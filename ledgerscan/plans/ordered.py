@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ledgerscan.plans.tables import written
 
 SMALL_GROUP_ROWS = 1_000_000
+# Number of buckets; None leaves it to adaptive execution, from one up to the shuffle partitions.
+BUCKETS: int | None = None
 
 
 def _columns(names: Sequence[str | Column]) -> list[Column]:
@@ -40,9 +42,10 @@ class OrderedRows:
         if not order_by:
             raise ValueError("an order-dependent operator needs order_by columns")
         self.partition_by = list(partition_by)
-        count = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        count = buckets or BUCKETS
         layout = [*_columns(self.partition_by), *_columns(order_by)]
-        placed = df.repartitionByRange(count, *layout).sortWithinPartitions(*layout)
+        ranged = df.repartitionByRange(count, *layout) if count else df.repartitionByRange(*layout)
+        placed = ranged.sortWithinPartitions(*layout)
         placed = written(placed.withColumn("__id", F.monotonically_increasing_id()))
         # the id holds the partition in its upper bits and the place inside it in the lower 33
         self.rows = placed.select(

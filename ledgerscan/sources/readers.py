@@ -27,7 +27,7 @@ def read_csv(
 ) -> DataFrame:
     """Delimited text with a header; lines with too many fields are left out, short ones padded.
 
-    ``header_row`` is the 0-based line of the header and ``skiprows`` the number of file lines 1..n
+    Every file of a folder has its own header. ``header_row`` is the 0-based line of the header and ``skiprows`` the number of file lines 1..n
     to leave out; with either of them quoted line breaks are not supported.
     """
     options = {"sep": sep, "encoding": encoding, "quote": '"', "escape": '"'}
@@ -36,7 +36,9 @@ def read_csv(
         names = _header_names(spark, path, options)
         reader = spark.read.options(**options).option("header", True).option("enforceSchema", True)
     else:
-        lines = spark.sparkContext.textFile(path)
+        # several files count as one, in the order of their names
+        files = sorted(spark.read.text(path).inputFiles())
+        lines = spark.sparkContext.textFile(",".join(files))
         if skiprows:
             skipped = skiprows
             lines = lines.zipWithIndex().filter(lambda p: not 1 <= p[1] <= skipped).map(lambda p: p[0])

@@ -161,3 +161,44 @@ def test_unusual_accounts(spark):
     summary = {r.criterion: (r.unusual_vouchers, r.total_vouchers) for r in scans.unusual_summary(df, "account", "voucher", criteria).collect()}
     assert summary == {"A": (2, 4), "B": (2, 4)}
     assert scans.unusual_accounts(df, "account", "voucher", [criteria[2]]).count() == 0
+
+
+def test_every_builtin_exists(one):
+    """The 76 builtins, each with plausible arguments."""
+    f = Formula(one, as_of="2026-05-06")
+    one_number = (
+        "ABS ROUND ROUNDUP ROUNDDOWN INT TRUNC CEILING FLOOR SQRT EXP LN LOG LOG10 SIGN RADIANS DEGREES SIN COS TAN ASIN ACOS "
+        "ATAN SINH COSH TANH ASINH ACOSH ATANH COT SEC CSC EVEN ODD"
+    ).split()
+    numbers = "SUM PRODUCT AVERAGE MEAN MEDIAN MIN MAX COUNT COUNTA MOD POWER ATAN2 STDEV_P STDEV_S VAR_P VAR_S SKEW KURT".split()
+    dates = "YEAR MONTH DAY HOUR MINUTE SECOND WEEKDAY WEEKNUM".split()
+    built = {n: getattr(f, n)("a") for n in one_number}
+    built.update({n: getattr(f, n)("a", "b") for n in numbers})
+    built.update({n: getattr(f, n)("d1") for n in dates})
+    built.update({n: getattr(f, n)("t") for n in ["LEN", "UPPER", "LOWER", "TRIM"]})
+    built.update({n: getattr(f, n)("t", "e") for n in ["AND", "OR", "CONCAT"]})
+    built.update(
+        {
+            "NOT": f.NOT("t"),
+            "PI": f.PI(),
+            "TODAY": f.TODAY(),
+            "NOW": f.NOW(),
+            "IF": f.IF(f.NUM("a") > 0, 1, 2),
+            "IFERROR": f.IFERROR("n", 0),
+            "TEXTJOIN": f.TEXTJOIN("-", "t", "e"),
+            "PERCENTILE_INC": f.PERCENTILE_INC(0.5, "a", "b"),
+            "QUARTILE_INC": f.QUARTILE_INC(1, "a", "b"),
+            "DAYS": f.DAYS("d1", "d2"),
+        }
+    )
+    assert len(built) == 76
+    row = one.select(*[v.alias(n) for n, v in built.items()]).first()
+    assert (row.ODD, row.SUM, row.YEAR, row.CONCAT, row.MOD, row.QUARTILE_INC) == (7.0, 4.0, 2026, "1.234,50 TL", -2.0, -0.5)
+    with pytest.raises(AttributeError):
+        f.NOTHING("a")
+
+
+def test_number_of_manual_operators():
+    from ledgerscan.operators.predicates import COUNTING_OPERATORS, OPERATORS
+
+    assert len(OPERATORS) + len(COUNTING_OPERATORS) == 55

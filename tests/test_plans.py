@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 
 from ledgerscan.functions import apply_function
 from ledgerscan.operators import aggregate, joins, profile
+from ledgerscan.plans import ordered
 from ledgerscan.plans.ordered import OrderedRows, quantiles
 
 
+@pytest.fixture(autouse=True)
+def many_buckets(monkeypatch):
+    monkeypatch.setattr(ordered, "BUCKETS", 13)
+
+
 @pytest.fixture(scope="module")
 def pdf():
     rng = np.random.default_rng(3)
@@ -153,3 +159,21 @@ def test_join_null_keys_and_suffix(spark, rows):
             assert rows(out) == wanted
     assert rows(joins.semi(left, right, "k", "k")) == [("a", 1), (None, 2)]
     assert rows(joins.anti(left, right, "k", "k")) == [("z", 3)]
+
+
+def test_adaptive_buckets_keep_the_order(spark, monkeypatch):
+    """Merged range partitions are still ascending ranges."""
+    monkeypatch.setattr(ordered, "BUCKETS", None)
+    df = spark.range(5000).select(F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("ord")).distinct()
+    small = {"advisoryPartitionSizeInBytes": "12k", "coalescePartitions.minPartitionSize": "12k"}
+    for key, value in small.items():
+        spark.conf.set(f"spark.sql.adaptive.{key}", value)
+    try:
+        placed = OrderedRows(df, ["ord"]).with_position().collect()
+    finally:
+        for key in small:
+            spark.conf.unset(f"spark.sql.adaptive.{key}")
+    assert 1 < len({r["__bucket"] for r in placed}) < 8
+    by_position = sorted(placed, key=lambda r: r["__position"])
+    assert [r["__position"] for r in by_position] == list(range(1, len(placed) + 1))
+    assert [r["ord"] for r in by_position] == sorted(r["ord"] for r in placed)
