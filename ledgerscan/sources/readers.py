@@ -27,8 +27,9 @@ def read_csv(
 ) -> DataFrame:
     """Delimited text with a header; lines with too many fields are left out, short ones padded.
 
-    Every file of a folder has its own header. ``header_row`` is the 0-based line of the header and ``skiprows`` the number of file lines 1..n
-    to leave out; with either of them quoted line breaks are not supported.
+    Every file of a folder has its own header. ``skiprows`` leaves out the lines 1..n of the input,
+    ``header_row`` is the 0-based line of the header among the others; with either of them the files
+    of a folder count as one and quoted line breaks are not supported.
     """
     options = {"sep": sep, "encoding": encoding, "quote": '"', "escape": '"'}
     if not skiprows and not header_row:
@@ -38,15 +39,11 @@ def read_csv(
     else:
         # several files count as one, in the order of their names
         files = sorted(spark.read.text(path).inputFiles())
-        lines = spark.sparkContext.textFile(",".join(files))
-        if skiprows:
-            skipped = skiprows
-            lines = lines.zipWithIndex().filter(lambda p: not 1 <= p[1] <= skipped).map(lambda p: p[0])
-        if header_row:
-            before = header_row
-            lines = lines.zipWithIndex().filter(lambda p: p[1] >= before).map(lambda p: p[0])
-        names = _header_names(spark, lines.zipWithIndex().filter(lambda p: p[1] == 0).map(lambda p: p[0]), options)
-        source = lines.zipWithIndex().filter(lambda p: p[1] > 0).map(lambda p: p[0])
+        numbered = spark.sparkContext.textFile(",".join(files)).zipWithIndex()
+        last_dropped = skiprows + header_row
+        header_at = last_dropped if header_row else 0
+        names = _header_names(spark, numbered.filter(lambda p: p[1] == header_at).map(lambda p: p[0]), options)
+        source = numbered.filter(lambda p: p[1] > last_dropped).map(lambda p: p[0])
         reader = spark.read.options(**options)
     schema = _strings([*make_unique(names), _EXTRA])
     df = reader.schema(schema).option("mode", "PERMISSIVE").csv(source)
