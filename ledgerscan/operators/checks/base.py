@@ -171,8 +171,13 @@ def simple_result(req: Check, match: Column, helpers: dict[str, Column]) -> Data
 
 
 def text_key(columns: Sequence[Column]) -> dict[str, Column]:
-    """Composite text key as a fixed-width digest, so long texts are neither shuffled nor broadcast."""
-    return {"__key": F.sha2(F.concat_ws(SEPARATOR, *columns), 256)}
+    """Composite text key of at most 64 characters.
+
+    Short keys stay as they are; a longer one is replaced by its 64-digit digest, so that long texts
+    are neither shuffled nor broadcast. The lengths differ, so the two kinds cannot meet.
+    """
+    joined = F.concat_ws(SEPARATOR, *columns)
+    return {"__key": F.when(F.length(joined) < 64, joined).otherwise(F.sha2(joined, 256))}
 
 
 def grouped_result(

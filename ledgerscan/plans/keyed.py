@@ -5,8 +5,9 @@ aggregated first (map-side combine makes a hot key one row per map task), and th
 joined back in one of two ways, chosen by its counted size:
 
 * few keys: broadcast, so the wide rows are not shuffled at all;
-* many keys: the heaviest ``HOT_KEYS`` keys are broadcast and their rows are spread over the
-  reducers by a salt, so that only keys of bounded weight are co-located by the shuffle join.
+* many keys: keys that hold at least one ``HOT_KEYS``-th of the rows (so at most ``HOT_KEYS`` keys) are
+  broadcast and their rows spread over the reducers by a salt; only lighter keys are co-located by
+  the shuffle join, whose partitions adaptive execution can still split.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from ledgerscan.plans.tables import written
 
 BROADCAST_ROWS = 200_000
-HOT_KEYS = 1_000
+HOT_KEYS = 20_000
 SALTS = 4_096
 HOT_WEIGHT = 100_000
 
@@ -72,13 +73,15 @@ def attach(
         stats = stats.withColumn("__keep", F.lit(True))
     stats = written(stats)
     kept = stats.filter("__keep")
-    if kept.count() <= limit:
+    sizes = stats.agg(F.count_if("__keep").alias("keys"), F.sum("__weight").alias("rows")).first()
+    if sizes["keys"] <= limit:
         right = _prefixed(kept, "__s_")
         how = "left" if keep is None else "inner"
         joined = rows.join(F.broadcast(right), _on(rows, right, names, "__s_"), how)
         return joined.select(*df.columns, *[F.col(f"`__s_{v}`").alias(v) for v in values])
 
-    hot = _prefixed(stats.orderBy(F.col("__weight").desc()).limit(HOT_KEYS), "__h_")
+    # at most HOT_KEYS keys can each hold 1/HOT_KEYS of the counted rows: a bounded broadcast
+    hot = _prefixed(stats.filter(F.col("__weight") >= sizes["rows"] / HOT_KEYS), "__h_")
     tagged = rows.join(F.broadcast(hot), _on(rows, hot, names, "__h_"), "left")
     if keep is not None:
         tagged = tagged.filter(F.coalesce(F.col("__h___keep"), F.lit(True)))

@@ -158,6 +158,7 @@ def test_hot_rows_are_spread_by_the_salt(spark):
     out = keyed.attach(df, key, keyed.group_stats(df, key, {}), broadcast_rows=0)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "__salt" in plan and out.count() == 2000
+    assert {(r.k, r["__weight"]) for r in out.select("k", "__weight").distinct().collect()} == {("hot", 1000), ("x", 1000)}
 
 
 def test_filter_operators_treat_null_as_documented(spark):
