@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscan.llm.common import Memory, small_batches, text_of, without
+from ledgerscan.llm.common import Memory, prepare, text_of, without
 from ledgerscan.llm.token_files import _byte_letters
 
 #: words and fragments remembered by a worker
@@ -185,7 +185,7 @@ def tokenizer(path: str) -> ForcedBoundaryBpe:
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` plus ``ids`` (little-endian uint32 bytes), ``n_tokens`` and ``decoded``. No shuffle."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     rest = without(docs, "ids", "n_tokens", "decoded", "__text")
     rows = rest.withColumn("__text", text_of(text_col)).drop(text_col)
     kept = [f for f in rows.schema.fields if f.name != "__text"]

@@ -2,24 +2,42 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import ledgerscan
 from ledgerscan.plans.tables import shared_folder, written
 
-__all__ = ["shared_folder", "written", "Memory", "small_batches", "text_of", "without", "WHITE_SPACE", "white_words"]
+__all__ = ["shared_folder", "written", "Memory", "prepare", "text_of", "without", "WHITE_SPACE", "white_words"]
 
 #: The white space that separates words in all contracts.
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 #: Documents are up to hundreds of kilobytes, so Python workers get few of them at a time.
 ROWS_PER_BATCH = 256
+_SHIPPED: dict[str, tempfile.TemporaryDirectory] = {}
+
 
+def prepare(spark: SparkSession) -> None:
+    """Makes Python workers ready: this package on their path, and few texts in an Arrow batch.
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the memory of Python workers: at most ``ROWS_PER_BATCH`` texts in an Arrow batch."""
+    The package is shipped by Spark once per application, as ``--py-files`` would do.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > ROWS_PER_BATCH:
         spark.conf.set(key, str(ROWS_PER_BATCH))
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        home = Path(ledgerscan.__file__).parent
+        folder = _SHIPPED[context.applicationId] = tempfile.TemporaryDirectory(prefix="ledgerscan-")  # until Python ends
+        name = f"{folder.name}/ledgerscan_package.zip"
+        with zipfile.ZipFile(name, "w") as out:
+            for file in sorted(home.rglob("*.py")):
+                out.write(file, str(file.relative_to(home.parent)))
+        context.addPyFile(name)
 
 
 def text_of(name: str) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ledgerscan.llm.common import small_batches, text_of, without, written
+from ledgerscan.llm.common import prepare, text_of, without, written
 
 #: White space at the ends of a line.
 ENDS = b" \t\n\x0b\x0c\r"
@@ -186,7 +186,7 @@ def line_dedup(
     if keep not in ("first", "none"):
         raise ValueError("keep is 'first' or 'none'")
     spark = docs.sparkSession
-    small_batches(spark)
+    prepare(spark)
     confirmed, twice, bits = repeated_lines(docs, min_docs, min_chars, id_col, text_col)
     size = confirmed.agg(F.sum(F.length("key") + 100)).first()[0] or 0
     rest = without(docs, "n_lines", "n_dropped", "__id", "__text", "__keys")

@@ -11,7 +11,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscan.llm import bpe, decontaminate, line_dedup, quality_rules, token_files
+from ledgerscan.llm import (
+    bpe,
+    decontaminate,
+    html_extract,
+    importance,
+    jaccard_join,
+    line_dedup,
+    quality_rules,
+    token_files,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -46,6 +56,11 @@ def op1_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.token_index(spark, folder)
 
 
+@query
+def op2_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.linked_components(table(spark, sf, "documents"), percent=90, shingle_words=3)
+
+
 @query
 def op3_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(table(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"))
@@ -69,6 +84,16 @@ FROM lines GROUP BY doc_id
 """
 
 
+@query
+def op6_html_extract(spark: SparkSession, sf: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf, "pages"))
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query
 def op8_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
@@ -79,3 +104,11 @@ def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     found = quality_rules.quality_rules(docs, trusted(spark, sf))
     return found.select("doc_id", *quality_rules.RESULTS)
+
+
+@query
+def op10_importance(spark: SparkSession, sf: str) -> DataFrame:
+    """A sample as large as the share of trusted documents among the labelled ones."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    k = -int(-importance.trusted_share(labels) * docs.count() // 1)
+    return importance.importance_sample(docs, trusted(spark, sf), k)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerscan.llm.common import Memory, shared_folder, small_batches, text_of, written
+from ledgerscan.llm.common import Memory, shared_folder, prepare, text_of, written
 
 MAGIC = b"FRV1"
 #: A block is closed at this many values, a file aims at ``FILE_IDS``.
@@ -184,7 +184,7 @@ def encoder(path: str) -> Encoder:
 
 def token_table(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n, ids``: the ids of every text with the end id, as little-endian bytes; written."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def encode(batches):
         enc = encoder(path)
