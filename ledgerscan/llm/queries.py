@@ -19,6 +19,7 @@ from ledgerscan.llm import (
     jaccard_join,
     line_dedup,
     quality_rules,
+    suffix_dedup,
     token_files,
     toxicity,
 )
@@ -84,6 +85,11 @@ FROM lines GROUP BY doc_id
 """
 
 
+@query
+def op5_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf, "documents"))
+
+
 @query
 def op6_html_extract(spark: SparkSession, sf: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf, "pages"))
