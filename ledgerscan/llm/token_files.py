@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerscan.llm.common import Memory, shared_folder, prepare, text_of, written
+from ledgerscan.llm.common import Memory, packed, prepare, shared_folder, text_of, written
 
 MAGIC = b"FRV1"
 #: A block is closed at this many values, a file aims at ``FILE_IDS``.
@@ -197,7 +197,7 @@ def token_table(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
             )
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return written(rows.mapInArrow(encode, "doc_id long, n long, ids binary"))
+    return packed(rows.mapInArrow(encode, "doc_id long, n long, ids binary"))
 
 
 def rank_order(tokens: DataFrame, itemsize: int) -> tuple[np.ndarray, int]:
