@@ -250,7 +250,10 @@ def heavy_links(docs: DataFrame, sets: DataFrame, reps: DataFrame, percent: int,
     """Links of the sets in ``reps`` (``cid, n, th, pieces``) through inverted lists and comparison in blocks."""
     lists = reps.select("cid", F.explode("pieces").alias("piece"))
     led = lists.withColumn("u", F.min("cid").over(Window.partitionBy("piece")))
-    candidates = led.filter("u <> cid").select("u", F.col("cid").alias("v"))
+    # a set hangs on the smallest of its leaders, and so do its other leaders: as connected, with far fewer edges
+    hung = led.filter("u <> cid").select("u", F.col("cid").alias("v")).distinct()
+    hung = hung.withColumn("m", F.min("u").over(Window.partitionBy("v")))
+    candidates = hung.select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).filter("u <> v").distinct()
     cluster = connected_components(candidates)
     members = reps.select("cid", "n", "th").join(cluster, F.col("cid") == F.col("node")).select("cid", "n", "th", "comp")
     blocks = members.groupBy("comp").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
