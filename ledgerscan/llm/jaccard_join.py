@@ -126,7 +126,7 @@ def signatures(shingles: np.ndarray, classes: list[int], percent: int) -> list[n
             m = pieces(classes, k, percent)
             sums = np.zeros(m, np.uint64)
             np.add.at(sums, ((shingles >> np.uint64(20)) % np.uint64(m)).astype(np.int64), spread)
-            out.append(mix(sums + np.arange(m, dtype=np.uint64) * _A + np.uint64(k) * _B))
+            out.append(mix(sums + np.arange(m, dtype=np.uint64) * _A + np.uint64(k * int(_B) % (1 << 64))))
     return out
 
 
