@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from catalogue.registry import ACCOUNTS_SQL, accounts, query, table
+from catalogue.registry import add, ACCOUNTS_SQL, accounts, query, table
 from ledgerscan.functions import Formula
 from ledgerscan.functions import coerce as c
 from ledgerscan.operators import columns as cols
@@ -202,10 +202,23 @@ def _sink_csv(spark, sf):
     return read_any(spark, path, "csv")
 
 
-@query("source_sink_tsv", """SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, replace(text, chr(10), ' ') AS text FROM documents""")
-def _sink_tsv(spark, sf):
-    df = table(spark, sf, "documents").select("doc_id", "lang", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"))
-    return read_any(spark, write(df, _folder(spark, "tsv"), "tsv"), "tsv")
+def _documents_back(kind):
+    """Whole texts, with line breaks and blanks at both ends, written and read again."""
+
+    def build(spark, sf):
+        text = F.concat(F.lit("  "), "text", F.lit(' "end" ')).alias("text")
+        df = table(spark, sf, "documents").select("doc_id", "lang", text)
+        return read_any(spark, write(df, _folder(spark, kind), kind), kind)
+
+    return build
+
+
+for _kind in ("csv", "tsv", "txt"):
+    add(
+        f"source_sink_{_kind}_texts" if _kind == "csv" else f"source_sink_{_kind}",
+        _documents_back(_kind),
+        """SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, '  ' || text || ' "end" ' AS text FROM documents""",
+    )
 
 
 @query(

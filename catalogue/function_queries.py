@@ -154,7 +154,7 @@ _family(
         round(CASE WHEN x > 0 THEN log2(x) END, 6) AS excel_log, round(CASE WHEN x > 0 THEN log10(x) END, 6) AS excel_log10,
         CAST(sign(x) AS DOUBLE) AS excel_sign, round(pi(), 6) AS excel_pi, CASE WHEN x IS NOT NULL THEN round(greatest(-1, least(1, x)), 6) END AS np_clip,
         CASE WHEN x > 100 THEN 'big' ELSE 'small' END AS np_where, coalesce(n % 2 = 0, false) AS excel_iseven, n % 2 <> 0 AS excel_isodd,
-        CASE WHEN n BETWEEN 0 AND 20 THEN factorial(n::INTEGER)::BIGINT END AS excel_fact, x IS NOT NULL AS excel_isnumber FROM {_SCALED_SQL}""",
+        CASE WHEN n BETWEEN 0 AND 170 THEN coalesce(list_product(list_transform(range(1, n::INTEGER + 1), lambda k: k::DOUBLE)), 1) END AS excel_fact, x IS NOT NULL AS excel_isnumber FROM {_SCALED_SQL}""",
     {
         "excel_mod": ("excel_mod", ["x", "y"], {}),
         "excel_power": ("excel_power", ["t", "y"], {}),
@@ -413,3 +413,129 @@ def _builtins(spark, sf):
         f.UPPER(f.TXT("segment")).alias("up"),
         f.MAX("c_nationkey", "c_custkey").alias("high"),
     )
+
+
+@query(
+    "fx_gcd_lcm_beyond_long",
+    """SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN gcd(c_custkey, 12)::BIGINT END AS divisor,
+       CASE WHEN c_custkey % 3 > 0 THEN lcm(c_custkey, 12)::DOUBLE END AS multiple FROM customer""",
+)
+def _beyond_long(spark, sf):
+    """A value no long can hold gives null for its row and leaves the others alone."""
+    k = F.col("c_custkey")
+    df = table(spark, sf, "customer").select("c_custkey", F.when(k % 3 > 0, k.cast("double")).otherwise(F.lit(1e19)).alias("x"), F.lit(12).alias("y"))
+    df = apply_function(df, "excel_gcd", ["x", "y"], "divisor")
+    df = apply_function(df, "excel_lcm", ["x", "y"], "multiple")
+    return df.select("c_custkey", F.col("divisor").cast("long").alias("divisor"), F.col("multiple").cast("double").alias("multiple"))
+
+
+@query(
+    "fx_factorial_to_170",
+    """SELECT c_custkey, CASE WHEN c_custkey % 180 <= 170 THEN
+         coalesce(list_product(list_transform(range(1, (c_custkey % 180) + 1), lambda k: k::DOUBLE)), 1) END AS f FROM customer""",
+)
+def _factorial(spark, sf):
+    df = table(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % 180).alias("n"))
+    return apply_function(df, "excel_fact", "n", "f").select("c_custkey", "f")
+
+
+# -- builtins, one family a query: name -> (arguments, SQL over u in [0, 1), n in 0..24, k > 0) ---------
+
+_BUILTIN_ROWS = """(SELECT c_custkey + 1 AS k, c_nationkey AS n, c_nationkey / 25.0 AS u, c_acctbal AS b, c_name AS t,
+  TIMESTAMP '2024-01-31 22:15:30' + to_days(c_custkey::INTEGER) AS d FROM customer)"""
+_BUILTINS = {
+    "fx_builtins_rounding": {
+        "ABS": (["b"], "abs(b)"),
+        "ROUND": (["k", -1], "round_even(k, -1)"),
+        "ROUNDUP": (["u", 1], "ceil(round(u * 10, 9)) / 10"),
+        "INT": (["b"], "floor(b)"),
+        "TRUNC": (["b"], "trunc(b)"),
+        "SIGN": (["b"], "sign(b)"),
+        "MOD": (["k", "n"], "CASE WHEN n <> 0 THEN k % n END"),
+        "EVEN": (["n"], "n + n % 2"),
+        "ODD": (["n"], "CASE WHEN n % 2 = 1 THEN n ELSE n + 1 END"),
+    },
+    "fx_builtins_powers": {
+        "SQRT": (["k"], "sqrt(k)"),
+        "EXP": (["u"], "exp(u)"),
+        "LN": (["k"], "ln(k)"),
+        "LOG10": (["k"], "log10(k)"),
+        "LOG": (["k", 2], "log2(k)"),
+        "RADIANS": (["n"], "radians(n)"),
+        "DEGREES": (["u"], "degrees(u)"),
+    },
+    "fx_builtins_trigonometry": {
+        "SIN": (["n"], "sin(n)"),
+        "COS": (["n"], "cos(n)"),
+        "TAN": (["n"], "tan(n)"),
+        "ASIN": (["u"], "asin(u)"),
+        "ACOS": (["u"], "acos(u)"),
+        "ATAN": (["n"], "atan(n)"),
+        "ATAN2": (["k", "n"], "atan2(k, n)"),
+        "SINH": (["u"], "sinh(u)"),
+        "COSH": (["u"], "cosh(u)"),
+        "TANH": (["u"], "tanh(u)"),
+        "ASINH": (["n"], "asinh(n)"),
+        "ACOSH": (["k"], "acosh(k)"),
+        "ATANH": (["u"], "atanh(u)"),
+        "COT": (["k"], "1 / tan(k)"),
+        "SEC": (["n"], "1 / cos(n)"),
+        "CSC": (["k"], "1 / sin(k)"),
+    },
+    "fx_builtins_statistics": {
+        "AVERAGE": (["k", "n", "u"], "(k + n + u) / 3"),
+        "MEAN": (["k", "n"], "(k + n) / 2"),
+        "MEDIAN": (["k", "n", "u"], "list_median([k, n, u])"),
+        "MIN": (["k", "n"], "least(k, n)"),
+        "STDEV_P": (["k", "n"], "list_stddev_pop([k, n])"),
+        "STDEV_S": (["k", "n"], "list_stddev_samp([k, n])"),
+        "VAR_P": (["k", "n"], "list_var_pop([k, n])"),
+        "VAR_S": (["k", "n"], "list_var_samp([k, n])"),
+    },
+    "fx_builtins_dates": {
+        "YEAR": (["d"], "year(d)"),
+        "MONTH": (["d"], "month(d)"),
+        "DAY": (["d"], "day(d)"),
+        "HOUR": (["d"], "hour(d)"),
+        "MINUTE": (["d"], "minute(d)"),
+        "SECOND": (["d"], "second(d)"),
+    },
+}
+
+
+def _family(calls):
+    def build(spark, sf):
+        k = F.col("c_custkey")
+        day = F.expr("TIMESTAMP_NTZ '2024-01-31 22:15:30' + make_dt_interval(cast(c_custkey as int))")
+        df = table(spark, sf, "customer").select(
+            (k + 1).alias("k"), F.col("c_nationkey").alias("n"), (F.col("c_nationkey") / 25.0).alias("u"), F.col("c_acctbal").alias("b"), F.col("c_name").alias("t"), day.alias("d")
+        )
+        f = Formula(df)
+        return df.select("k", *[F.round(getattr(f, name)(*args).cast("double"), 6).alias(name.lower()) for name, (args, _) in calls.items()])
+
+    return build
+
+
+for _name, _calls in _BUILTINS.items():
+    _columns = ", ".join(f"round(({sql})::DOUBLE, 6) AS {name.lower()}" for name, (_, sql) in _calls.items())
+    add(_name, _family(_calls), f"SELECT k, {_columns} FROM {_BUILTIN_ROWS}")
+
+
+@query(
+    "fx_builtins_text_and_logic",
+    """SELECT c_custkey, length(c_name)::BIGINT AS len, lower(c_name) AS lower, trim('  ' || c_name || ' ') AS trim,
+       c_name || '-' || c_mktsegment AS concat, pi() AS pi, c_custkey AS col FROM customer""",
+)
+def _text_builtins(spark, sf):
+    df = table(spark, sf, "customer")
+    f = Formula(df)
+    padded = F.concat(F.lit("  "), "c_name", F.lit(" "))
+    return df.select(
+        "c_custkey",
+        f.LEN("c_name").cast("long").alias("len"),
+        f.LOWER("c_name").alias("lower"),
+        f.TRIM(padded).alias("trim"),
+        f.CONCAT("c_name", "c_mktsegment", sep="-").alias("concat"),
+        f.PI().alias("pi"),
+        f.COL("c_custkey").alias("col"),
+    )

@@ -126,8 +126,10 @@ def reciprocal(x: Column) -> Column:
 
 
 def factorial(x: Column) -> Column:
-    """Factorial of the whole part, for 0 to 20; null otherwise."""
-    return F.when((x >= 0) & (x < 21), F.factorial(F.floor(x).cast("int")))
+    """Factorial of the whole part as a double, for 0 to 170 (exact to 22); null otherwise."""
+    steps = F.sequence(F.lit(1), F.floor(x).cast("int"))
+    product = F.aggregate(steps, F.lit(1.0), lambda a, k: a * k)
+    return F.when((x >= 0) & (x < 1), F.lit(1.0)).when((x >= 1) & (x < 171), product)
 
 
 def clip(x: Column, low: float, high: float) -> Column:

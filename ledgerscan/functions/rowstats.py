@@ -149,15 +149,16 @@ def row_harmean(xs: Numbers) -> Column:
 
 
 def _whole(x: Column) -> Column:
-    return F.abs(F.coalesce(x.cast("long"), F.lit(0).cast("long")))
+    """Whole part; 0 for a missing value, null beyond the range of a long."""
+    return F.abs(F.when(x.isNull(), F.lit(0).cast("long")).otherwise(x.try_cast("long")))
 
 
-def _gcd(a: Column, b: Column) -> Column:
+def _gcd(a: Column, b: Column, kind: str = "long") -> Column:
     step = F.aggregate(
         F.sequence(F.lit(1), F.lit(_EUCLID_STEPS)),
         F.struct(a.alias("a"), b.alias("b")),
         lambda s, _: F.when(s["b"] == 0, s).otherwise(
-            F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).alias("b"))
+            F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).cast(kind).alias("b"))
         ),
     )
     return step["a"]
@@ -171,7 +172,7 @@ def row_lcm(xs: Numbers) -> Column:
     """Least common multiple as a whole decimal; 0 if any value is 0 or missing, null beyond 38 digits."""
 
     def pair(a: Column, b: Column) -> Column:
-        divisor = _gcd(a.cast("long"), b)
+        divisor = _gcd(a, b.cast("decimal(38,0)"), "decimal(38,0)")
         return F.coalesce(
             F.try_multiply((F.try_divide(a, divisor)).cast("decimal(38,0)"), b.cast("decimal(20,0)")),
             F.when((a == 0) | (b == 0), F.lit(0)),

@@ -189,7 +189,7 @@ def weighted_quantiles(numbers: DataFrame, points: Sequence[float]) -> DataFrame
     for i, p in enumerate(points):
         at = (F.col("__n") - 1) * F.lit(float(p))
         low, high = F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        named.append((low + (high - low) * (at - F.floor(at))).alias(_point_name(p)))
+        named.append(ordered.between_ranks(low, high, at).alias(_point_name(p)))
     return picked.select("column", *named)
 
 

@@ -186,6 +186,12 @@ def neighbours(
     return out.filter(~F.col("__halo")).select(*df.columns, *outputs)
 
 
+def between_ranks(low: Column, high: Column, rank: Column) -> Column:
+    """Interpolation as the built-in aggregate does it, to the last bit."""
+    inner = (F.ceil(rank) - rank) * low + (rank - F.floor(rank)) * high
+    return F.when((low == high) | (F.ceil(rank) == F.floor(rank)), low).otherwise(inner)
+
+
 def quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -228,7 +234,7 @@ def quantiles(
     for i, p in enumerate(points):
         rank = (F.col("__n") - 1) * F.lit(float(p))
         low, high = F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        by_name = by_name.withColumn(f"__q{i}", low + (high - low) * (rank - F.floor(rank)))
+        by_name = by_name.withColumn(f"__q{i}", between_ranks(low, high, rank))
     wide = [
         F.max(F.when(F.col("__name") == v, F.col(f"__q{i}"))).alias(f"{v}__q{i}")
         for v in values

@@ -7,11 +7,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_FOLDERS: dict[str, str] = {}
+_LOCAL_FOLDERS: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder the session names; a local one only for local sessions that name none."""
+    """The checkpoint folder the session names; a local one, gone when Python ends, only for local sessions that name none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
@@ -19,8 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="ledgerscan-")
-    return _LOCAL_FOLDERS[app]
+        _LOCAL_FOLDERS[app] = tempfile.TemporaryDirectory(prefix="ledgerscan-", ignore_cleanup_errors=True)
+    return _LOCAL_FOLDERS[app].name
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from ledgerscan.sources.schema import clean_columns, make_unique
 
 _EXTRA = "__beyond_last_column"
+SEPARATORS = (",", ";", "\t", "|")
 
 
 def _strings(names: list[str]) -> T.StructType:
@@ -20,18 +22,25 @@ def _strings(names: list[str]) -> T.StructType:
 def read_csv(
     spark: SparkSession,
     path: str,
-    sep: str = ",",
+    sep: str | None = None,
     encoding: str = "UTF-8",
     skiprows: int = 0,
     header_row: int = 0,
+    multiline: bool = True,
 ) -> DataFrame:
     """Delimited text with a header; lines with too many fields are left out, short ones padded.
 
+    Without ``sep`` the separator is the most frequent of comma, semicolon, tab and bar in the first
+    line. ``multiline`` reads line breaks inside quotes; a file is then one task, so write files of
+    moderate size, and set it to false for files known to have none.
+
     Every file of a folder has its own header. ``skiprows`` leaves out the lines 1..n of the input,
     ``header_row`` is the 0-based line of the header among the others; with either of them the files
     of a folder count as one and quoted line breaks are not supported.
     """
-    options = {"sep": sep, "encoding": encoding, "quote": '"', "escape": '"'}
+    options = {"sep": sep or _separator(spark, path), "encoding": encoding, "quote": '"', "escape": '"'}
+    if multiline and not skiprows and not header_row:
+        options["multiLine"] = "true"
     if not skiprows and not header_row:
         source = path
         names = _header_names(spark, path, options)
@@ -50,6 +59,13 @@ def read_csv(
     return df.filter(F.col(_EXTRA).isNull()).drop(_EXTRA)
 
 
+def _separator(spark: SparkSession, path: str) -> str:
+    """The most frequent separator in the first line, outside quotes."""
+    line = spark.read.text(path).first()
+    bare = re.sub(r'"[^"]*"', "", line[0] if line else "")
+    return max(SEPARATORS, key=bare.count)
+
+
 def _header_names(spark: SparkSession, source, options: dict) -> list[str | None]:
     """The fields of the first line, as written."""
     row = spark.read.options(**options).option("header", False).csv(source).first()
@@ -99,6 +115,6 @@ def read_any(spark: SparkSession, path: str, format: str | None = None, **option
         return read_json(spark, path, **({"lines": True} if kind == "jsonl" else {}), **options)
     if kind == "xml":
         return read_xml(spark, path, **options)
-    if kind == "tsv":
+    if kind in ("tsv", "txt") and (kind == "tsv" or format):
         options.setdefault("sep", "\t")
     return read_csv(spark, path, **options)

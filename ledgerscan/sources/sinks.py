@@ -24,6 +24,8 @@ def write(
         writer = writer.option("maxRecordsPerFile", rows_per_file)
     if format in ("csv", "txt", "tsv"):
         writer = writer.option("header", True).option("encoding", "UTF-8").option("escape", '"')
+        # blanks at the ends of a value belong to it
+        writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         writer.option("sep", "," if format == "csv" else "\t").option("emptyValue", "").csv(path)
     elif format == "json":
         writer.option("timestampFormat", _ISO).option("timestampNTZFormat", _ISO).json(path)

@@ -92,7 +92,7 @@ def test_quantiles_both_ways(df, pdf, keys):
         if keys:
             frame.set_index("g", inplace=True)
             frame.sort_index(inplace=True)
-    pd.testing.assert_frame_equal(built_in, spread[built_in.columns], check_exact=False)
+    pd.testing.assert_frame_equal(built_in, spread[built_in.columns], check_exact=True)
     expected = (pdf.groupby("g")["x"] if keys else pdf["x"]).quantile(0.25)
     np.testing.assert_allclose(np.ravel(spread["x__q1"]), np.ravel(expected))
 
@@ -128,7 +128,7 @@ def test_profile_matches_pandas(df, pdf):
     z = (x - x.mean()) / x.std(ddof=0)
     assert row["skewness"] == pytest.approx((z**3).mean()) and row["kurtosis"] == pytest.approx((z**4).mean() - 3)
     spread = profile.numeric_profile(df, ["x", "ord"], small_values=0).toPandas().set_index("column")
-    pd.testing.assert_frame_equal(out.sort_index(), spread.sort_index())
+    pd.testing.assert_frame_equal(out.sort_index(), spread.sort_index(), check_exact=True)
     bins = profile.histogram(df, ["x"]).orderBy("bin").toPandas()["rows"].tolist()
     assert bins == np.histogram(x, bins=min(20, max(5, int(np.sqrt(len(x))))))[0].tolist()
 
