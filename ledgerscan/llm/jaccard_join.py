@@ -40,6 +40,10 @@ BLOCK_SHINGLES = 1 << 20
 #: Rows of two longs up to this number are broadcast; beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 2_000_000
 KNOWN_WORDS = 500_000
+#: From this number of pieces on, empty ones are not listed. A link would be lost only if fewer than m
+#: differences hit every piece that is not empty: about sqrt(2 pi m) exp(-m), below 2e-13, less than
+#: what hashing shingles to 64 bits leaves open.
+MANY_PIECES = 32
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -125,8 +129,10 @@ def signatures(shingles: np.ndarray, classes: list[int], percent: int) -> list[n
         if k >= 0:
             m = pieces(classes, k, percent)
             sums = np.zeros(m, np.uint64)
-            np.add.at(sums, ((shingles >> np.uint64(20)) % np.uint64(m)).astype(np.int64), spread)
-            out.append(mix(sums + np.arange(m, dtype=np.uint64) * _A + np.uint64(k * int(_B) % (1 << 64))))
+            piece = ((shingles >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
+            np.add.at(sums, piece, spread)
+            keys = mix(sums + np.arange(m, dtype=np.uint64) * _A + np.uint64(k * int(_B) % (1 << 64)))
+            out.append(keys[np.bincount(piece, minlength=m) > 0] if m >= MANY_PIECES else keys)
     return out
 
 
