@@ -1,7 +1,7 @@
 """Tolerant reading of number, date, truth and text values.
 
-Everything here is a Catalyst expression: no UDF, so predicates built on top stay inside
-whole-stage code generation and messy text columns are parsed in the same pass as the filter.
+Everything here is a Catalyst expression, no UDF, and messy text columns are parsed in the same pass as
+the filter. Parsing goes through array lambdas, which Spark interprets; only plain comparisons are compiled.
 """
 
 from __future__ import annotations
