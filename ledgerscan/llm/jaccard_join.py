@@ -44,6 +44,9 @@ KNOWN_WORDS = 500_000
 #: differences hit every piece that is not empty: about sqrt(2 pi m) exp(-m), below 2e-13, less than
 #: what hashing shingles to 64 bits leaves open.
 MANY_PIECES = 32
+#: Below it, a set with empty pieces is dealt again by another hash, until none is empty. Two linked sets
+#: that agree in empty pieces only are both dealt again, so no link is lost; the last level lists all.
+LEVELS = 64
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -126,13 +129,19 @@ def signatures(shingles: np.ndarray, classes: list[int], percent: int) -> list[n
     spread = mix(shingles)
     out = []
     for k in (own, own - 1):
-        if k >= 0:
-            m = pieces(classes, k, percent)
+        if k < 0:
+            continue
+        m = pieces(classes, k, percent)
+        for level in range(LEVELS):
+            dealt = shingles >> np.uint64(20) if level == 0 else mix(shingles + np.uint64(level * int(_B) % (1 << 64)))
+            piece = (dealt % np.uint64(m)).astype(np.int64)
             sums = np.zeros(m, np.uint64)
-            piece = ((shingles >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
             np.add.at(sums, piece, spread)
-            keys = mix(sums + np.arange(m, dtype=np.uint64) * _A + np.uint64(k * int(_B) % (1 << 64)))
-            out.append(keys[np.bincount(piece, minlength=m) > 0] if m >= MANY_PIECES else keys)
+            keys = mix(sums + np.arange(m, dtype=np.uint64) * _A + np.uint64((k + (level << 12)) * int(_B) % (1 << 64)))
+            used = np.bincount(piece, minlength=m) > 0
+            out.append(keys[used] if level + 1 < LEVELS else keys)
+            if m >= MANY_PIECES or used.all():
+                break
     return out
 
 
@@ -199,13 +208,30 @@ def light_links(light: DataFrame, most: int, percent: int) -> DataFrame:
 
 
 def local_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among ``sets``, by pivots (see the module)."""
+    """A spanning forest of the links among ``sets``, by pivots (see the module).
+
+    A pivot is compared with the sets that share one of its rarest shingles: whatever is linked to it,
+    or to a set linked to it, overlaps it by ``2 * percent - 100`` and so has one of them in common.
+    """
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
     starts = np.cumsum(sizes) - sizes
-    vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    vocabulary, flat, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     mark = np.zeros(len(vocabulary), bool)
     parent = [*range(m)]
+    alive = np.ones(m, bool)
+
+    # inverted lists of the rarest shingles of every set
+    low = max(0, 2 * percent - 100)
+    owner = np.repeat(np.arange(m), sizes)
+    rare = np.lexsort((flat, times[flat], owner))
+    rare = rare[np.arange(len(flat)) - np.repeat(starts, sizes) < np.repeat(sizes + (-low * sizes // 100) + 1, sizes)]
+    rare = rare[times[flat[rare]] > 1]
+    tokens, owners = flat[rare], owner[rare]
+    listed = owners[np.argsort(tokens, kind="stable")]
+    many = np.bincount(tokens, minlength=len(vocabulary))
+    begin = np.cumsum(many) - many
+    own = np.searchsorted(owners, np.arange(m + 1))
 
     def find(x):
         while parent[x] != x:
@@ -213,19 +239,32 @@ def local_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
             x = parent[x]
         return x
 
+    def stretches(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Places ``first, first + 1, ...`` of every stretch."""
+        return np.repeat(first - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+
+    def candidates(p: int) -> np.ndarray:
+        t = tokens[own[p] : own[p + 1]]
+        found = listed[stretches(begin[t], many[t])]
+        return np.unique(found[alive[found]])
+
     def shared(p: int, others: np.ndarray) -> np.ndarray:
         """Sizes of the overlaps of ``p`` with ``others``."""
         mark[flat[starts[p] : starts[p] + sizes[p]]] = True
         lengths = sizes[others]
-        at = np.repeat(starts[others] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        at = stretches(starts[others], lengths)
         sums = np.add.reduceat(mark[flat[at]].astype(np.int64), np.cumsum(lengths) - lengths)
         mark[flat[starts[p] : starts[p] + sizes[p]]] = False
         return sums
 
     links = []
-    rest = np.arange(m)
-    while len(rest) > 1:
-        p, others = rest[0], rest[1:]
+    for p in range(m):
+        if not alive[p]:
+            continue
+        alive[p] = False
+        others = candidates(p)
+        if not len(others):
+            continue
         both = shared(p, others)
         either = sizes[p] + sizes[others] - both
         linked = 100 * both >= percent * either
@@ -236,6 +275,7 @@ def local_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
                 links.append((p, y))
         near, limit = others[linked], 1 - percent / 100
         near_far = far[linked]
+        alive[near] = False
         for x, d in zip(others[~linked], far[~linked], strict=True):
             if d <= 2 * limit + 1e-9 and find(x) != find(p):
                 ys = near[near_far >= d - limit - 1e-9]
@@ -248,7 +288,6 @@ def local_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
                         parent[find(x)] = find(y)
                         links.append((y, x))
                         break
-        rest = others[~linked]
     return links
 
 

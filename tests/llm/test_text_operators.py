@@ -203,3 +203,38 @@ def test_quality_agrees_with_labels(spark):
     found = quality_rules.quality_rules(docs, labels.filter("quality = 1").select("doc_id")).join(labels, "doc_id")
     wrong = found.filter("not base_failed and kept <> (quality = 1)").count()
     assert wrong <= 0.01 * found.count()
+
+
+@pytest.mark.parametrize("percent", [80, 90, 55, 30])
+def test_jaccard_pieces_and_lists_lose_no_link(percent):
+    """Linked sets always share a listed piece, and the forest of a block has the components of all pairs."""
+    draw = np.random.default_rng(percent)
+    passage = draw.integers(0, 1 << 63, 60).astype(np.uint64)
+    classes = jaccard_join.size_classes(percent)
+    for _ in range(15):
+        sets = []
+        for _ in range(10):
+            base = np.concatenate([draw.integers(0, 1 << 63, draw.integers(1, 160)).astype(np.uint64), passage[: draw.integers(0, 60)]])
+            for _ in range(draw.integers(1, 7)):
+                gone = draw.permutation(len(base))[: int(len(base) * (100 - percent) / 100 * draw.random() * 1.3)]
+                near = base.copy()
+                near[gone] = draw.integers(0, 1 << 63, len(gone)).astype(np.uint64)
+                sets.append(np.unique(near))
+        signed = [{*np.concatenate(jaccard_join.signatures(s, classes, percent)).tolist()} for s in sets]
+        pairs = []
+        for a in range(len(sets)):
+            for b in range(a):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                    pairs.append((a, b))
+                    assert signed[a] & signed[b]
+        assert groups(len(sets), pairs) == groups(len(sets), jaccard_join.local_links(sets, percent))
+
+
+def groups(size, links):
+    """Smallest member of everyone's component."""
+    label = [*range(size)]
+    for a, b in links:
+        low, high = sorted((label[a], label[b]))
+        label = [low if x == high else x for x in label]
+    return label
