@@ -1,30 +1,32 @@
 """Benchmark decontamination by spaced seeds. DataFrame functions only.
 
-A seed is a fixed mask over ``SPAN`` neighbouring words; words at its open places are ignored, so a
-hash of the others survives substitutions there. Masked hashes of all places of the benchmark items
-and of every ``STEP``-th place of the documents are joined; around every hit the words of document
-and item are compared place by place, and an overlap counts where ``share`` of a stretch of
-``stretch`` item words (the whole item if it is shorter) is equal.
+A seed is a fixed mask over neighbouring words; words at its open places are ignored. The mask of an item
+is the heaviest of ``MASKS`` that no substitutions within ``share`` of ``stretch`` item words (the whole
+item if it is shorter) can hit at all of its places, so every overlap leaves a seed whole. Masked hashes
+of all places of the benchmark items and of the documents are joined; around every hit the words of
+document and item are compared place by place, and an overlap counts where ``share`` of a stretch is
+equal.
 
 Words are runs of letters and digits, in lower case, so punctuation plays no part.
 
-Cases: null and empty texts and items shorter than the mask have no hits; equal rows of documents each
-get their rows; items with equal words are each reported; an empty table gives no rows; other columns
-are ignored.
+Cases: null and empty texts and items of fewer than ``SHORTEST`` words have no hits; equal rows of
+documents each get their rows; items with equal words are each reported; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from ledgerscan.llm.common import text_of, without, written
 
-#: Masks over ten words: a hash takes the words marked 1.
-MASKS = ("1110010110", "1010011011", "1100110101")
-SPAN = 10
-STEP = 2
+#: From the heaviest: a hash takes the words marked 1. The first serves 15 words and more at ``SHARE``.
+MASKS = ("11101", "1111", "1101", "111", "11", "1")
 STRETCH = 20
+#: Items of fewer words are not looked for.
+SHORTEST = 10
 SHARE = 0.8
 #: Seeds of the benchmark up to this number (24 bytes each) are broadcast; beyond, Spark joins by shuffle.
 BROADCAST_SEEDS = 4_000_000
@@ -37,21 +39,43 @@ def plain_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), NOT_WORD), lambda w: w != "")
 
 
-def seeds(hashes: str, step: int) -> Column:
-    """``(place, hash)`` of every mask at every ``step``-th place of an array of word hashes."""
-    last = F.size(hashes) - SPAN
-    places = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(step))).otherwise(F.expr("array()").cast("array<int>"))
+def least_changes(mask: str, n: int) -> int:
+    """The fewest substitutions in ``n`` words that hit ``mask`` at every place; 0 where it has no place."""
+    span = len(mask)
+    taken = int(mask, 2)
+    costs = {0: 0}  # by the changed ones of the last words
+    for k in range(1, n + 1):
+        after: dict[int, int] = {}
+        for last, cost in costs.items():
+            for change in (0, 1):
+                now = (last << 1 | change) & ((1 << span) - 1)
+                if (k < span or now & taken) and cost + change < after.get(now, n + 1):
+                    after[now] = cost + change
+        costs = after
+    return min(costs.values())
 
-    def at(p):
-        return [
-            F.struct(
-                p.alias("place"),
-                F.xxhash64(F.lit(m), *[F.get(hashes, p + k) for k, bit in enumerate(mask) if bit == "1"]).alias("seed"),
-            )
-            for m, mask in enumerate(MASKS)
-        ]
 
-    return F.flatten(F.transform(places, lambda p: F.array(*at(p))))
+def mask_of(n: int, share: float) -> str:
+    """The first mask that is left whole by all substitutions ``share`` allows in ``n`` words."""
+    changes = n - next(k for k in range(n + 1) if k >= share * n)
+    return next((m for m in MASKS if least_changes(m, n) > changes), MASKS[-1])
+
+
+def seeds(hashes: str, masks: list[str]) -> Column:
+    """``(place, hash)`` of the masks at every place of an array of word hashes."""
+
+    def of(mask):
+        last = F.size(hashes) - len(mask)
+        places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.expr("array()").cast("array<int>"))
+
+        def at(p):
+            words = [F.get(hashes, p + k) for k, bit in enumerate(mask) if bit == "1"]
+            return F.struct(p.alias("place"), F.xxhash64(F.lit(mask), *words).alias("seed"))
+
+        return F.transform(places, at)
+
+    each = [of(m) for m in masks]
+    return each[0] if len(each) == 1 else F.concat(*each)
 
 
 def text_key(text_col: str) -> Column:
@@ -70,15 +94,21 @@ def matched_texts(
 ) -> DataFrame:
     """``key, item_id, n_equal, n_words, start`` of every distinct text and item that overlap; written."""
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), plain_words(text_of(item_text)).alias("iw"))
-    items = items.filter(F.size("iw") >= SPAN)
+    items = items.filter(F.size("iw") >= SHORTEST)
     item_seeds = items.withColumn("h", F.transform("iw", lambda w: F.xxhash64(w)))
-    item_seeds = item_seeds.select("item_id", F.xxhash64("iw").alias("ik"), F.explode(seeds("h", 1)).alias("s"))
+    judged = F.least(F.size("iw"), F.lit(stretch))
+    masks = {r["n"]: mask_of(r["n"], share) for r in items.select(judged.alias("n")).distinct().collect()}
+    used = sorted({*masks.values()}, key=MASKS.index) or [MASKS[0]]
+    own = F.lit(None).cast(ArrayType(StructType([StructField("place", IntegerType(), False), StructField("seed", LongType(), False)])))
+    for m in used:
+        own = F.when(judged.isin([n for n, x in masks.items() if x == m]), seeds("h", [m])).otherwise(own)
+    item_seeds = item_seeds.select("item_id", F.xxhash64("iw").alias("ik"), F.explode(own).alias("s"))
     item_seeds = written(item_seeds.select("item_id", "ik", F.col("s.place").alias("ip"), F.col("s.seed").alias("seed")).distinct())
     small = item_seeds.count() <= BROADCAST_SEEDS
 
     rows = docs.select(text_key(text_col).alias("key"), text_of(text_col).alias("text"))
     hashed = rows.select("key", F.transform(plain_words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-    found = hashed.select("key", F.explode(seeds("h", STEP)).alias("s"))
+    found = hashed.select("key", F.explode(seeds("h", used)).alias("s"))
     found = found.select("key", F.col("s.place").alias("dp"), F.col("s.seed").alias("seed"))
     hits = found.join(F.broadcast(item_seeds) if small else item_seeds, "seed")
     hits = hits.select("key", "item_id", "ik", (F.col("dp") - F.col("ip")).alias("start"))

@@ -182,6 +182,29 @@ def test_overlaps_tolerate_substitutions(spark):
     assert decontaminate.overlaps(docs.limit(0), bench).count() == 0
 
 
+def test_no_pattern_of_substitutions_hides_an_overlap(spark):
+    from itertools import combinations
+
+    def left(mask, n, changed):
+        return any(all(p + k not in changed for k, bit in enumerate(mask) if bit == "1") for p in range(n - len(mask) + 1))
+
+    for n in range(1, 21):
+        changes, mask = n // 5, decontaminate.mask_of(n, 0.8)
+        assert all(left(mask, n, c) for c in combinations(range(n), changes))
+        for m in decontaminate.MASKS:
+            least = decontaminate.least_changes(m, n)
+            assert least > 4 or not all(left(m, n, c) for c in combinations(range(n), least))
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in (10, 12, 15, 20, 33)]
+    rows = []
+    for n, item in items:
+        for c in [(), *list(combinations(range(min(n, 20)), min(n, 20) // 5))[:: 20]]:
+            for before in (2, 3):
+                words = [f"x{k}" if k in c else w for k, w in enumerate(item.split()[:20])]
+                rows.append((len(rows), " ".join(["pad"] * before + words + ["pad"])))
+    found = decontaminate.overlaps(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r["doc_id"] for r in found.collect()} == {i for i, _ in rows}
+
+
 # -- 9 -------------------------------------------------------------------------------------------
 
 
