@@ -9,9 +9,9 @@ equal.
 
 Words are runs of letters and digits, in lower case, so punctuation plays no part.
 
-Cases: null and empty texts and items of fewer than ``SHORTEST`` words have no hits; equal rows of
-documents each get their rows; items with equal words are each reported; an empty table gives no rows;
-other columns are ignored.
+Cases: null and empty texts and items without words have no hits; short items are found by lighter masks,
+one of a word or two wherever its words stand; equal rows of documents each get their rows; items with
+equal words are each reported; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +25,6 @@ from ledgerscan.llm.common import text_of, without, written
 #: From the heaviest: a hash takes the words marked 1. The first serves 15 words and more at ``SHARE``.
 MASKS = ("11101", "1111", "1101", "111", "11", "1")
 STRETCH = 20
-#: Items of fewer words are not looked for.
-SHORTEST = 10
 SHARE = 0.8
 #: Seeds of the benchmark up to this number (24 bytes each) are broadcast; beyond, Spark joins by shuffle.
 BROADCAST_SEEDS = 4_000_000
@@ -94,7 +92,7 @@ def matched_texts(
 ) -> DataFrame:
     """``key, item_id, n_equal, n_words, start`` of every distinct text and item that overlap; written."""
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), plain_words(text_of(item_text)).alias("iw"))
-    items = items.filter(F.size("iw") >= SHORTEST)
+    items = items.filter(F.size("iw") > 0)
     item_seeds = items.withColumn("h", F.transform("iw", lambda w: F.xxhash64(w)))
     judged = F.least(F.size("iw"), F.lit(stretch))
     masks = {r["n"]: mask_of(r["n"], share) for r in items.select(judged.alias("n")).distinct().collect()}

@@ -205,6 +205,13 @@ def test_no_pattern_of_substitutions_hides_an_overlap(spark):
     assert {r["doc_id"] for r in found.collect()} == {i for i, _ in rows}
 
 
+def test_items_of_few_words_are_found(spark):
+    items = [(1, "alone"), (3, "one two three"), (5, "a b c d e"), (9, "q w e r t y u i o"), (20, "...")]
+    rows = [(0, "all alone"), (1, "x one, two THREE"), (2, "one two 3"), (3, "a b x d e"), (4, "a x c x e"), (5, "q w e r x y u i o"), (6, "one two")]
+    found = decontaminate.overlaps(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(0, 1), (1, 3), (3, 5), (5, 9)}
+
+
 # -- 9 -------------------------------------------------------------------------------------------
 
 
