@@ -1,10 +1,12 @@
 """Main text of web pages by consensus host paths.
 
-Every page scores its containers by the running text they hold directly (links count against it, half
-goes on to the container around). The best container's path of tags and classes, with numbers
-generalised, is the page's vote; votes are counted per host in Spark, and all pages of a host are
-extracted again at the winning path. A page without text there, or with most of its text elsewhere,
-is extracted at its own best container.
+Every page scores its containers by the running text they hold directly (links count against it) and
+climbs from the best one to the smallest that holds all running text of the page; an article or main
+element with nearly all of it and no first headline outside is the end of the climb. The path of tags and
+classes of the container found, with numbers generalised, is the page's vote; votes are counted per host
+in Spark, and all pages of a host are extracted again at the winning path. A page without text there,
+with most of its text elsewhere, with a headline elsewhere, or whose own container below the body holds
+more around it, is extracted at its own container.
 
 Left out everywhere: navigation, page headers, footers, asides, forms, scripts, hidden parts, and
 elements whose class, id or role names them as such, as adverts, notices or comments.
@@ -28,6 +30,8 @@ from ledgerscan.llm.common import prepare, text_of, written
 #: Hosts up to this number (at most 600 bytes each) are broadcast; beyond, Spark joins by shuffle.
 BROADCAST_HOSTS = 100_000
 LONGEST_PATH = 400
+#: Share of the running text with which an article or main element is taken for the whole.
+NEARLY_ALL = 0.9
 
 # fixed values: elements of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -69,7 +73,9 @@ class Page:
     def __init__(self, source: str):
         self.paths: list[str] = [""]  # of every container
         self.parents: list[int] = [-1]
+        self.tags: list[str] = [""]
         self.blocks: list[tuple[int, str, int]] = []  # container, text, letters in links
+        self.headlines: list[int] = []  # containers of h1 elements with text
         self._read(source)
 
     def _read(self, source: str) -> None:
@@ -87,6 +93,8 @@ class Page:
                 block = SPACE.sub(" ", "".join(text)).strip()
                 if block:
                     self.blocks.append((state()[1], block, linked))
+                    if any(s[0] == "h1" for s in stack):
+                        self.headlines.append(state()[1])
                 text.clear()
             linked = 0
 
@@ -169,6 +177,7 @@ class Page:
                     path = path[: LONGEST_PATH - 40] + "#" + blake2b(path.encode(), digest_size=16).hexdigest()
                 self.paths.append(path)
                 self.parents.append(above[1])
+                self.tags.append(tag)
                 stack.append((tag, len(self.paths) - 1, out, path))
             else:
                 stack.append((tag, above[1], out, above[3]))
@@ -195,15 +204,22 @@ class Page:
         return bool(parts & NAMES) or (bool(parts & PAGE_PARTS) and not inside and not parts & OWN_PARTS)
 
     def best(self) -> tuple[int, float]:
-        """The container with the most running text, and its score."""
-        scores = [0.0] * len(self.paths)
+        """The smallest container around the most running text that holds all of it, and its score."""
+        scores = [0] * len(self.paths)
         for container, block, linked in self.blocks:
-            own = max(0, len(block) - 2 * linked)
-            scores[container] += own
-            if self.parents[container] > 0:
-                scores[self.parents[container]] += own / 2
+            scores[container] += max(0, len(block) - 2 * linked)
         at = max(range(len(scores)), key=lambda k: (scores[k], -k))
-        return at, scores[at]
+        for k in range(len(scores) - 1, 0, -1):
+            scores[self.parents[k]] += scores[k]
+        while scores[at] < scores[0]:
+            if self.tags[at] in ("article", "main") and scores[at] >= NEARLY_ALL * scores[0] and self.headed(self.below(lambda k: k == at)):
+                break
+            at = self.parents[at]
+        return at, float(scores[at])
+
+    def headed(self, inside: list[bool]) -> bool:
+        """Whether no first headline stands outside."""
+        return all(inside[k] for k in self.headlines)
 
     def text(self, inside: list[bool]) -> str:
         return "\n".join(block for container, block, _ in self.blocks if inside[container])
@@ -217,10 +233,15 @@ class Page:
 
     def extract(self, path: str | None) -> str:
         at, _ = self.best()
-        own = self.text(self.below(lambda k: k == at))
+        mine = self.below(lambda k: k == at)
+        own = self.text(mine)
         if path is None or self.paths[at] == path and self.paths.count(path) == 1:
             return own
-        agreed = self.text(self.below(lambda k: self.paths[k] == path))
+        theirs = self.below(lambda k: self.paths[k] == path)
+        agreed = self.text(theirs)
+        part = all(m or not t for m, t in zip(mine, theirs, strict=True)) and len(agreed) < len(own)
+        if part and (self.tags[at] not in ("", "html", "body") or not self.headed(theirs)):
+            return own
         return agreed if 2 * len(agreed) >= len(own) else own
 
 

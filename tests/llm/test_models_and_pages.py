@@ -43,6 +43,31 @@ def test_hosts_agree_on_a_path(spark):
     assert html_extract.Page(short).extract(None) != ""
 
 
+def test_nothing_of_an_article_is_dropped(spark):
+    text = lambda word, letters: (f"{word} words here. " * letters)[:letters].strip()
+    lead, body, more = text("lead", 300), text("body", 1000), text("more", 400)
+    pages = {
+        "lead": f"<article><h1>Title</h1><p>{lead}</p><div class=body><p>{body}</p></div></article>",
+        "deep": f"<article><h1>Title</h1><p>{lead}</p><div class=wrap><div class=in><div class=body><p>{body}</p></div></div></div></article>",
+        "parts": f"<article><h1>Title</h1><section class=one><p>{body}</p></section><div class=two><p>{more}</p></div></article>",
+        "above": f"<h1>Title</h1><article><p>{body}</p></article>",
+        "post": f"<div class=post><h1>Title</h1><p>{lead}</p><div class=body><p>{body}</p></div></div>",
+    }
+    whole = {"lead": (lead, body), "deep": (lead, body), "parts": (body, more), "above": (body,), "post": (lead, body)}
+    nav = "<nav><a href=x>Elsewhere</a></nav><div class=ad>Buy</div>"
+    for k, page in pages.items():
+        assert html_extract.Page(f"<body>{nav}{page}<footer>us</footer>").extract(None).split("\n") == ["Title", *whole[k]]
+    stray = html_extract.Page(f"<body><article><h1>Title</h1><p>{body}</p></article><div>stray</div>")
+    assert stray.extract(None).split("\n") == ["Title", body]
+    # most pages of the host have only the body
+    flat = f"<body>{nav}<article><div class=body><h1>Title</h1><p>{body}</p></div></article>"
+    rows = [(k, "http://a.org/", flat) for k in range(3)] + [(9, "http://a.org/", f"<body>{nav}{pages['lead']}")]
+    rows += [(20 + k, "http://b.org/", f"<body>{nav}{pages['parts']}") for k in range(3)]
+    found = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    found = {r["page_id"]: r["text"].split("\n") for r in found}
+    assert found == {0: ["Title", body], 1: ["Title", body], 2: ["Title", body], 9: ["Title", lead, body]} | {k: ["Title", body, more] for k in (20, 21, 22)}
+
+
 # -- 7 -------------------------------------------------------------------------------------------
 
 
