@@ -36,11 +36,17 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group linked by shingles of five words, 0.8 or more."""
-    groups = jaccard_join.linked_components(docs, percent=80, shingle_words=5)
-    gone = written(groups.filter("doc_id <> component_id").select("doc_id").distinct())
+    """One row of every group linked by shingles of five words, 0.8 or more: the one with the smallest id, then text hash."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()))
+    groups = written(jaccard_join.linked_components(rows, percent=80, shingle_words=5, id_col="__row"))
+    several = written(groups.filter("doc_id <> component_id").select("component_id").distinct())
+    several = F.broadcast(several) if several.count() <= BROADCAST_IDS else several
+    members = groups.join(several, "component_id", "left_semi").select("component_id", F.col("doc_id").alias("__row"))
+    members = rows.select("__row", "doc_id", F.xxhash64("text").alias("th")).join(members, "__row")
+    stays = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "__row")).alias("s"))
+    gone = written(members.select("__row").join(stays.select("s.__row"), "__row", "left_anti"))
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(F.broadcast(gone) if few else gone, "__row", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def benchmark_overlap(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -152,6 +152,16 @@ def test_pipeline_equals_brute_force(spark):
     assert 0 < len(found) < docs.count()
 
 
+def test_near_duplicates_are_told_apart_by_row(spark):
+    import corpus_pipeline
+
+    same, other = (" ".join(f"{w}{k}" for k in range(40)) for w in "ab")
+    rows = [(None, same), (1, same), (1, same), (None, same), (2, other), (2, same), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(found, key=str) == sorted([(1, same), (2, other), (None, None), (None, None)], key=str)
+
+
 def test_stages_keep_the_columns(spark):
     import corpus_pipeline
 
