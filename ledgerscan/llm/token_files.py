@@ -24,6 +24,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,8 +35,11 @@ MAGIC = b"FRV1"
 #: A block is closed at this many values, a file aims at ``FILE_IDS``.
 BLOCK_IDS = 1 << 20
 FILE_IDS = 1 << 23
-#: words remembered by a worker (about 200 bytes each)
-KNOWN_WORDS = 1_000_000
+#: words remembered by a worker, after a space and at the start of a line: 80 MB and 20 MB
+KNOWN_WORDS = 400_000
+KNOWN_STARTS = 100_000
+#: letters of the texts whose chunks are looked up together
+BLOCK_LETTERS = 1 << 23
 TAILS = ".,!?;:%$&#*|"
 
 # length in bytes of the four values of every control byte, and the masks of the lengths
@@ -129,7 +133,8 @@ class Encoder:
         self.added = re.compile("|".join(sorted(added, key=len, reverse=True))) if added else None
         self.words = Chunks(self.chunk, KNOWN_WORDS)
         self.tails = Memory(self.piece, 10_000)
-        self.words.tails = self.tails
+        self.starts = Memory(lambda word: self.piece(word.encode().decode("latin-1").translate(self.letters)), KNOWN_STARTS)
+        self.words.tails, self.words.starts, self.words.line_break = self.tails, self.starts, self.piece(self.letters[10])
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -141,10 +146,14 @@ class Encoder:
 
     def chunk(self, chunk: str) -> bytes:
         """A space and what follows it up to the next safe cut."""
-        if chunk.isalpha() and max(chunk) < "\u0180":
+        if _plain(chunk):
             return self.piece("\u0120" + chunk.encode().decode("latin-1").translate(self.letters))
         return self.whole(" " + chunk)
 
+    def start(self, chunk: str) -> bytes:
+        """What a text begins with, up to the first safe cut."""
+        return self.starts[chunk] if _plain(chunk) else self.whole(chunk) if chunk else b""
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
@@ -157,19 +166,65 @@ class Encoder:
         first = self.whole(chunks[0])
         return first + b"".join(map(self.words.__getitem__, chunks[1:]))
 
+    def encode_all(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each closed by ``end``, and where each of them ends.
+
+        Every distinct chunk of the texts is looked up once; numpy gathers the ids of all of them.
+        """
+        split = pc.split_pattern(texts, " ")
+        bounds = split.offsets.to_numpy().astype(np.int64)
+        bounds -= bounds[0]
+        coded = split.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        index = coded.indices.to_numpy().astype(np.int64)
+        # texts that hold a special token, or a space beside white space or an end, go their own way
+        odd = np.fromiter((not c or c[0] in WHITE or c[-1] in WHITE for c in chunks), bool, len(chunks))
+        alone = np.add.reduceat(odd[index], bounds[:-1]) > 0 if len(texts) else np.zeros(0, bool)
+        for token in self.tokenizer.get_added_tokens_decoder().values():
+            alone |= pc.match_substring(texts, token.content).to_numpy(zero_copy_only=False)
+        special = {k: self.encode(texts[k].as_py()) for k in np.flatnonzero(alone).tolist()}
+        # a text begins without a space: its first chunk is an entry of its own, as is the end of a text
+        heads = [special[k] if k in special else self.start(chunks[at]) for k, at in enumerate(index[bounds[:-1]].tolist())]
+        index[bounds[:-1]] = len(chunks) + np.arange(len(heads))
+        used = np.zeros(len(chunks) + len(heads), bool)
+        used[index[~np.repeat(alone, np.diff(bounds))]] = True
+        entries = [self.words[c] if u else b"" for c, u in zip(chunks, used.tolist())] + heads + [end]
+        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // self.dtype.itemsize
+        starts = np.cumsum(sizes) - sizes
+        pool = np.frombuffer(b"".join(entries), dtype=self.dtype)
+        index = np.insert(index, bounds[1:], len(entries) - 1)
+        lengths = sizes[index]
+        ends = np.cumsum(lengths)
+        ids = pool[np.repeat(starts[index] - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return ids, ends[bounds[1:] + np.arange(len(heads))]
+
+
+def _plain(word: str) -> bool:
+    """Latin letters only: one pre-token of the byte-level pattern."""
+    return word.isalpha() and max(word) < "\u0180"
+
 
 class Chunks(Memory):
-    """Chunks by the word they hold: punctuation after a word is a pre-token of its own."""
+    """Chunks by the words they hold: punctuation after a word, a single line break and the word behind it are pre-tokens of their own."""
 
     def __missing__(self, key):
         word = key.rstrip(TAILS)
-        if word != key and word.isalpha():
+        if word != key and _plain(word):
             return self[word] + self.tails[key[len(word) :]]
+        if "\n" in key:
+            ended, _, begun = key.partition("\n")
+            word, other = ended.rstrip(TAILS), begun.rstrip(TAILS)
+            if _plain(word) and _plain(other):
+                return b"".join((self[word], self.tail(ended[len(word) :]), self.line_break, self.starts[other], self.tail(begun[len(other) :])))
         return super().__missing__(key)
 
+    def tail(self, letters: str) -> bytes:
+        return self.tails[letters] if letters else b""
+
 
 # a space beside white space, or at an end of the text; white space here is a superset of any engine's
 _WHITE = r"[\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]"
+WHITE = frozenset(c for c in map(chr, range(0x10000)) if re.match(_WHITE, c))
 ODD_SPACE = re.compile(rf" (?:{_WHITE}|\Z)|(?:{_WHITE}|\A) ")
 SAFE_CUT = re.compile(rf"(?<!{_WHITE})(?<!\A) (?!{_WHITE}|\Z)")
 
@@ -188,13 +243,25 @@ def token_table(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
 
     def encode(batches):
         enc = encoder(path)
+        size = enc.dtype.itemsize
         end = np.array([end_id], dtype=enc.dtype).tobytes()
+
+        def coded(held: list) -> pa.RecordBatch:
+            docs = pa.concat_arrays([b.column(0) for b in held])
+            ids, ends = enc.encode_all(pa.concat_arrays([b.column(1) for b in held]), end)
+            bounds = np.concatenate([[0], ends * size])
+            values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(docs), [None, pa.py_buffer(bounds), pa.py_buffer(ids.tobytes())])
+            return pa.RecordBatch.from_arrays([docs, pa.array(np.diff(bounds) // size), values.cast(pa.binary())], ["doc_id", "n", "ids"])
+
+        held, letters = [], 0
         for batch in batches:
-            ids = [enc.encode(t) + end for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(i) // enc.dtype.itemsize for i in ids], pa.int64()), pa.array(ids, pa.binary())],
-                ["doc_id", "n", "ids"],
-            )
+            held.append(batch)
+            letters += batch.column(1).nbytes
+            if letters >= BLOCK_LETTERS:
+                yield coded(held)
+                held, letters = [], 0
+        if held:
+            yield coded(held)
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     return packed(rows.mapInArrow(encode, "doc_id long, n long, ids binary"))
@@ -298,7 +365,7 @@ def _decoded(spark: SparkSession, folder: str, column: str, value, kind) -> Data
                             ["part", "place", "doc_id", "n_tokens", column.split()[0]],
                         )
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # rows are whole files here
+    # rows are whole files; spark.sql.files.maxPartitionBytes bounds how many of them a batch holds
     read = whole.load(f"{folder}/blocks").select("content")
     return read.mapInArrow(decode, f"part long, place long, doc_id long, n_tokens long, {column}")
 
