@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from ledgerscan.llm.common import Memory, prepare, text_of, without
 from ledgerscan.llm.token_files import _byte_letters
 
-#: words and fragments remembered by a worker
-KNOWN_WORDS = 1_000_000
-KNOWN_FRAGMENTS = 200_000
+#: words and fragments remembered by a worker: 50 MB and 10 MB
+KNOWN_WORDS = 250_000
+KNOWN_FRAGMENTS = 50_000
 SHORT = 40
 ODD = re.compile("[\x1c-\x1f]")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -25,10 +26,11 @@ _SHIPPED: dict[str, tempfile.TemporaryDirectory] = {}
 def prepare(spark: SparkSession) -> None:
     """Makes Python workers ready: this package on their path, and few texts in an Arrow batch.
 
-    The package is shipped by Spark once per application, as ``--py-files`` would do.
+    The package is shipped by Spark once per application, as ``--py-files`` would do. A batch size that
+    the user has set is left alone.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > ROWS_PER_BATCH:
+    if key not in spark.conf.getAll:
         spark.conf.set(key, str(ROWS_PER_BATCH))
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
@@ -72,20 +74,35 @@ def white_words(text: Column) -> Column:
 
 
 class Memory(dict):
-    """Results by key, bounded: ``limit`` first ones stay (frequent keys come early), later ones pass through."""
+    """Results by key, bounded in bytes: first ones stay (frequent keys come early), later ones pass through.
+
+    ``limit`` is a number of entries of ``ENTRY`` bytes; larger entries take the room of several.
+    """
+
+    ENTRY = 200
 
     def __init__(self, compute, limit: int):
         super().__init__()
-        self.compute, self.limit, self.recent = compute, limit, {}
+        self.compute, self.recent = compute, {}
+        self.room, self.passing = limit * self.ENTRY, limit * self.ENTRY // 8
+        self.left = self.passing
 
     def __missing__(self, key):
         found = self.recent.get(key)
         if found is None:
             found = self.compute(key)
-            if len(self) < self.limit:
-                self[key] = found
-            else:
-                if len(self.recent) >= self.limit // 8:
-                    self.recent.clear()
-                self.recent[key] = found
+            self.keep(key, found)
         return found
+
+    def keep(self, key, found) -> None:
+        size = 100 + sys.getsizeof(key) + sys.getsizeof(found)
+        if self.room >= size:
+            self.room -= size
+            self[key] = found
+            return
+        if self.left < size:
+            self.recent.clear()
+            self.left = self.passing
+        if size <= self.left:
+            self.left -= size
+            self.recent[key] = found

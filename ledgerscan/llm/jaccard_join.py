@@ -36,10 +36,10 @@ from ledgerscan.llm.components import connected_components
 #: Sets up to this size may be light; their shingles travel with the row.
 LIGHT_MOST = 40
 #: Shingles in a block of a cluster.
-BLOCK_SHINGLES = 1 << 20
+BLOCK_SHINGLES = 1 << 19
 #: Rows of two longs up to this number are broadcast; beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 2_000_000
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 200_000
 #: From this number of pieces on, empty ones are not listed. A link would be lost only if fewer than m
 #: differences hit every piece that is not empty: about sqrt(2 pi m) exp(-m), below 2e-13, less than
 #: what hashing shingles to 64 bits leaves open.

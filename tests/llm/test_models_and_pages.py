@@ -165,6 +165,44 @@ def test_near_duplicates_are_told_apart_by_row(spark):
 def test_stages_keep_the_columns(spark):
     import corpus_pipeline
 
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("llr", F.lit("own"))
+    sf = "/root/testdata/sf0.001"
+    own = {"llr": F.lit("own"), "n_lines": F.lit("mine"), "kept": F.col("doc_id"), "component_id": F.lit(None).cast("int"), "__row": F.lit(3), "lang": F.lit("xx")}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns(own)
+    given = {r.doc_id: r for r in docs.collect()}
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns
+        found = stage(spark, docs, sf)
+        assert found.schema.simpleString() == docs.schema.simpleString()
+        for r in found.collect():
+            for c in ("llr", "n_lines", "kept", "component_id", "lang", "source"):
+                assert r[c] == given[r.doc_id][c]
+
+
+def test_stages_of_odd_rows(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source")
+    for rows in ([], [(None, None, "a"), (None, "", None), (1, None, "b"), (1, " \n ", "b"), (2, "x " * 60_000, "c"), (None, "x " * 60_000, "c")]):
+        odd = spark.createDataFrame(rows, docs.schema)
+        for name, stage in corpus_pipeline.STAGES:
+            found = stage(spark, odd, sf).collect()
+            if name == "jaccard_join":
+                assert len(found) == max(0, len(rows) - 1)  # the two long texts are one group
+            elif name != "quality_rules":
+                assert len(found) == len(rows)
+            else:
+                assert found == []  # fewer than 50 words, or the same ones again and again
+
+
+def test_rows_are_numbered_alike_in_any_splits(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/check_s/documents.parquet").select("doc_id", "text")
+    key, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        first = corpus_pipeline._with_rows(docs).agg(F.sum(F.xxhash64("doc_id", "__row").cast("decimal(38,0)")), F.countDistinct("__row")).first()
+        spark.conf.set(key, "1m")
+        again = corpus_pipeline._with_rows(docs).agg(F.sum(F.xxhash64("doc_id", "__row").cast("decimal(38,0)")), F.countDistinct("__row")).first()
+    finally:
+        spark.conf.set(key, before)
+    assert first == again and first[1] == docs.count()
