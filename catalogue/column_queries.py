@@ -184,17 +184,59 @@ def _parquet(spark, sf):
 )
 def _csv(spark, sf):
     """Every tenth line has a field too many, every other tenth one too few; each part has its header."""
-    path = _folder(spark, "lines")
     k = F.col("p_partkey")
     price = F.when(k % 10 != 1, F.col("p_retailprice").cast("string"))
     line = F.concat_ws(";", k.cast("string"), "p_name", price, F.when(k % 10 == 0, F.lit("extra")))
-    lines = table(spark, sf, "part").select((k % 4).alias("part"), F.lit(1).alias("at"), line.alias("value"))
-    heads = spark.range(4).select(F.col("id").alias("part"), F.lit(0).alias("at"), F.lit("id;name;price").alias("value"))
-    both = lines.unionByName(heads).repartition("part").sortWithinPartitions("part", "at")
-    both.select("part", "value").write.partitionBy("part").text(path)
+    path = _files(table(spark, sf, "part").select((k % 4).alias("part"), line.alias("value")), ["id;name;price"])
     return read_csv(spark, path + "/*", sep=";")
 
 
+def _files(lines, heads: list[str], path: str | None = None) -> str:
+    """A folder with a file of the lines of every ``part`` (0 to 3), each beginning with ``heads``."""
+    spark = lines.sparkSession
+    path = path or _folder(spark, "lines")
+    first = F.posexplode(F.array(*[F.lit(h) for h in heads])).alias("at", "value")
+    above = spark.range(4).select(F.col("id").alias("part"), first)
+    both = lines.select("part", F.lit(len(heads)).alias("at"), "value").unionByName(above)
+    both.repartition("part").sortWithinPartitions("part", "at").select("part", "value").write.partitionBy("part").text(path)
+    return path
+
+
+@query(
+    "source_csv_headers_per_file",
+    """SELECT CAST(c_custkey AS VARCHAR) AS key, 'say "' || c_name || '"' || chr(10) || ', it is' AS name, CAST(NULL AS VARCHAR) AS balance
+       FROM customer WHERE c_custkey % 2 = 0
+       UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_name, CAST(c_acctbal AS VARCHAR) FROM customer WHERE c_custkey % 2 = 1""",
+)
+def _headers(spark, sf):
+    """Even keys with line breaks, marks and commas inside quotes; odd ones in files with their columns in another order."""
+    k, name = F.col("c_custkey"), F.col("c_name")
+    spoken = F.concat(k.cast("string"), F.lit(',"say ""'), name, F.lit('""\n, it is"'))
+    customers = table(spark, sf, "customer").withColumn("part", F.floor(k / 2) % 4)
+    folder = _folder(spark, "headers")
+    _files(customers.filter(k % 2 == 0).select("part", spoken.alias("value")), ["key,name"], f"{folder}/even")
+    _files(customers.filter(k % 2 == 1).select("part", F.concat_ws(",", "c_acctbal", name, k).alias("value")), ["balance,name,key"], f"{folder}/odd")
+    return read_csv(spark, folder + "/*/*")
+
+
+def _charset_query(encoding: str, sample: str) -> None:
+    def build(spark, sf):
+        df = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit(sample), "c_name", F.lit("\n"), "c_mktsegment").alias("Açıklama" if "1254" in encoding else "Größe"))
+        path = write(df, _folder(spark, "charset"), "csv", encoding=encoding)
+        return read_any(spark, path, "csv", encoding=encoding)
+
+    column = "Açıklama" if "1254" in encoding else "Größe"
+    add(
+        f"source_sink_csv_{encoding.replace('-', '_')}",
+        build,
+        f"""SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, '{sample}' || c_name || chr(10) || c_mktsegment AS "{column}" FROM customer""",
+    )
+
+
+_charset_query("windows-1254", "Ğİşığı ÖÇÜ €“x” ")
+_charset_query("windows-1252", "Ðþ ÿ ß €“x”™ ")
+
+
 @query("source_sink_csv", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, nullif(segment, '') AS segment, "
        f"CAST(coalesce(balance, 0) AS VARCHAR) AS balance FROM {ACCOUNTS_SQL}")
 def _sink_csv(spark, sf):
@@ -315,12 +357,10 @@ def _value_index(spark, sf):
     """SELECT CAST(o_orderkey AS VARCHAR) AS key, CAST(o_totalprice AS VARCHAR) AS price, NULL::VARCHAR AS "Col_2" FROM orders""",
 )
 def _header_row(spark, sf):
-    """A report with a title line above its header, which ends in an unnamed column."""
-    path = _folder(spark, "report")
-    head = spark.range(0, 2, 1, 1).select(F.when(F.col("id") == 0, "Open orders").otherwise("key;price;").alias("value"))
-    body = table(spark, sf, "orders").select(F.concat_ws(";", "o_orderkey", "o_totalprice").alias("value"))
-    head.union(body).write.text(path)
-    return read_csv(spark, path, sep=";", header_row=1)
+    """Reports with a title line above their headers, which end in an unnamed column."""
+    line = F.concat_ws(";", "o_orderkey", "o_totalprice").alias("value")
+    path = _files(table(spark, sf, "orders").select((F.col("o_orderkey") % 4).alias("part"), line), ["Open orders", "key;price;"])
+    return read_csv(spark, path + "/*", sep=";", header_row=1)
 
 
 @query(
@@ -328,13 +368,10 @@ def _header_row(spark, sf):
     """SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS name FROM customer""",
 )
 def _skip_rows(spark, sf):
-    """Two lines of units below the header are left out."""
-    path = _folder(spark, "units")
-    lines = F.element_at(F.array(F.lit("key,name"), F.lit("number,text"), F.lit("-,-")), F.col("id").cast("int") + 1)
-    head = spark.range(0, 3, 1, 1).select(lines.alias("value"))
-    body = table(spark, sf, "customer").select(F.concat_ws(",", "c_custkey", "c_name").alias("value"))
-    head.union(body).write.text(path)
-    return read_csv(spark, path, skiprows=2)
+    """Two lines of units below the header of every file are left out."""
+    line = F.concat_ws(",", "c_custkey", "c_name").alias("value")
+    path = _files(table(spark, sf, "customer").select((F.col("c_custkey") % 4).alias("part"), line), ["key,name", "number,text", "-,-"])
+    return read_csv(spark, path + "/*", skiprows=2)
 
 
 @query("clean_column_names", """SELECT s_suppkey AS "id", s_name AS "id_2", s_nationkey AS "Col_2", s_acctbal AS "x" FROM supplier""")

@@ -1,6 +1,9 @@
+import csv
 import datetime as dt
+import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from ledgerscan.operators import columns as cols
@@ -38,6 +41,73 @@ def test_csv_encoding(spark, tmp_path):
     assert read_csv(spark, str(path), encoding="ISO-8859-1").first().ad == "Gökçe"
 
 
+def test_csv_charsets(spark, tmp_path):
+    turkish = "İstanbul, ığşĞ “€”"
+    for kind, name in (("windows-1254", "tr"), ("windows-1252", "de"), ("ISO-8859-9", "iso"), ("cp857", "dos")):
+        (tmp_path / name).write_bytes(f"ad;no\n{turkish};1\nÇ;2\n".encode(kind, "replace"))
+        got = sorted(tuple(r) for r in read_csv(spark, str(tmp_path / name), sep=";", encoding=kind).collect())
+        assert got == sorted([("Ç", "2"), (turkish.encode(kind, "replace").decode(kind), "1")])
+    report = tmp_path / "report.csv"
+    report.write_bytes("başlık\nad,no\ncafé,1\n".encode("ISO-8859-9"))
+    assert [tuple(r) for r in read_csv(spark, str(report), encoding="ISO-8859-9", header_row=1).collect()] == [("café", "1")]
+    with pytest.raises(ValueError):
+        read_csv(spark, str(report), encoding="UTF-16", header_row=1)
+
+
+def test_sink_charset(spark, tmp_path):
+    df = spark.createDataFrame([(1, "Ğİşı Ð 你"), (2, None)], "no int, `Açıklama` string")
+    path = write(df, str(tmp_path / "out"), "csv", encoding="windows-1254")
+    assert sorted(tuple(r) for r in read_csv(spark, path, encoding="windows-1254").collect()) == [("1", "Ğİşı ? ?"), ("2", None)]
+    with pytest.raises(ValueError):
+        write(df, path, "json", encoding="windows-1254")
+
+
+def test_csv_headers_per_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "b, c d.csv").write_text("b,a\n3,4\n")
+    (tmp_path / "e.csv").write_text("")
+    (tmp_path / "z.csv").write_text("\ufeffc,a,\n5,6,7\n", encoding="utf-8")
+    df = read_csv(spark, str(tmp_path))
+    assert df.columns == ["a", "b", "c", "Col_2"]
+    assert sorted(map(str, df.collect())) == sorted(map(str, [Row(*df.columns)(*r) for r in [("1", "2", None, None), ("4", "3", None, None), ("6", None, "5", "7")]]))
+
+
+def fields(rnd):
+    return rnd.choice(["", "x", "a b", 'say "hi"', '"', '""', "line\nbreak", "\n", "a,b", ' "lead', "tail ", "ü\n\n,\"\",\n", "plain"])
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_csv_line_breaks_over_tiny_ranges(spark, tmp_path, seed):
+    """One file, cut into ranges of a few bytes: the same records as a reader that sees the whole file."""
+    rnd = random.Random(seed)
+    rows = [[str(k), *(fields(rnd) for _ in range(3))] for k in range(150)]
+    path = tmp_path / "big.csv"
+    with open(path, "w", newline="") as f:
+        out = csv.writer(f, quoting=csv.QUOTE_ALL if seed == 3 else csv.QUOTE_MINIMAL, lineterminator="\r\n" if seed == 2 else "\n")
+        out.writerows([["id", "one", 'two\n"second"', "three"], *rows])
+    key, usual = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(key, "300")
+    try:
+        assert spark.read.text(str(path)).rdd.getNumPartitions() > 10
+        df = read_csv(spark, str(path))
+        got = sorted((tuple(v or "" for v in r) for r in df.collect()), key=lambda r: int(r[0]))
+    finally:
+        spark.conf.set(key, usual)
+    assert df.columns == ["id", "one", 'two\n"second"', "three"]
+    assert got == [tuple(v.replace("\r\n", "\n") for v in r) for r in rows]
+
+
+def test_csv_marks_inside_plain_values(spark, tmp_path):
+    """Quotes that do not begin a value are letters, as for Spark's own reader."""
+    path = tmp_path / "inches.csv"
+    path.write_text('id,size,note\n1,5" pipe,x\n2,"a\nb",6" y\n3,"q"" z",""\n4,plain,"two\n\nbreaks"\n5,x,y\n')
+    got = sorted(tuple(r) for r in read_csv(spark, str(path)).collect())
+    own = spark.read.csv(str(path), header=True, multiLine=True, escape='"')
+    assert got == sorted(tuple(r) for r in own.collect())
+    path.write_text('id,v\n1,a\n2,"never closed\n3,b\n')
+    assert len(read_csv(spark, str(path)).collect()) == 3
+
+
 def test_json_shapes(spark, tmp_path):
     array, single, lines = tmp_path / "a.json", tmp_path / "b.json", tmp_path / "c.json"
     array.write_text('[{"a": 1, "b": "x"},\n {"a": 2.5}]')
