@@ -383,6 +383,48 @@ plain_check(
         WHERE n <= 1 OR (d > 0 AND c = 0) OR (c > 0 AND d = 0)""",
     voucher_col="voucher", debit_col="debit", credit_col="credit",
 )
+def _sizes(spark, sf):
+    """Vouchers of three kinds: with 1e32 on both sides beside small amounts, in billionths, and as they are."""
+    kind, first = F.col("l_orderkey") % 3, F.col("l_linenumber") == 1
+    price, debit = F.col("l_extendedprice"), F.col("l_returnflag") == "A"
+
+    def side(mine):
+        return F.when((kind == 0) & first, F.lit(1e32)).when(mine, F.when(kind == 1, price * 1e-9).otherwise(price))
+
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", side(debit).alias("debit"), side(~debit).alias("credit"))
+
+
+_SIZES_SQL = """(SELECT l_orderkey, l_linenumber, l_orderkey % 3 AS kind,
+    CASE WHEN l_orderkey % 3 = 0 AND l_linenumber = 1 THEN 0 WHEN l_returnflag = 'A' THEN CAST(l_extendedprice AS DECIMAL(18,2)) ELSE 0 END AS debit,
+    CASE WHEN l_orderkey % 3 = 0 AND l_linenumber = 1 THEN 0 WHEN l_returnflag <> 'A' THEN CAST(l_extendedprice AS DECIMAL(18,2)) ELSE 0 END AS credit
+    FROM lineitem)"""
+
+
+@query(
+    "check_debit_credit_imbalance_all_sizes",
+    f"""WITH v AS (SELECT l_orderkey, kind, CAST(sum(debit) - sum(credit) AS DOUBLE) AS gap FROM {_SIZES_SQL} GROUP BY ALL)
+        SELECT l_orderkey, l_linenumber, round(gap, 2) AS difference,
+        CASE WHEN kind <> 1 AND abs(gap) > 1000 THEN 'Yüksek' ELSE 'Orta' END AS risk_level
+        FROM lineitem JOIN v USING (l_orderkey) WHERE gap <> 0""",
+)
+def _imbalance_sizes(spark, sf):
+    found = run_check(_sizes(spark, sf), "debit_credit_imbalance", "l_orderkey", debit_col="debit", credit_col="credit")
+    gap = F.when(F.col("l_orderkey") % 3 == 1, F.col("difference") * 1e9).otherwise(F.col("difference"))
+    return found.select("l_orderkey", "l_linenumber", F.round(gap, 2).alias("difference"), "risk_level")
+
+
+@query(
+    "check_single_leg_voucher_all_sizes",
+    f"""WITH v AS (SELECT l_orderkey, kind, count(*) AS n, sum(debit) AS d, sum(credit) AS c,
+          bool_or(l_linenumber = 1 AND kind = 0) AS paired FROM {_SIZES_SQL} GROUP BY ALL)
+        SELECT l_orderkey, l_linenumber FROM lineitem JOIN v USING (l_orderkey)
+        WHERE n <= 1 OR (NOT paired AND ((d > 0 AND c = 0) OR (c > 0 AND d = 0)))""",
+)
+def _single_leg_sizes(spark, sf):
+    found = run_check(_sizes(spark, sf), "single_leg_voucher", "l_orderkey", voucher_col="l_orderkey", debit_col="debit", credit_col="credit")
+    return found.select("l_orderkey", "l_linenumber")
+
+
 plain_check(
     "check_debit_credit_imbalance", "debit_credit_imbalance", "ledger", ["voucher"],
     ["check_name", "debit_total", "credit_total", "difference", "risk_level"],

@@ -188,15 +188,17 @@ def grouped_result(
     helpers: dict[str, Column],
     row_condition: Column | None = None,
     numbered: bool = False,
+    stats: DataFrame | None = None,
 ) -> DataFrame:
-    """Annotated rows of a check on per-key statistics (``__weight`` = rows of the key).
+    """Annotated rows of a check on per-key statistics (``__weight`` = rows of the key), ``aggs`` or ready ``stats``.
 
     With ``numbered`` and an ``order_by``, keys are numbered by first appearance (``group_id``).
     """
     numbered = numbered and req.helpers and bool(req.order_by)
     if numbered:
         aggs = {**aggs, "__first": F.min(keyed.order_key(req.order_by))}
-    stats = keyed.group_stats(req.source, keys, aggs)
+    stats = keyed.group_stats(req.source, keys, aggs) if stats is None else stats
+    aggs = {n: n for n in stats.columns if n not in keys}
     if numbered:
         positions = OrderedRows(stats, ["__first"]).with_position("__group_id")
         stats = positions.drop("__bucket", "__at")

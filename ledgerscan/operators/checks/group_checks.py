@@ -10,8 +10,10 @@ from ledgerscan.functions import maths
 from ledgerscan.operators.checks import labels
 from ledgerscan.operators.checks.base import Check, grouped_result, text_key
 from ledgerscan.operators.checks.row_checks import account_combo_text, account_pair, combo_helpers
+from ledgerscan.plans.exact import group_sums
 from ledgerscan.plans.keyed import order_key
 
+
 def _weight() -> Column:
     """Rows of the key."""
     return F.col("__weight")
@@ -133,33 +135,34 @@ def split_transaction(req: Check) -> DataFrame:
     return grouped_result(req, text_key(parts), total, condition, helpers, size < limit, numbered=True)
 
 
-def _exact(x: Column) -> Column:
-    """Amount as decimal, so that a voucher's total does not depend on the order of addition."""
-    return F.coalesce(x.try_cast("decimal(38,6)"), F.lit(0).cast("decimal(38,6)"))
+def _voucher_totals(req: Check, voucher: str, debit: str, credit: str) -> DataFrame:
+    """Rows, debit, credit and their difference of every voucher, exact at every size."""
+    values = {"__debit": req.num(debit), "__credit": req.num(credit)}
+    totals = {"__debit": {"__debit": 1}, "__credit": {"__credit": 1}, "__gap": {"__debit": 1, "__credit": -1}}
+    return group_sums(req.source, {"__key": F.col(f"`{voucher}`")}, values, totals)
 
 
 def single_leg_voucher(req: Check) -> DataFrame:
     voucher = req.required("voucher_col")
     debit, credit = req.column("debit_col"), req.column("credit_col")
-    condition, aggs = _weight() <= req.whole("min_rows", 1), {}
+    condition, stats = _weight() <= req.whole("min_rows", 1), None
     if debit and credit:
-        aggs = {"__debit": F.sum(_exact(req.num(debit))), "__credit": F.sum(_exact(req.num(credit)))}
+        stats = _voucher_totals(req, voucher, debit, credit)
         d, k = F.col("__debit"), F.col("__credit")
         condition = condition | ((d > 0) & (k == 0)) | ((k > 0) & (d == 0))
     helpers = {"check_result": F.lit(labels.SINGLE_LEG), "risk_level": F.lit(labels.HIGH)}
-    return grouped_result(req, {"__key": F.col(f"`{voucher}`")}, aggs, condition, helpers)
+    return grouped_result(req, {"__key": F.col(f"`{voucher}`")}, {}, condition, helpers, stats=stats)
 
 
 def debit_credit_imbalance(req: Check) -> DataFrame:
     voucher = req.required("voucher_col", 0)
     debit, credit = req.required("debit_col"), req.required("credit_col")
-    aggs = {"__debit": F.sum(_exact(req.num(debit))), "__credit": F.sum(_exact(req.num(credit)))}
-    gap = F.col("__debit") - F.col("__credit")
+    stats, gap = _voucher_totals(req, voucher, debit, credit), F.col("__gap")
     condition = F.abs(gap) > F.lit(req.number("tolerance", 0))
     helpers = {
-        "debit_total": F.col("__debit").cast("double"),
-        "credit_total": F.col("__credit").cast("double"),
-        "difference": gap.cast("double"),
+        "debit_total": F.col("__debit"),
+        "credit_total": F.col("__credit"),
+        "difference": gap,
         "risk_level": F.when(F.abs(gap) > 1000, F.lit(labels.HIGH)).otherwise(F.lit(labels.MEDIUM)),
     }
-    return grouped_result(req, {"__key": F.col(f"`{voucher}`")}, aggs, condition, helpers)
+    return grouped_result(req, {"__key": F.col(f"`{voucher}`")}, {}, condition, helpers, stats=stats)
