@@ -17,7 +17,7 @@ from catalogue.registry import (
     rounded,
     table,
 )
-from ledgerscan.operators.checks import chain_and, chain_or, result_counts, run_check
+from ledgerscan.operators.checks import chain_and, chain_or, result_counts, result_sample, run_check
 
 ROW_HELPERS = ["matched_column", "matched_value", "match_reason", "check_name", "check_result"]
 
@@ -548,3 +548,14 @@ def _unmatched(spark, sf):
 )
 def _counts(spark, sf):
     return result_counts(accounts(spark, sf), "negative", "balance")
+
+
+@query(
+    "check_result_sample",
+    f"""SELECT c_custkey, coalesce(segment, '') AS segment, coalesce(balance, 0) AS balance FROM {ACCOUNTS_SQL}
+        WHERE balance < 0 ORDER BY c_custkey LIMIT 50""",
+)
+def _result_sample(spark, sf):
+    """The preview of a result: its first fifty rows, missing values filled."""
+    found = result_sample(accounts(spark, sf), "negative", "balance", limit=50, order_by=["c_custkey"])
+    return found.select("c_custkey", "segment", "balance")

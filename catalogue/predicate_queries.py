@@ -187,3 +187,18 @@ def _tree(spark, sf):
 @query("filter_formula", f"SELECT * FROM {ACCOUNTS_SQL} WHERE balance > 100 * c_nationkey AND segment IS NOT NULL")
 def _formula(spark, sf):
     return where_formula(accounts(spark, sf), "balance > 100 * c_nationkey AND segment IS NOT NULL")
+
+
+def _half(op, sql):
+    def build(spark, sf):
+        df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+        return where_conditions(df, [Condition("l_quantity", op, df.count() // 2)], order_by=["l_orderkey", "l_linenumber"])
+
+    add(f"filter_{op}_half", build, f"""SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem
+        QUALIFY row_number() OVER (ORDER BY {sql}) <= (SELECT count(*) // 2 FROM lineitem)""")
+
+
+# half of all rows; fifty quantities share the rows, so the bound lies among thousands of ties
+_half("top_n", "l_quantity DESC, l_orderkey, l_linenumber")
+_half("bottom_n", "l_quantity, l_orderkey, l_linenumber")
+_half("random_n", "md5(concat_ws('|', l_orderkey, l_linenumber, '42')), l_orderkey, l_linenumber")

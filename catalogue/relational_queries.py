@@ -241,3 +241,15 @@ def _numeric_page(spark, sf):
 def _total(spark, sf):
     _, total = preview.page(table(spark, sf, "part"), filters={"p_name": "gear"}, order_by=["p_partkey"])
     return total
+
+
+@query(
+    "preview_deep_page",
+    """SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem ORDER BY l_returnflag DESC, l_orderkey, l_linenumber
+       LIMIT 100 OFFSET (SELECT (count(*) // 100 - 1) * 100 FROM lineitem)""",
+)
+def _deep_page(spark, sf):
+    """The last full page of the line items, by a key that three values share."""
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    rows, _ = preview.page(df, page=df.count() // 100 - 1, per=100, sort_by="l_returnflag", ascending=False, order_by=["l_orderkey", "l_linenumber"])
+    return rows

@@ -7,9 +7,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerscan.functions.defaults import fill_defaults
 from ledgerscan.operators.checks import group_checks as g
 from ledgerscan.operators.checks import row_checks as r
 from ledgerscan.operators.checks.base import HELPER_COLUMNS, MATCH, Check
+from ledgerscan.operators.preview import page
 from ledgerscan.plans.tables import written
 
 CHECKS: dict[str, Callable[[Check], DataFrame]] = {
@@ -198,3 +200,13 @@ def result_counts(df: DataFrame, check: str, columns: Sequence[str] | str = (),
         F.count_if(MATCH).alias("result_rows"),
         F.count_if(~F.col(MATCH)).alias("excluded_rows"),
     )
+
+
+def result_sample(df: DataFrame, check: str, columns: Sequence[str] | str = (), limit: int = 50, **kwargs) -> DataFrame:
+    """The first ``limit`` rows of a result with its explanations, missing values filled as in exports.
+
+    The rows come in the order of ``order_by`` and, in a tie, of their whole content.
+    """
+    found = run_check(df, check, columns, **kwargs)
+    rows, _ = page(found, per=limit, order_by=kwargs.get("order_by") or ())
+    return fill_defaults(rows)

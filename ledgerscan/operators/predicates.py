@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerscan.functions import coerce as c
-from ledgerscan.plans import keyed
+from ledgerscan.plans import select, keyed
 
 MAX_DEPTH = 5
 RANDOM_SEED = 42
@@ -133,10 +133,14 @@ def date_range(ts: Column, start, end, ignore_time: bool = True) -> Column:
 def best_rows(df: DataFrame, key: Column, n: int, order_by: Sequence[str], largest: bool) -> Column:
     """Rows among the first ``n`` by ``key`` (ties by ``order_by``), as a comparison with the n-th row.
 
-    The n-th row comes from a bounded top-k (``n`` rows at most), handed over as a scalar subquery.
+    The n-th row comes from a bounded top-k (``select.SMALL`` rows at most), handed over as a scalar
+    subquery; for a larger n it is selected by counting, while the query is built.
     """
     if not order_by:
         raise ValueError("top-n operators need order_by columns to break ties")
+    if n > select.SMALL:
+        last = select.nth_row(df, key, order_by, n, largest)
+        return key.isNotNull() if last is None else key.isNotNull() & select.up_to(last, key, order_by, largest, df.schema)
     ties = F.struct(*[F.col(f"`{o}`") for o in order_by])
     ordered = df.select(key.alias("key"), ties.alias("tie")).filter("key is not null")
     ordered = ordered.orderBy(F.desc("key") if largest else F.asc("key"), F.asc("tie")).limit(n)
@@ -151,6 +155,14 @@ def sampled_rows(df: DataFrame, n: int, order_by: Sequence[str], seed: int = RAN
     if not order_by:
         raise ValueError("sampling needs order_by columns that identify a row")
     digest = F.md5(F.concat_ws("|", *[F.col(f"`{o}`").cast("string") for o in order_by], F.lit(str(seed))))
+    if n > select.SMALL:
+        # the first 15 digits of the digest as a number, then the whole digest, then the row
+        number, rows = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), df.withColumn("__digest", digest)
+        last = select.nth_row(rows, number, ["__digest", *order_by], n, largest=False)
+        if last is None:
+            return F.lit(True)
+        bound = F.struct(F.lit(last["__digest"]).alias("digest"), F.struct(*[F.lit(last[o]).cast(df.schema[o].dataType).alias(o) for o in order_by]).alias("tie"))
+        return F.struct(digest.alias("digest"), F.struct(*[F.col(f"`{o}`") for o in order_by]).alias("tie")) <= bound
     ties = F.struct(*[F.col(f"`{o}`") for o in order_by])
     first = df.select(F.struct(digest.alias("digest"), ties.alias("tie")).alias("at")).orderBy("at").limit(n)
     bound = first.agg(F.max("at").alias("at")).scalar()

@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscan.functions import coerce as c
+from ledgerscan.plans.ordered import OrderedRows
 
 SORT_AS_TYPE_SHARE = 0.75
+#: Pages that end within so many rows are a bounded top-k in one task.
+SHALLOW = 10_000
 
 
 def _has_text(column: str, query: str) -> Column:
@@ -63,10 +66,24 @@ def page(
     ascending: bool = True,
     order_by: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
-    """One page of the searched, sorted rows, and a one-row table with their total."""
+    """One page of the searched, sorted rows, and a one-row table with their total.
+
+    Rows that ``sort_by`` and ``order_by`` leave in a tie stand in the order of their whole content, so
+    pages never overlap or miss a row. A page within the first ``SHALLOW`` rows is a bounded top-k;
+    a deeper one comes from rows that are range-partitioned by the order and counted, of which only the
+    ranges of the page are read: no task holds the rows in front of it.
+    """
     found = search(df, filters, anywhere)
+    order = []
     if sort_by:
-        rows = smart_sort(found, sort_by, ascending, order_by)
-    else:
-        rows = found.orderBy(*order_by) if order_by else found
-    return rows.offset(page * per).limit(per), found.agg(F.count(F.lit(1)).alias("total"))
+        key = sort_key(found, sort_by)
+        order.append(key.asc_nulls_last() if ascending else key.desc_nulls_last())
+    order += [F.col(f"`{o}`") for o in order_by]
+    taken = {sort_by, *order_by} if order_by else set()
+    order += [F.col(f"`{f.name}`") if f.dataType.typeName() not in ("map", "variant") else F.to_json(f"`{f.name}`") for f in found.schema.fields if f.name not in taken]
+    total = found.agg(F.count(F.lit(1)).alias("total"))
+    if (page + 1) * per <= SHALLOW:
+        return found.orderBy(*order).offset(page * per).limit(per), total
+    placed = OrderedRows(found, order).with_place("__place")
+    rows = placed.filter(F.col("__place").between(page * per + 1, (page + 1) * per)).orderBy("__place")
+    return rows.select([F.col(f"`{n}`") for n in found.columns]), total
