@@ -1,11 +1,11 @@
 """Quality rules: countable rules, then a log-likelihood ratio of hashed n-grams. DataFrame functions only.
 
-Two multinomials over hashed n-grams are counted: one over trusted documents, one over the whole
-corpus. A document's score is the mean log ratio of its n-grams, so length plays no part; documents
-at or above a fixed threshold are kept. The n-grams are the last three letters of the words, case and
-signs included: endings tell running text from junk in any language, and there are few of them.
+Multinomials over hashed n-grams are counted: over trusted documents, and over the whole corpus. There are
+three kinds, each with buckets of its own: whole words, three words in a row, and as the back-off of words
+that few documents share their last three letters, case and signs included. A document's score is the sum of the log ratios of all its n-grams over its number of words, so length plays no part; documents
+at or above a fixed threshold are kept.
 
-The ratio table has one row per bucket, whatever the corpus, and is read as a scalar subquery.
+The ratio table has one entry per bucket, whatever the corpus, and is read as a scalar subquery.
 
 Cases: a null or empty text has no words, fails the base rules and has score 0; ties of the threshold
 are kept; equal rows get equal results; columns named like a result are replaced, others pass
@@ -24,9 +24,12 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
+#: Kinds of n-grams, and buckets of each.
+KINDS = 3
 BUCKETS = 1 << 13
 SMOOTHING = 1.0
-THRESHOLD = -0.5
+#: Fitted on labels: trusted texts score -0.33 or more, rejected ones -4.3 or less (sf0.01, sf0.1, check_s).
+THRESHOLD = -1.0
 #: Trusted ids up to this number (8 bytes each) are broadcast; beyond, Spark joins by shuffle.
 BROADCAST_IDS = 4_000_000
 RESULTS = (
@@ -34,6 +37,12 @@ RESULTS = (
 )
 
 _PLACE_BITS = 24
+_LOW = (1 << _PLACE_BITS) - 1
+
+
+def _window(first: Column, second: Column, third: Column) -> Column:
+    """Hash of three words, its lower bits left free for a place."""
+    return F.xxhash64(first, second, third).bitwiseAND(F.lit(~_LOW))
 
 
 def with_counts(df: DataFrame, text: str) -> DataFrame:
@@ -41,11 +50,10 @@ def with_counts(df: DataFrame, text: str) -> DataFrame:
     lines = F.filter(F.split(F.col(text), "\n"), lambda line: F.rlike(line, F.lit(r"[^\x20\x09-\x0D]")))
     # hash of every window of three words in the upper bits, its place in the lower ones; sorted, so
     # that equal windows are neighbours
-    low = (1 << _PLACE_BITS) - 1
-    place = F.lit(low).cast("long")
+    place = F.lit(_LOW).cast("long")
     window = F.transform(
         F.when(F.size("__w") > 2, F.slice("__w", F.lit(1), F.size("__w") - 2)).otherwise(F.expr("array()").cast("array<string>")),
-        lambda w, i: F.xxhash64(w, F.get("__w", i + 1), F.get("__w", i + 2)).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long")),
+        lambda w, i: _window(w, F.get("__w", i + 1), F.get("__w", i + 2)).bitwiseOR(i.cast("long")),
     )
     df = df.withColumn("__lines", lines).withColumn("__s", F.sort_array(window))
 
@@ -77,7 +85,7 @@ def with_counts(df: DataFrame, text: str) -> DataFrame:
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
             "n_repeat_words": F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x),
         }
-    ).drop("__lines", "__s", "__k", "__p")
+    ).drop("__lines", "__k", "__p")
 
 
 def base_failed() -> Column:
@@ -85,9 +93,22 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | many
 
 
-def bucket(word: Column, buckets: int) -> Column:
-    """Bucket of the n-gram at the end of a word: its last three letters."""
-    return F.pmod(F.xxhash64(F.substring(word, -3, 3)), F.lit(buckets)).cast("int")
+def _zone(kind: int, hashed: Column, buckets: int) -> Column:
+    return (hashed.bitwiseAND(F.lit(buckets - 1)) + kind * buckets).cast("int")
+
+
+def word_bucket(word: Column, buckets: int) -> Column:
+    return _zone(0, F.xxhash64(word), buckets)
+
+
+def ending_bucket(word: Column, buckets: int) -> Column:
+    """Bucket of the last three letters."""
+    return _zone(1, F.xxhash64(F.substring(word, -3, 3)), buckets)
+
+
+def window_bucket(window: Column, buckets: int) -> Column:
+    """Bucket of three words in a row, from the hash that finds repeated ones."""
+    return _zone(2, F.shiftright(window, _PLACE_BITS), buckets)
 
 
 def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int, id_col: str, text_col: str) -> DataFrame:
@@ -99,26 +120,32 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int, id_col: str,
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("__i"), text_of(text_col).alias("__text"))
     rows = rows.join(ids, F.col("__i") == F.col("__t"), "left")
     rows = rows.select(F.col("__t").isNotNull().cast("long").alias("t"), white_words(F.col("__text")).alias("__w"))
-    words = rows.select("t", F.explode("__w").alias("w"))
-    counts = words.groupBy(bucket(F.col("w"), buckets).alias("b")).agg(F.sum("t").alias("target"), F.count(F.lit(1)).alias("raw"))
-    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"))
+    near = [F.slice("__w", k, F.size("__w")) for k in (2, 3)]
+    # the outer form: a filter inferred from the plain one would split the text several times
+    words = rows.select("t", F.explode_outer(F.arrays_zip(F.col("__w").alias("a"), near[0].alias("b"), near[1].alias("c"))).alias("g")).filter("g.a is not null")
+    window = F.when(F.col("g.c").isNotNull(), window_bucket(_window(F.col("g.a"), F.col("g.b"), F.col("g.c")), buckets))
+    grams = words.select("t", F.explode(F.array(word_bucket(F.col("g.a"), buckets), ending_bucket(F.col("g.a"), buckets), window)).alias("b")).filter("b is not null")
+    counts = grams.groupBy("b").agg(F.sum("t").alias("target"), F.count(F.lit(1)).alias("raw"))
+    every = docs.sparkSession.range(KINDS * buckets).select(F.col("id").cast("int").alias("b"))
     full = every.join(counts, "b", "left").select(
         "b", F.coalesce("target", F.lit(0)).alias("target"), F.coalesce("raw", F.lit(0)).alias("raw")
     )
     table = written(full.agg(F.sort_array(F.collect_list(F.struct("b", "target", "raw"))).alias("c")))
-    both = table.select(
-        "c",
-        F.aggregate("c", F.lit(0.0), lambda a, x: a + x["target"]).alias("nt"),
-        F.aggregate("c", F.lit(0.0), lambda a, x: a + x["raw"]).alias("nr"),
-    )
+
+    def total(of: str) -> Column:
+        zones = [F.slice("c", 1 + k * buckets, buckets) for k in range(KINDS)]
+        return F.array(*[F.aggregate(z, F.lit(0.0), lambda a, x: a + x[of]) for z in zones])
+
+    both = written(table.select("c", total("target").alias("nt"), total("raw").alias("nr")))
     some = SMOOTHING * buckets
 
     def ratio(x):
-        target = (x["target"] + SMOOTHING) / (F.col("nt") + some)
-        return F.log(target / ((x["raw"] + SMOOTHING) / (F.col("nr") + some))).cast("float")
+        kind = F.floor(x["b"] / buckets).cast("int")
+        target = (x["target"] + SMOOTHING) / (F.get("nt", kind) + some)
+        return F.log(target / ((x["raw"] + SMOOTHING) / (F.get("nr", kind) + some))).cast("float")
 
     none = F.transform("c", lambda x: F.lit(0.0).cast("float"))
-    return both.select(F.when(F.col("nt") > 0, F.transform("c", ratio)).otherwise(none).alias("llr"))
+    return both.select(F.when(F.get("nt", F.lit(0)) > 0, F.transform("c", ratio)).otherwise(none).alias("llr"))
 
 
 def quality_rules(
@@ -135,7 +162,8 @@ def quality_rules(
     rows = rest.withColumn("__text", text_of(text_col)).withColumn("__w", white_words(F.col("__text")))
     rows = with_counts(rows, "__text")
     rows = rows.withColumn("__r", table.scalar())  # at most 4 bytes a bucket beside every row
-    total = F.aggregate("__w", F.lit(0.0), lambda a, w: a + F.get("__r", bucket(w, buckets)))
+    of_words = F.aggregate("__w", F.lit(0.0), lambda a, w: a + F.get("__r", word_bucket(w, buckets)) + F.get("__r", ending_bucket(w, buckets)))
+    total = F.aggregate("__s", of_words, lambda a, s: a + F.get("__r", window_bucket(s, buckets)))
     rows = rows.withColumn("llr", F.when(F.size("__w") > 0, total / F.size("__w")).otherwise(F.lit(0.0)))
     rows = rows.withColumn("base_failed", base_failed())
     # a caller's filter on the verdict must not be pushed below and copy the nested expressions over and

@@ -1,10 +1,13 @@
+import math
 import random
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
-from brute import components, counts, overlapping, sha, without_lines, without_repeats
+import xxhash
+from brute import WORD, components, counts, overlapping, sha, without_lines, without_repeats
 
 from ledgerscan.llm import bpe, decontaminate, jaccard_join, line_dedup, quality_rules, suffix_dedup, token_files
 from ledgerscan.llm.queries import tokenizer_path
@@ -268,3 +271,46 @@ def groups(size, links):
         low, high = sorted((label[a], label[b]))
         label = [low if x == high else x for x in label]
     return label
+
+
+def spark_hash(*words):
+    h = 42
+    for w in words:
+        h = xxhash.xxh64_intdigest(w.encode(), seed=h)
+    return h
+
+
+def ratios(rows, good, buckets):
+    """{doc_id: llr} by counting the n-grams of all texts one by one."""
+    def grams(text):
+        w = WORD.findall(text or "")
+        out = [(0, spark_hash(x) % buckets) for x in w] + [(1, spark_hash(x[-3:]) % buckets) for x in w]
+        return out + [(2, (spark_hash(*w[k : k + 3]) >> 24) % buckets) for k in range(len(w) - 2)]
+
+    raw, target = Counter(), Counter()
+    for i, text in rows:
+        raw.update(grams(text))
+        if i in good:
+            target.update(grams(text))
+    size = {(name, k): sum(v for (kind, _), v in c.items() if kind == k) for name, c in (("raw", raw), ("target", target)) for k in range(3)}
+
+    def ratio(g):
+        top, bottom = ((c[g] + 1) / (size[name, g[0]] + buckets) for name, c in (("target", target), ("raw", raw)))
+        return math.log(top / bottom)
+
+    return {i: sum(map(ratio, grams(t))) / max(1, len(WORD.findall(t or ""))) for i, t in rows}
+
+
+def test_ratio_equals_brute_force_and_reads_every_letter(spark, sample):
+    base = next(t for _, t in sample if t and len(WORD.findall(t)) > 80)
+    words = WORD.findall(base)
+    probes = [(5001, base), (5002, " ".join("$$$" + w for w in words)), (5003, " ".join(sorted(words)))]
+    rows = [*sample[:80], *probes, *((6000 + k, t) for k, t in enumerate(ODD)), (7000, None)]
+    good = {i for i, _ in sample[:80] if i % 3 == 0}
+    trusted = spark.createDataFrame([(i,) for i in good], "doc_id long")
+    found = {r.doc_id: r for r in quality_rules.quality_rules(frame(spark, rows), trusted).collect()}
+    expected = ratios(rows, good, quality_rules.BUCKETS)
+    for i, _ in rows:
+        assert found[i].llr == pytest.approx(expected[i], abs=1e-4)
+        assert found[i].kept == (not found[i].base_failed and found[i].llr >= quality_rules.THRESHOLD)
+    assert len({round(found[i].llr, 3) for i in (5001, 5002, 5003)}) == 3
