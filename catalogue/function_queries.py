@@ -500,6 +500,18 @@ _BUILTINS = {
         "MINUTE": (["d"], "minute(d)"),
         "SECOND": (["d"], "second(d)"),
     },
+    "fx_builtins_calendar": {
+        "WEEKDAY": (["d"], "isodow(d)"),
+        "WEEKNUM": (["d"], "week(d)"),
+    },
+    "fx_builtins_steps_and_truth": {
+        "CEILING": (["b"], "ceil(b)"),
+        "FLOOR": (["b"], "floor(b)"),
+        # truth is read from text: of numbers only 1 is a true word
+        "AND": (["n", "n"], "n = 1"),
+        "OR": (["k", "n"], "k = 1 OR n = 1"),
+        "NOT": (["n"], "n <> 1"),
+    },
 }
 
 
