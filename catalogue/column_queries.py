@@ -11,7 +11,7 @@ from ledgerscan.functions import Formula
 from ledgerscan.functions import coerce as c
 from ledgerscan.operators import columns as cols
 from ledgerscan.plans.tables import shared_folder
-from ledgerscan.sources import fill_defaults, infer_types, read_any, read_csv, read_parquet, save, value_index, write
+from ledgerscan.sources import fill_defaults, read_any, read_csv, read_parquet, save, type_labels, value_index, write
 from ledgerscan.sources.schema import clean_columns
 
 
@@ -68,6 +68,19 @@ def _coerce_date(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", c.timestamp_from_text(raw).alias("read_date"))
 
 
+@query(
+    "coerce_date_words",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 7 < 6 THEN o_orderdate + INTERVAL 1 MINUTE * (CASE o_orderkey % 7 WHEN 4 THEN 0
+         ELSE (o_orderkey * 37) % 1440 END) END AS read_date FROM orders""",
+)
+def _coerce_date_words(spark, sf):
+    k = F.col("o_orderkey") % 7
+    at = F.timestamp_add("MINUTE", (F.col("o_orderkey") * 37 % 1440).cast("int"), F.col("o_orderdate").cast("timestamp_ntz"))
+    layouts = ["MMMM d, yyyy h:mm a", "d MMM yyyy HH:mm", "yyyyMMdd HHmm", "yyyy-MM-dd hh:mm:ss a", "d-MMM-yyyy", "EEEE, MMM d yyyy h:mm a"]
+    raw = F.coalesce(*[F.when(k == i, F.date_format(at, layout)) for i, layout in enumerate(layouts)], F.lit("15 Foo 2026 10:00"))
+    return table(spark, sf, "orders").select("o_orderkey", c.timestamp_from_text(raw).alias("read_date"))
+
+
 @query(
     "coerce_simple_number",
     """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS amount FROM customer""",
@@ -327,18 +340,32 @@ def _fill(spark, sf):
 
 @query(
     "infer_types",
-    """SELECT * FROM (VALUES ('raw', 'text'), ('c_custkey', 'numeric'), ('price', 'numeric'), ('dated', 'date'), ('seg', 'text'))
-       AS t(column_name, label)""",
+    """WITH cells AS (
+         SELECT c_custkey, 'c_custkey' AS column_name, 1 AS number, 1 AS dated FROM customer
+         UNION ALL SELECT c_custkey, 'raw', CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END,
+           CASE WHEN c_custkey % 7 = 0 AND c_acctbal >= 1 THEN 1 ELSE 0 END FROM customer WHERE c_custkey % 7 <> 6
+         UNION ALL SELECT c_custkey, 'price', 1, 0 FROM customer
+         UNION ALL SELECT c_custkey, 'dated', 0, CASE WHEN c_custkey % 5 <> 0 THEN 1 ELSE 0 END FROM customer
+         UNION ALL SELECT c_custkey, 'few', 0, 1 FROM customer WHERE c_custkey % 50 = 0
+         UNION ALL SELECT c_custkey, 'near', CASE WHEN c_custkey % 20 < 3 THEN 0 ELSE 1 END, CASE WHEN c_custkey % 20 < 3 THEN 0 ELSE 1 END FROM customer
+         UNION ALL SELECT c_custkey, 'seg', CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END, 0 FROM customer),
+       placed AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY md5(c_custkey::VARCHAR)) AS place FROM cells),
+       shares AS (SELECT column_name, avg(number) AS numbers, avg(dated) AS dates FROM placed WHERE place <= 500 GROUP BY 1)
+       SELECT column_name, CASE WHEN numbers > 0.85 THEN 'numeric' WHEN dates > 0.7 THEN 'date' ELSE 'text' END AS label FROM shares
+       UNION ALL SELECT 'empty', 'text'""",
 )
 def _infer(spark, sf):
     df = _messy_numbers(spark, sf).withColumns(
         {
             "price": F.concat(F.col("c_custkey").cast("string"), F.lit(",5")),
             "dated": F.when(F.col("c_custkey") % 5 != 0, F.lit("17.03.2024")).otherwise(F.lit("soon")),
+            "empty": F.lit(None).cast("string"),
+            "few": F.when(F.col("c_custkey") % 50 == 0, F.date_format(F.lit("2024-03-17").cast("date"), "d MMM yyyy")),
+            "near": F.when(F.col("c_custkey") % 20 < 3, F.lit("n/a")).otherwise(F.lit("7")),
             "seg": F.when(F.col("c_custkey") % 2 == 0, F.lit("12")).otherwise(F.lit("twelve")),
         }
     )
-    return spark.createDataFrame(list(infer_types(df).items()), "column_name string, label string")
+    return type_labels(df, key=["c_custkey"])
 
 
 @query(

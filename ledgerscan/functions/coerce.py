@@ -28,7 +28,17 @@ _TIME = r"([T ]+\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,9})?)?)?"
 _ISO = rf"^\d{{4}}[-/.]\d{{1,2}}[-/.]\d{{1,2}}{_TIME}(Z|[+-]\d{{2}}:?\d{{2}})?$"
 _FOUR_DIGIT_YEAR_LAST = rf"^\d{{1,2}}[-/. ]\d{{1,2}}[-/. ]\d{{4}}{_TIME}$"
 _TWO_DIGIT_YEAR_LAST = rf"^\d{{1,2}}[-/.]\d{{1,2}}[-/.]\d{{2}}{_TIME}$"
-_NAMED_MONTH_FORMATS = ["d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy"]
+# Day text and clock: hour, minute, second, half of the day.
+_CLOCK = r"^(.*[^T ,])[T ,]+(\d{1,2}):(\d{1,2})(?::(\d{1,2}(?:\.\d{1,9})?))?\s*(?:([AaPp])\.?[Mm]\.?)?$"
+_HOUR_ONLY = r"[T ,]+(\d{1,2})\s*([AaPp])\.?[Mm]\.?$"
+_SPOKEN = r"(?i)[a-z]{3}|[0-9 ][ap]\.?m\.?$|^\d{8}[T ]?\d|^\d{12,14}$"
+_DAY_NAME = r"^(?i:mon|tue|tues|wed|wednes|thu|thur|thurs|fri|sat|satur|sun)(?i:day)?\.?,?\s+"
+_ORDINAL = r"(?<=\d)(?i:st|nd|rd|th)\b"
+_DAY_MONTH_YEAR = r"^(\d{1,2})[-/. ]*([A-Za-z]{3,9})[-/., ]*(\d{4}|\d{2})$"
+_MONTH_DAY_YEAR = r"^([A-Za-z]{3,9})[-/. ]*(\d{1,2})[-/., ]+(\d{4}|\d{2})$"
+_YEAR_MONTH_DAY = r"^(\d{4})[-/., ]*([A-Za-z]{3,9})[-/., ]*(\d{1,2})$"
+_MONTH_YEAR = r"^([A-Za-z]{3,9})[-/., ]+(\d{4})$"
+_MONTH_NAMES = "january february march april may june july august september october november december".split()
 
 
 def _col(value: Column | str) -> Column:
@@ -115,46 +125,97 @@ def excel_serial(x: Column) -> Column:
     return F.when(x.between(EXCEL_MIN_SERIAL, EXCEL_MAX_SERIAL), moment)
 
 
-def timestamp_from_text(value: Column | str) -> Column:
-    """Date text: year-first, then day-first, then month-first, then a spreadsheet day number.
+def _rewritten(t: Column, pattern: str, order: str) -> Column:
+    return F.regexp_replace(t, pattern, order).try_cast("timestamp_ntz")
+
+
+def _century(year: Column) -> Column:
+    return F.when(year.try_cast("int") < 70, F.lit("20")).otherwise(F.lit("19"))
+
+
+def _numeric_layouts(t: Column) -> Column:
+    """Year-first, day-first, month-first and compact digits.
 
     Each layout is rewritten to ISO order and cast; the cast returns null instead of raising,
     which keeps rows that fail one layout as cheap as rows that match it.
     """
-    t = F.trim(_col(value).cast("string"), F.lit(WHITESPACE))
-
-    def rewritten(pattern: str, order: str) -> Column:
-        return F.regexp_replace(t, pattern, order).try_cast("timestamp_ntz")
-
-    year_first = F.when(
-        t.rlike(_ISO),
-        F.coalesce(
-            rewritten(r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(\s+|T)?", "$1-$2-$3 "),
-            rewritten(r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(\s+|T)?", "$1-$3-$2 "),
-        ),
-    )
+    first = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(\s+|T)?"
+    year_first = F.when(t.rlike(_ISO), F.coalesce(_rewritten(t, first, "$1-$2-$3 "), _rewritten(t, first, "$1-$3-$2 ")))
     lead = r"^(\d{1,2})[-/. ](\d{1,2})[-/. ](\d{4})(\s+|T)?"
     year_last = F.when(
-        t.rlike(_FOUR_DIGIT_YEAR_LAST),
-        F.coalesce(rewritten(lead, "$3-$2-$1 "), rewritten(lead, "$3-$1-$2 ")),
+        t.rlike(_FOUR_DIGIT_YEAR_LAST), F.coalesce(_rewritten(t, lead, "$3-$2-$1 "), _rewritten(t, lead, "$3-$1-$2 "))
     )
     short = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{2})(\s+|T)?"
-    century = F.when(F.regexp_extract(t, short, 3).try_cast("int") < 70, F.lit("20")).otherwise(F.lit("19"))
 
     def short_year(day: int, month: int) -> Column:
         tail = F.regexp_replace(t, short, rf"$3-${month}-${day} ")
-        return F.concat(century, tail).try_cast("timestamp_ntz")
+        return F.concat(_century(F.regexp_extract(t, short, 3)), tail).try_cast("timestamp_ntz")
 
     two_digit_year = F.when(t.rlike(_TWO_DIGIT_YEAR_LAST), F.coalesce(short_year(1, 2), short_year(2, 1)))
-    compact = F.when(t.rlike(r"^\d{8}$"), rewritten(r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"))
+    compact = F.when(t.rlike(r"^\d{8}$"), _rewritten(t, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"))
+    return F.coalesce(year_first, year_last, two_digit_year, compact)
+
+
+def _month_number(name: Column) -> Column:
+    numbers = {word: i for i, name in enumerate(_MONTH_NAMES, 1) for word in (name, name[:3])} | {"sept": 9}
+    pairs = [F.lit(x) for word, i in numbers.items() for x in (word, i)]
+    return F.try_element_at(F.create_map(*pairs), F.lower(name))
+
+
+def _named_day(t: Column) -> Column:
+    """Midnight of a day whose month is a name: day, month and year in the three usual orders, or a month's first day."""
+
+    def read(pattern: str, year: int, month: int, day: int | None = None) -> Column:
+        y = F.regexp_extract(t, pattern, year)
+        full = F.when(F.length(y) == 2, F.concat(_century(y), y)).otherwise(y)
+        number = _month_number(F.regexp_extract(t, pattern, month)).cast("string")
+        text = F.concat_ws("-", full, F.coalesce(number, F.lit("?")), F.regexp_extract(t, pattern, day) if day else F.lit("1"))
+        return F.when(t.rlike(pattern), text.try_cast("timestamp_ntz"))
+
+    days = [read(_DAY_MONTH_YEAR, 3, 2, 1), read(_MONTH_DAY_YEAR, 3, 1, 2), read(_YEAR_MONTH_DAY, 1, 2, 3)]
+    return F.coalesce(*days, read(_MONTH_YEAR, 2, 1))
+
+
+def _spoken_moment(t: Column) -> Column:
+    """Tokens of a date in words: a day name, a day in numbers or with a named month, a clock of 12 or 24 hours.
+
+    The clock is cut off first, so every day layout takes every clock.
+    """
+
+    def with_day(d: Column) -> Column:
+        return F.coalesce(_numeric_layouts(d), _named_day(d))
+
+    def with_clock(s: Column) -> Column:
+        def part(group: int) -> Column:
+            return F.regexp_extract(s, _CLOCK, group)
+
+        has_clock = s.rlike(_CLOCK)
+        midnight = let(F.when(has_clock, part(1)).otherwise(s), with_day)
+        hour, minute, half = part(2).try_cast("int"), part(3).try_cast("int"), F.lower(part(5))
+        second = F.when(part(4) == "", F.lit(0.0)).otherwise(part(4).try_cast("double"))
+        hour24 = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
+        valid = hour24.between(0, 23) & minute.between(0, 59) & (second < 60)
+        micros = (hour24 * 3600 + minute * 60).cast("long") * 1_000_000 + F.floor(F.round(second * 1e6, 3)).cast("long")
+        moment = F.timestamp_add("MICROSECOND", micros, midnight)
+        return F.when(~has_clock, midnight).when(valid, moment)
+
+    s = F.regexp_replace(F.regexp_replace(t, _DAY_NAME, ""), _ORDINAL, "")
+    s = F.regexp_replace(s, _HOUR_ONLY, " $1:00 $2m")
+    six = F.regexp_replace(s, r"^(\d{8})[T ]?(\d{2})(\d{2})(\d{2})$", "$1 $2:$3:$4")
+    return let(F.regexp_replace(six, r"^(\d{8})[T ]?(\d{2})(\d{2})$", "$1 $2:$3"), with_clock)
+
+
+def timestamp_from_text(value: Column | str) -> Column:
+    """Date text: year-first, then day-first, then month-first, then a spreadsheet day number.
+
+    Text with a month or day name, a 12-hour clock or compact digits with a clock is read token by token;
+    the check for such text keeps that reading away from all other rows. A two-digit year below 70 is in the 2000s.
+    """
+    t = F.trim(_col(value).cast("string"), F.lit(WHITESPACE))
     year_only = F.when(t.rlike(r"^\d{4}(-\d{1,2})?$"), t.try_cast("timestamp_ntz"))
-    words = F.regexp_replace(t, r"[-/,.\s]+", " ")
-    named_month = F.when(
-        t.rlike(r"^(\d{1,2}[-/. ]+[A-Za-z]{3,9}|[A-Za-z]{3,9}[-/. ]+\d{1,2},?)[-/. ]+\d{4}$"),
-        F.coalesce(*[F.try_to_timestamp(words, F.lit(p)).cast("timestamp_ntz") for p in _NAMED_MONTH_FORMATS]),
-    )
+    spoken = F.when(t.rlike(_SPOKEN), let(t, _spoken_moment))
     serial = F.when(t.rlike(r"^\d{1,7}(\.\d*)?$"), excel_serial(t.try_cast("double")))
-    return F.coalesce(year_first, year_last, two_digit_year, compact, year_only, named_month, serial)
+    return F.coalesce(_numeric_layouts(t), year_only, spoken, serial)
 
 
 def moment(value: Column | str, dtype: T.DataType) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerscan.functions import coerce as c
@@ -14,9 +14,11 @@ from ledgerscan.plans.tables import written
 # Rules of the type labels.
 SAMPLE_ROWS = 500
 NUMERIC_SHARE, DATE_SHARE = 0.85, 0.70
+#: Leading hex digits of a digest by which values are counted: 4,096 ranges a column.
+DIGEST_DIGITS = 3
 
 
-__all__ = ["clean_columns", "fill_defaults", "infer_types", "make_unique", "value_index"]
+__all__ = ["clean_columns", "fill_defaults", "infer_types", "make_unique", "type_labels", "value_index"]
 
 
 def make_unique(names: Sequence[str | None]) -> list[str]:
@@ -34,33 +36,41 @@ def clean_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*make_unique(df.columns))
 
 
-def infer_types(df: DataFrame) -> dict[str, str]:
-    """Display label per column - ``numeric``, ``date`` or ``text`` - from 500 non-null values each.
+def type_labels(df: DataFrame, key: Sequence[str] | None = None) -> DataFrame:
+    """``column_name, label`` - ``numeric``, ``date`` or ``text`` - from 500 non-null values of every column.
 
-    A sampling rule: at most 500 values per column are read, in one query over all columns.
+    The 500 values are those of the rows with the smallest digests of ``key`` (by default the whole row), so a
+    label depends neither on the file layout nor on the order of rows. All columns are sampled together: counting
+    the values of each by the leading bits of their digest gives the bound below which the sample lies,
+    and only rows under that bound are ranked. The plan is the same for any number of columns.
+    Columns without values are ``text``; a table without rows labels all columns so.
     """
-    samples = []
-    for n in df.columns:
-        t = F.col(f"`{n}`").cast("string")
-        sample = df.select(F.lit(n).alias("column"), t.alias("value")).filter("value is not null").limit(SAMPLE_ROWS)
-        samples.append(sample)
-    rows = samples[0]
-    for s in samples[1:]:
-        rows = rows.unionByName(s)
-    shares = rows.groupBy("column").agg(
+    key = list(key) if key else df.columns
+    digest = F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("\x1e")) for k in key]))
+    pairs = [F.struct(F.lit(n).alias("column_name"), F.col(f"`{n}`").cast("string").alias("value")) for n in df.columns]
+    cells = df.select(digest.alias("digest"), F.inline(F.array(*pairs))).filter("value is not null")
+    cells = cells.withColumn("range", F.substring("digest", 1, DIGEST_DIGITS))
+    counts = cells.groupBy("column_name", "range").count()
+    up_to = Window.partitionBy("column_name").orderBy("range")  # at most 16 ** DIGEST_DIGITS rows a column
+    before = (F.sum("count").over(up_to) - F.col("count")).alias("before")
+    ends = counts.select("column_name", "range", before).filter(F.col("before") < SAMPLE_ROWS)
+    bounds = ends.groupBy("column_name").agg(F.max("range").alias("last"))
+    near = cells.join(F.broadcast(bounds), "column_name").filter("range <= last")
+    first = Window.partitionBy("column_name").orderBy("digest", "value")
+    sample = near.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= SAMPLE_ROWS)
+    shares = sample.groupBy("column_name").agg(
         F.avg(F.when(c.simple_number("value").isNotNull(), 1.0).otherwise(0.0)).alias("numbers"),
         F.avg(F.when(c.timestamp_from_text("value").isNotNull(), 1.0).otherwise(0.0)).alias("dates"),
     )
-    seen = {r["column"]: r for r in shares.collect()}  # one row per column
-    labels = {}
-    for n in df.columns:
-        if n in seen and seen[n]["numbers"] > NUMERIC_SHARE:
-            labels[n] = "numeric"
-        elif n in seen and seen[n]["dates"] > DATE_SHARE:
-            labels[n] = "date"
-        else:
-            labels[n] = "text"
-    return labels
+    names = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(n) for n in df.columns])).alias("column_name"))
+    label = F.when(F.col("numbers") > NUMERIC_SHARE, "numeric").when(F.col("dates") > DATE_SHARE, "date").otherwise("text")
+    return names.join(shares, "column_name", "left").select("column_name", label.alias("label"))
+
+
+def infer_types(df: DataFrame, key: Sequence[str] | None = None) -> dict[str, str]:
+    """The labels of :func:`type_labels` by column name, in the order of the columns (runs a job)."""
+    seen = {r["column_name"]: r["label"] for r in type_labels(df, key).collect()}  # one row per column
+    return {n: seen[n] for n in df.columns}
 
 
 def value_index(df: DataFrame, columns: Sequence[str] | None = None, max_unique: int = 50_000) -> DataFrame:

@@ -44,6 +44,24 @@ DATES = [
     ("46042", dt.datetime(2026, 1, 20)),
     ("46042.5", dt.datetime(2026, 1, 20, 12)),
     ("2026", dt.datetime(2026, 1, 1)),
+    ("01/15/2026 02:30 PM", dt.datetime(2026, 1, 15, 14, 30)),
+    ("15 Jan 2026 14:30", dt.datetime(2026, 1, 15, 14, 30)),
+    ("20260115 1430", dt.datetime(2026, 1, 15, 14, 30)),
+    ("20260115T143005", dt.datetime(2026, 1, 15, 14, 30, 5)),
+    ("202601151430", dt.datetime(2026, 1, 15, 14, 30)),
+    ("Thursday, January 15, 2026 2:05:07 pm", dt.datetime(2026, 1, 15, 14, 5, 7)),
+    ("2026 Jan 15 12:00 AM", dt.datetime(2026, 1, 15)),
+    ("15.01.2026 12:15 p.m.", dt.datetime(2026, 1, 15, 12, 15)),
+    ("15/01/26 2pm", dt.datetime(2026, 1, 15, 14)),
+    ("2026-01-15 11:59:59.123456 PM", dt.datetime(2026, 1, 15, 23, 59, 59, 123456)),
+    ("15-Jan-26", dt.datetime(2026, 1, 15)),
+    ("Sept 3rd, 2024", dt.datetime(2024, 9, 3)),
+    ("March 2024", dt.datetime(2024, 3, 1)),
+    ("15 Foo 2026 10:00", None),
+    ("15 Jan 2026 25:00", None),
+    ("15 Jan 2026 13:00 PM", None),
+    ("31 Feb 2026", None),
+    ("20261315 1430", None),
     ("31.02.2026", None),
     ("0", None),
     ("2958466", None),

@@ -167,6 +167,23 @@ def test_types_and_values(spark):
     assert {r["column"]: r["count"] for r in index.collect()} == {"b": 28, "c": 3}
 
 
+def test_type_labels_ignore_the_layout(spark):
+    """The sample is the 500 rows with the smallest digests, however the rows lie in files and whatever repeats."""
+    import hashlib
+
+    values = [(i, "x" if i % 20 < 3 else "7.5", "same", None if i % 900 else "15 Jan 2026 2:30 PM") for i in range(4000)]
+    df = spark.createDataFrame(values, "k int, near string, word string, rare string")
+    sample = sorted(values, key=lambda v: hashlib.md5(str(v[0]).encode()).hexdigest())[:500]
+    share = sum(v[1] == "7.5" for v in sample) / 500
+    near = "numeric" if share > 0.85 else "date"
+    expected = {"k": "numeric", "near": near, "word": "text", "rare": "date"}
+    assert infer_types(df, key=["k"]) == expected
+    assert infer_types(df.repartition(7).orderBy(F.desc("k")), key=["k"]) == expected
+    same = spark.range(3000).select(F.lit("12").alias("a"), F.lit(None).cast("string").alias("b"))
+    assert infer_types(same) == {"a": "numeric", "b": "text"}
+    assert infer_types(same.limit(0)) == {"a": "text", "b": "text"}
+
+
 def test_append_and_save(spark):
     a = spark.createDataFrame([(1, "x")], "k int, s string")
     b = spark.createDataFrame([("2", 5.0)], "k string, v double")
