@@ -42,6 +42,11 @@ for _how, _sql in (("left", "LEFT"), ("right", "RIGHT"), ("inner", "INNER"), ("o
             lambda s, sf, how=_how: joins.join(_left(s, sf), _right(s, sf), "segment", "segment", how, skewed=True),
             _statement,
         )
+        add(
+            f"join_{_how}_hot",
+            lambda s, sf, how=_how: joins.join(_left(s, sf), _right(s, sf), "segment", "segment", how, hot_rows=20),
+            _statement,
+        )
 
 
 @query(

@@ -125,84 +125,80 @@ def excel_serial(x: Column) -> Column:
     return F.when(x.between(EXCEL_MIN_SERIAL, EXCEL_MAX_SERIAL), moment)
 
 
-def _rewritten(t: Column, pattern: str, order: str) -> Column:
-    return F.regexp_replace(t, pattern, order).try_cast("timestamp_ntz")
+# The layouts are SQL text: one expression to build, however many rows and filters use it.
 
 
-def _century(year: Column) -> Column:
-    return F.when(year.try_cast("int") < 70, F.lit("20")).otherwise(F.lit("19"))
+def _iso(t: str, pattern: str, *orders: str) -> str:
+    """The first order that gives a day: rewritten and cast; the cast returns null instead of raising."""
+    return ", ".join(f"try_cast(regexp_replace({t}, r'{pattern}', r'{order}') AS timestamp_ntz)" for order in orders)
 
 
-def _numeric_layouts(t: Column) -> Column:
-    """Year-first, day-first, month-first and compact digits.
+def _century(year: str) -> str:
+    return f"CASE WHEN try_cast({year} AS int) < 70 THEN '20' ELSE '19' END"
 
-    Each layout is rewritten to ISO order and cast; the cast returns null instead of raising,
-    which keeps rows that fail one layout as cheap as rows that match it.
-    """
+
+def _numeric_layouts(t: str) -> str:
+    """Year-first, day-first, month-first and compact digits, with a clock of 24 hours or none."""
     first = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(\s+|T)?"
-    year_first = F.when(t.rlike(_ISO), F.coalesce(_rewritten(t, first, "$1-$2-$3 "), _rewritten(t, first, "$1-$3-$2 ")))
-    lead = r"^(\d{1,2})[-/. ](\d{1,2})[-/. ](\d{4})(\s+|T)?"
-    year_last = F.when(
-        t.rlike(_FOUR_DIGIT_YEAR_LAST), F.coalesce(_rewritten(t, lead, "$3-$2-$1 "), _rewritten(t, lead, "$3-$1-$2 "))
-    )
+    last = r"^(\d{1,2})[-/. ](\d{1,2})[-/. ](\d{4})(\s+|T)?"
     short = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{2})(\s+|T)?"
+    tails = [f"regexp_replace({t}, r'{short}', r'$3-${m}-${d} ')" for d, m in ((1, 2), (2, 1))]
+    century = _century(f"regexp_extract({t}, r'{short}', 3)")
+    shorts = ", ".join(f"try_cast(concat({century}, {x}) AS timestamp_ntz)" for x in tails)
+    return f"""CASE WHEN {t} RLIKE r'{_ISO}' THEN coalesce({_iso(t, first, "$1-$2-$3 ", "$1-$3-$2 ")})
+      WHEN {t} RLIKE r'{_FOUR_DIGIT_YEAR_LAST}' THEN coalesce({_iso(t, last, "$3-$2-$1 ", "$3-$1-$2 ")})
+      WHEN {t} RLIKE r'{_TWO_DIGIT_YEAR_LAST}' THEN coalesce({shorts})
+      WHEN {t} RLIKE r'^\\d{{8}}$' THEN {_iso(t, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")} END"""
 
-    def short_year(day: int, month: int) -> Column:
-        tail = F.regexp_replace(t, short, rf"$3-${month}-${day} ")
-        return F.concat(_century(F.regexp_extract(t, short, 3)), tail).try_cast("timestamp_ntz")
-
-    two_digit_year = F.when(t.rlike(_TWO_DIGIT_YEAR_LAST), F.coalesce(short_year(1, 2), short_year(2, 1)))
-    compact = F.when(t.rlike(r"^\d{8}$"), _rewritten(t, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"))
-    return F.coalesce(year_first, year_last, two_digit_year, compact)
-
-
-def _month_number(name: Column) -> Column:
-    numbers = {word: i for i, name in enumerate(_MONTH_NAMES, 1) for word in (name, name[:3])} | {"sept": 9}
-    pairs = [F.lit(x) for word, i in numbers.items() for x in (word, i)]
-    return F.try_element_at(F.create_map(*pairs), F.lower(name))
 
-
-def _named_day(t: Column) -> Column:
+def _named_day(t: str) -> str:
     """Midnight of a day whose month is a name: day, month and year in the three usual orders, or a month's first day."""
+    numbers = {word: i for i, name in enumerate(_MONTH_NAMES, 1) for word in (name, name[:3])} | {"sept": 9}
+    listed = ",".join(f"{word}:{i}" for word, i in numbers.items())
 
-    def read(pattern: str, year: int, month: int, day: int | None = None) -> Column:
-        y = F.regexp_extract(t, pattern, year)
-        full = F.when(F.length(y) == 2, F.concat(_century(y), y)).otherwise(y)
-        number = _month_number(F.regexp_extract(t, pattern, month)).cast("string")
-        text = F.concat_ws("-", full, F.coalesce(number, F.lit("?")), F.regexp_extract(t, pattern, day) if day else F.lit("1"))
-        return F.when(t.rlike(pattern), text.try_cast("timestamp_ntz"))
+    def read(pattern: str, year: int, month: int, day: int | None = None) -> str:
+        y, m = (f"regexp_extract({t}, r'{pattern}', {group})" for group in (year, month))
+        d = f"regexp_extract({t}, r'{pattern}', {day})" if day else "'1'"
+        full = f"CASE WHEN length({y}) = 2 THEN concat({_century(y)}, {y}) ELSE {y} END"
+        number = f"try_element_at(str_to_map('{listed}', ',', ':'), lower({m}))"
+        return f"WHEN {t} RLIKE r'{pattern}' THEN try_cast(concat({full}, '-', {number}, '-', {d}) AS timestamp_ntz)"
 
-    days = [read(_DAY_MONTH_YEAR, 3, 2, 1), read(_MONTH_DAY_YEAR, 3, 1, 2), read(_YEAR_MONTH_DAY, 1, 2, 3)]
-    return F.coalesce(*days, read(_MONTH_YEAR, 2, 1))
+    orders = [read(_DAY_MONTH_YEAR, 3, 2, 1), read(_MONTH_DAY_YEAR, 3, 1, 2), read(_YEAR_MONTH_DAY, 1, 2, 3), read(_MONTH_YEAR, 2, 1)]
+    return f"CASE {' '.join(orders)} END"
 
 
-def _spoken_moment(t: Column) -> Column:
+def _spoken_moment(t: str) -> str:
     """Tokens of a date in words: a day name, a day in numbers or with a named month, a clock of 12 or 24 hours.
 
     The clock is cut off first, so every day layout takes every clock.
     """
 
-    def with_day(d: Column) -> Column:
-        return F.coalesce(_numeric_layouts(d), _named_day(d))
-
-    def with_clock(s: Column) -> Column:
-        def part(group: int) -> Column:
-            return F.regexp_extract(s, _CLOCK, group)
-
-        has_clock = s.rlike(_CLOCK)
-        midnight = let(F.when(has_clock, part(1)).otherwise(s), with_day)
-        hour, minute, half = part(2).try_cast("int"), part(3).try_cast("int"), F.lower(part(5))
-        second = F.when(part(4) == "", F.lit(0.0)).otherwise(part(4).try_cast("double"))
-        hour24 = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
-        valid = hour24.between(0, 23) & minute.between(0, 59) & (second < 60)
-        micros = (hour24 * 3600 + minute * 60).cast("long") * 1_000_000 + F.floor(F.round(second * 1e6, 3)).cast("long")
-        moment = F.timestamp_add("MICROSECOND", micros, midnight)
-        return F.when(~has_clock, midnight).when(valid, moment)
-
-    s = F.regexp_replace(F.regexp_replace(t, _DAY_NAME, ""), _ORDINAL, "")
-    s = F.regexp_replace(s, _HOUR_ONLY, " $1:00 $2m")
-    six = F.regexp_replace(s, r"^(\d{8})[T ]?(\d{2})(\d{2})(\d{2})$", "$1 $2:$3:$4")
-    return let(F.regexp_replace(six, r"^(\d{8})[T ]?(\d{2})(\d{2})$", "$1 $2:$3"), with_clock)
+    def part(group: int) -> str:
+        return f"regexp_extract(s, r'{_CLOCK}', {group})"
+
+    text = t
+    for pattern, order in (
+        (_DAY_NAME, ""),
+        (_ORDINAL, ""),
+        (_HOUR_ONLY, " $1:00 $2m"),
+        (r"^(\d{8})[T ]?(\d{2})(\d{2})(\d{2})$", "$1 $2:$3:$4"),
+        (r"^(\d{8})[T ]?(\d{2})(\d{2})$", "$1 $2:$3"),
+    ):
+        text = f"regexp_replace({text}, r'{pattern}', r'{order}')"
+    clock = f"""CASE WHEN s RLIKE r'{_CLOCK}' THEN named_struct('d', {part(1)}, 'h', try_cast({part(2)} AS int), 'm', try_cast({part(3)} AS int),
+      's', CASE WHEN {part(4)} = '' THEN 0D ELSE try_cast({part(4)} AS double) END, 'half', lower({part(5)}))
+      ELSE named_struct('d', s, 'h', 0, 'm', 0, 's', 0D, 'half', '') END"""
+    valid = "m <= 59 AND s < 60 AND h BETWEEN IF(half = '', 0, 1) AND IF(half = '', 23, 12)"
+    hour = "IF(half = '', h, h % 12 + IF(half = 'p', 12, 0))"
+    for name in ("half", "h", "m", "s"):
+        valid, hour = (re.sub(rf"\b{name}\b", f"p.{name}", x) for x in (valid, hour))
+    micros = f"CAST(({hour} * 60 + p.m) * 60 AS bigint) * 1000000 + CAST(floor(round(p.s * 1000000D, 3)) AS bigint)"
+    moment = f"CASE WHEN {valid} THEN timestampadd(MICROSECOND, {micros}, coalesce({_numeric_layouts('p.d')}, {_named_day('p.d')})) END"
+    return f"element_at(transform(transform(array({text}), s -> {clock}), p -> {moment}), 1)"
+
+
+_READ_MOMENT = f"""t -> coalesce({_numeric_layouts("t")},
+  CASE WHEN t RLIKE r'^\\d{{4}}(-\\d{{1,2}})?$' THEN try_cast(t AS timestamp_ntz) WHEN t RLIKE r'{_SPOKEN}' THEN {_spoken_moment("t")} END)"""
 
 
 def timestamp_from_text(value: Column | str) -> Column:
@@ -212,10 +208,9 @@ def timestamp_from_text(value: Column | str) -> Column:
     the check for such text keeps that reading away from all other rows. A two-digit year below 70 is in the 2000s.
     """
     t = F.trim(_col(value).cast("string"), F.lit(WHITESPACE))
-    year_only = F.when(t.rlike(r"^\d{4}(-\d{1,2})?$"), t.try_cast("timestamp_ntz"))
-    spoken = F.when(t.rlike(_SPOKEN), let(t, _spoken_moment))
+    read = F.element_at(F.call_function("transform", F.array(t), F.expr(_READ_MOMENT)), 1)
     serial = F.when(t.rlike(r"^\d{1,7}(\.\d*)?$"), excel_serial(t.try_cast("double")))
-    return F.coalesce(_numeric_layouts(t), year_only, spoken, serial)
+    return F.coalesce(read, serial)
 
 
 def moment(value: Column | str, dtype: T.DataType) -> Column:

@@ -4,7 +4,7 @@ A window over ``partitionBy(key)`` would put every row of a key into one task. H
 aggregated first (map-side combine makes a hot key one row per map task), and the small result is
 joined back in one of two ways, chosen by its counted size:
 
-* few keys: broadcast, so the wide rows are not shuffled at all;
+* few keys, counted and measured in bytes: broadcast, so the wide rows are not shuffled at all;
 * many keys: keys that hold at least one ``HOT_KEYS``-th of the rows (so at most ``HOT_KEYS`` keys) are
   broadcast and their rows spread over the reducers by a salt; only lighter keys are co-located by
   the shuffle join, whose partitions adaptive execution can still split.
@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscan.plans.tables import written
+from ledgerscan.plans.tables import BROADCAST_BYTES, fits, row_bytes, written
 
 BROADCAST_ROWS = 200_000
 HOT_KEYS = 20_000
@@ -73,15 +73,16 @@ def attach(
         stats = stats.withColumn("__keep", F.lit(True))
     stats = written(stats)
     kept = stats.filter("__keep")
-    sizes = stats.agg(F.count_if("__keep").alias("keys"), F.sum("__weight").alias("rows")).first()
-    if sizes["keys"] <= limit:
+    if fits(kept, limit):
         right = _prefixed(kept, "__s_")
         how = "left" if keep is None else "inner"
         joined = rows.join(F.broadcast(right), _on(rows, right, names, "__s_"), how)
         return joined.select(*df.columns, *[F.col(f"`__s_{v}`").alias(v) for v in values])
 
-    # at most HOT_KEYS keys can each hold 1/HOT_KEYS of the counted rows: a bounded broadcast
-    hot = _prefixed(stats.filter(F.col("__weight") >= sizes["rows"] / HOT_KEYS), "__h_")
+    # at most HOT_KEYS keys can each hold 1/HOT_KEYS of the counted rows; long keys or values leave room for fewer
+    weights = stats.agg(F.sum("__weight").alias("rows"), F.max(row_bytes(stats)).alias("widest")).first()
+    share = max(1, min(HOT_KEYS, BROADCAST_BYTES // (weights["widest"] or 1)))
+    hot = _prefixed(stats.filter(F.col("__weight") >= (weights["rows"] or 0) / share), "__h_")
     tagged = rows.join(F.broadcast(hot), _on(rows, hot, names, "__h_"), "left")
     if keep is not None:
         tagged = tagged.filter(F.coalesce(F.col("__h___keep"), F.lit(True)))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _LOCAL_FOLDERS: dict[str, tempfile.TemporaryDirectory] = {}
 
@@ -22,6 +24,27 @@ def shared_folder(spark: SparkSession) -> str:
         _LOCAL_FOLDERS[app] = tempfile.TemporaryDirectory(prefix="ledgerscan-", ignore_cleanup_errors=True)
     return _LOCAL_FOLDERS[app].name
 
+#: Bytes of plain values up to which a measured table is broadcast.
+BROADCAST_BYTES = 64 << 20
+VARIABLE = (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType, T.VariantType)
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row's values: texts and nested values by their length, all others 16 each."""
+    sizes = [F.lit(16 * len(df.columns))]
+    for field in df.schema:
+        if isinstance(field.dataType, VARIABLE):
+            plain = F.col(f"`{field.name}`")
+            text = plain if isinstance(field.dataType, (T.StringType, T.BinaryType)) else F.to_json(F.struct(plain))
+            sizes.append(F.coalesce(F.octet_length(text), F.lit(0)))
+    return sum(sizes[1:], sizes[0].cast("long"))
+
+
+def fits(df: DataFrame, rows: int, size: int | None = None) -> bool:
+    """Whether ``df`` (already written) has at most so many rows and bytes, by counting them (runs a job)."""
+    seen = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("bytes")).first()
+    return seen["rows"] <= rows and seen["bytes"] <= (BROADCAST_BYTES if size is None else size)
+
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerscan.functions import apply_function
 from ledgerscan.operators import aggregate, joins, profile
-from ledgerscan.plans import ordered
+from ledgerscan.plans import keyed, ordered, tables
 from ledgerscan.plans.ordered import OrderedRows, quantiles
 
 
@@ -161,6 +161,33 @@ def test_join_null_keys_and_suffix(spark, rows):
     assert rows(joins.anti(left, right, "k", "k")) == [("z", 3)]
 
 
+def test_outer_joins_split_hot_keys_unasked(spark, rows):
+    """A key with half of the rows on either or both sides, a hot key without partner, null as a hot key."""
+    left = [("h", i) for i in range(300)] + [(None, i) for i in range(300, 360)] + [("lonely", i) for i in range(400, 480)] + [(f"k{i}", i) for i in range(40)]
+    right = [("h", i) for i in range(70)] + [(None, 900)] + [(f"k{i}", i) for i in range(20, 60)] + [("there", i) for i in range(60)]
+    a, b = spark.createDataFrame(left, "k string, v int"), spark.createDataFrame(right, "k string, v int")
+    hot = joins.hot_keys(a, b, ["k"], ["k"], hot_rows=50)
+    assert sorted(r[1:] for r in hot.collect()) == [(1, 2), (2, 1), (2, 1), (6, 2)]
+    assert joins.hot_keys(a, b, ["k"], ["k"]) is None
+    for how in ("left", "right", "outer"):
+        expected = rows(joins.join(a, b, "k", "k", how, skewed=False))
+        assert rows(joins.join(a, b, "k", "k", how, hot_rows=50)) == expected
+        assert rows(joins.join(a.withColumnRenamed("k", "x"), b, "x", "k", how, hot_rows=50)) == rows(
+            joins.join(a.withColumnRenamed("k", "x"), b, "x", "k", how, skewed=False)
+        )
+
+
+def test_broadcasts_are_bounded_by_bytes(spark, rows, monkeypatch):
+    df = spark.createDataFrame([("x" * 100, 1), (None, 2), ("y", 3)], "t string, n int")
+    assert tables.fits(df, 3, 3 * 32 + 101) and not tables.fits(df, 3, 3 * 32 + 100) and not tables.fits(df, 2)
+    assert tables.fits(df.select(F.array("t").alias("a")).limit(0), 0, 0)
+    wanted = rows(joins.semi(df, df.filter("n < 3"), "t", "t"))
+    kept = rows(keyed.attach(df, {"__k": F.col("t")}, keyed.group_stats(df, {"__k": F.col("t")}, {"s": F.sum("n")})))
+    monkeypatch.setattr(tables, "BROADCAST_BYTES", 0)
+    assert rows(joins.semi(df, df.filter("n < 3"), "t", "t")) == wanted
+    assert rows(keyed.attach(df, {"__k": F.col("t")}, keyed.group_stats(df, {"__k": F.col("t")}, {"s": F.sum("n")}))) == kept
+
+
 def test_adaptive_buckets_keep_the_order(spark, monkeypatch):
     """Merged range partitions are still ascending ranges."""
     monkeypatch.setattr(ordered, "BUCKETS", None)
