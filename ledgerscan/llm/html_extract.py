@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -42,6 +43,7 @@ BLOCKS = frozenset(
     " caption legend option".split()
 )
 CONTAINERS = frozenset("html body main article section div td th blockquote center details dl ol ul table figure".split())
+LISTS = ("ul", "ol", "dl", "table", "select")
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LEFT_OUT = frozenset(
     "head nav aside footer form button select option input menu svg canvas object template dialog audio video map math"
@@ -57,16 +59,70 @@ NAMES = frozenset(
 PAGE_PARTS = frozenset("header footer masthead".split())
 OWN_PARTS = frozenset("article post entry content story".split())
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
-    re.S,
-)
+OPENING = re.compile(r"<(?:!--|/?[a-zA-Z]|[!?/])")
+NAME = re.compile(r"[^\s/>]+")
+QUOTE_OR_END = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=[\s/]|$)", re.I)
 SPACE = re.compile(r"\s+")
 NUMBER = re.compile(r"\d+")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+def tags_of(source: str):
+    """``start, end, closing, name, attributes`` of every tag, comments and declarations with an empty name.
+
+    A tag ends at the first ``>`` outside quotes; where its quotes never close, at the first ``>`` of all, and
+    without any it is text. Quotes from which no end was reached are remembered, so each is followed
+    once and the time is linear in the page.
+    """
+    last = source.rfind(">")
+    hopeless: set[int] = set()
+
+    def end_of(at: int) -> int:
+        tried = []
+        while True:
+            m = QUOTE_OR_END.search(source, at)
+            if m is None:
+                break
+            if m[0] == ">":
+                return m.start()
+            if m.start() in hopeless:
+                break
+            tried.append(m.start())
+            close = source.find(m[0], m.end())
+            if close < 0:
+                break
+            at = close + 1
+        hopeless.update(tried)
+        return -1
+
+    at = 0
+    while True:
+        m = OPENING.search(source, at)
+        if m is None:
+            return
+        start = m.start()
+        if m[0] == "<!--":
+            close = source.find("-->", m.end())
+            at = len(source) if close < 0 else close + 3
+            moved = yield start, at, False, "", ""
+        elif start > last:
+            at = m.end()
+            continue
+        elif m[0][-1] in "!?/":
+            at = source.index(">", m.end()) + 1
+            moved = yield start, at, False, "", ""
+        else:
+            name = NAME.match(source, m.end() - 1)
+            close = end_of(name.end())
+            if close < 0:
+                close = source.find(">", name.end())
+            at = close + 1
+            moved = yield start, at, m[0][1] == "/", name[0].lower(), source[name.end() : close]
+        if moved is not None:
+            at = moved
+
+
 class Page:
     """Blocks of a page and the containers they stand in."""
 
@@ -80,6 +136,8 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int, bool, str]] = []  # tag, container, left out, path
+        places: dict[str, list[int]] = defaultdict(list)  # of every open tag in the stack
+        boxes: list[int] = []  # places of open containers
         text: list[str] = []
         linked = 0
         links = 0
@@ -93,7 +151,7 @@ class Page:
                 block = SPACE.sub(" ", "".join(text)).strip()
                 if block:
                     self.blocks.append((state()[1], block, linked))
-                    if any(s[0] == "h1" for s in stack):
+                    if places["h1"]:
                         self.headlines.append(state()[1])
                 text.clear()
             linked = 0
@@ -106,6 +164,19 @@ class Page:
             if tag == "a":
                 links -= 1
             stack.pop()
+            places[tag].pop()
+            if tag in CONTAINERS:
+                boxes.pop()
+
+        def pop_to(k: int):
+            while len(stack) > k:
+                pop()
+
+        def push(tag: str, container: int, out: bool, path: str):
+            places[tag].append(len(stack))
+            if tag in CONTAINERS:
+                boxes.append(len(stack))
+            stack.append((tag, container, out, path))
 
         def add(raw: str):
             nonlocal linked
@@ -116,58 +187,47 @@ class Page:
                     linked += len(piece.strip())
 
         at = 0
+        scan = tags_of(source)
+        found_tag = next(scan, None)
         while True:
-            m = TOKEN.search(source, at)
-            if m is None:
+            if found_tag is None:
                 add(source[at:])
                 break
-            add(source[at : m.start()])
-            at = m.end()
-            name = m[2] or m[5]
-            if not name:
+            start, end, closing, tag, attributes = found_tag
+            add(source[at:start])
+            at = end
+            if tag in RAW and not closing:
+                close = re.compile(rf"</{tag}[\s/>]", re.I).search(source, at)
+                at = len(source) if close is None else close.start()
+            found_tag = self._step(scan, at if at != end else None)
+            if not tag:
                 continue
-            tag = name.lower()
-            if m[1] or m[4]:
-                if tag == "p" and not any(s[0] == "p" for s in stack):
+            if closing:
+                if tag == "p" and not places["p"]:
                     flush()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        while len(stack) > k:
-                            pop()
-                        break
+                if places[tag]:
+                    pop_to(places[tag][-1])
                 continue
             if tag in BLOCKS:
                 flush()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        while len(stack) > k:
-                            pop()
-                        break
-                    if stack[k][0] in CONTAINERS:
-                        break
+                if places["p"] and places["p"][-1] > (boxes[-1] if boxes else -1):
+                    pop_to(places["p"][-1])
             if tag in CLOSES:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in CLOSES[tag]:
-                        while len(stack) > k:
-                            pop()
-                        break
-                    if stack[k][0] in ("ul", "ol", "dl", "table", "select"):
-                        break
+                k = max((places[x][-1] for x in CLOSES[tag] if places[x]), default=-1)
+                if k > max((places[x][-1] for x in LISTS if places[x]), default=-1):
+                    pop_to(k)
             if tag in VOID:
                 if tag in ("br", "hr", "wbr") and tag != "wbr":
                     add(" ")
                 continue
-            attributes = m[3] or m[6] or ""
             if tag in RAW:
-                end = re.compile(rf"</{tag}[\s/>]", re.I).search(source, at)
-                at = len(source) if end is None else end.start()
-                stack.append((tag, state()[1], True, state()[3]))
+                push(tag, state()[1], True, state()[3])
                 continue
             if attributes.endswith("/") and tag not in BLOCKS:
                 continue
             found = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes else {}
             above = state()
-            out = above[2] or self._left_out(tag, found, stack)
+            out = above[2] or self._left_out(tag, found, bool(places["article"] or places["main"]))
             if tag == "a":
                 links += 1
             if tag in CONTAINERS and not out:
@@ -178,24 +238,31 @@ class Page:
                 self.paths.append(path)
                 self.parents.append(above[1])
                 self.tags.append(tag)
-                stack.append((tag, len(self.paths) - 1, out, path))
+                push(tag, len(self.paths) - 1, out, path)
             else:
-                stack.append((tag, above[1], out, above[3]))
+                push(tag, above[1], out, above[3])
         while stack:
             pop()
         flush()
 
     @staticmethod
-    def _left_out(tag: str, found: dict, stack: list) -> bool:
+    def _step(scan, moved: int | None):
+        """The next tag, from ``moved`` on where the text before it was skipped."""
+        try:
+            return next(scan) if moved is None else scan.send(moved)
+        except StopIteration:
+            return None
+
+    @staticmethod
+    def _left_out(tag: str, found: dict, inside: bool) -> bool:
         if tag in LEFT_OUT:
             return True
         if not found:
-            return tag == "header" and not any(s[0] in ("article", "main") for s in stack)
+            return tag == "header" and not inside
         if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in ROLES:
             return True
         if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
             return True
-        inside = any(s[0] in ("article", "main") for s in stack)
         if tag == "header" and not inside:
             return True
         if tag in ("html", "body", "main", "article"):
@@ -209,10 +276,14 @@ class Page:
         for container, block, linked in self.blocks:
             scores[container] += max(0, len(block) - 2 * linked)
         at = max(range(len(scores)), key=lambda k: (scores[k], -k))
+        heads = [0] * len(self.paths)
+        for container in self.headlines:
+            heads[container] += 1
         for k in range(len(scores) - 1, 0, -1):
             scores[self.parents[k]] += scores[k]
+            heads[self.parents[k]] += heads[k]
         while scores[at] < scores[0]:
-            if self.tags[at] in ("article", "main") and scores[at] >= NEARLY_ALL * scores[0] and self.headed(self.below(lambda k: k == at)):
+            if self.tags[at] in ("article", "main") and scores[at] >= NEARLY_ALL * scores[0] and heads[at] == heads[0]:
                 break
             at = self.parents[at]
         return at, float(scores[at])

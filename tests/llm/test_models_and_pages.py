@@ -1,10 +1,15 @@
+import random
+import re
 import sys
+import time
 from pathlib import Path
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerscan.llm import bpe, html_extract, importance, quality_rules, toxicity
+from ledgerscan.llm.html_extract import Page, tags_of
 from ledgerscan.llm.queries import tokenizer_path
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
@@ -206,3 +211,32 @@ def test_rows_are_numbered_alike_in_any_splits(spark):
     finally:
         spark.conf.set(key, before)
     assert first == again and first[1] == docs.count()
+
+
+def test_tags_against_a_pattern():
+    """Tags, comments and declarations as a backtracking pattern finds them, which takes quadratic time on broken pages."""
+    pattern = re.compile(
+        r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S
+    )
+    pieces = ["<a ", "<b", "</a", ">", ' "', "'", "x", "<!--", "-->", "<!doctype", "< ", "/", "</", ' k="v>" ']
+    rng = random.Random(5)
+    for _ in range(5000):
+        page = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 14)))
+        expected = [
+            (m.start(), m.end(), (m[1] or m[4] or "") == "/", (m[2] or m[5] or "").lower(), m[3] or m[6] or "") for m in pattern.finditer(page)
+        ]
+        if not any(set(name) & set("'\"") for *_, name, _ in expected):  # a quote in a name: the pattern gives part of it back
+            got = list(tags_of(page))
+            if not any(set(name) & set("'\"") for *_, name, _ in got):
+                assert got == expected, page
+
+
+@pytest.mark.parametrize("piece", ['<a x="', "<p><b>", '<a ">" ', "<article>", "<div>", "</x><i>"])
+def test_broken_pages_take_linear_time(piece):
+    def seconds(n: int) -> float:
+        began = time.process_time()
+        Page(piece * n + "text").extract(None)
+        return time.process_time() - began
+
+    seconds(1_000)
+    assert seconds(16_000) < 24 * max(seconds(2_000), 0.02)  # 8 times the page; quadratic time would be 64 times
