@@ -352,6 +352,17 @@ def _correlation(spark, sf):
     return df.select("o_orderkey", F.round("r", 6).alias("r"), F.round("cov", 2).alias("cov"))
 
 
+LINES_SQL = """(SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
+    CAST(round(l_extendedprice * 100) AS BIGINT)) AS line FROM lineitem)"""
+
+
+def lines(spark, sf):
+    """Rows of lineitem in their whole width; numbers of an order repeat, so their text key takes more columns."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    parts = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents]
+    return table(spark, sf, "lineitem").withColumn("line", F.concat_ws("-", *parts))
+
+
 def _ordered(name, fn, sql_value, source=accounts, relation=ACCOUNTS_SQL, key="c_custkey", column="balance",
              partition_by=(), digits=6, **args):
     def build(spark, sf):
@@ -381,6 +392,15 @@ _ordered("fx_rolling_mean", "pd_rolling_mean",
 _ordered("fx_rolling_mean_partitioned", "pd_rolling_mean",
          "round(avg(o_totalprice) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6)",
          source=postings, relation=POSTINGS_SQL, key="o_orderkey", column="o_totalprice", partition_by=("o_orderpriority",))
+_ordered("fx_rolling_mean_far", "pd_rolling_mean",
+         "round(avg(l_quantity) OVER (ORDER BY line ROWS BETWEEN 99999 PRECEDING AND CURRENT ROW), 6)",
+         source=lines, relation=LINES_SQL, key="line", column="l_quantity", window=100_000)
+_ordered("fx_rolling_mean_far_partitioned", "pd_rolling_mean",
+         "round(avg(l_quantity) OVER (PARTITION BY l_returnflag ORDER BY line ROWS BETWEEN 999 PRECEDING AND CURRENT ROW), 6)",
+         source=lines, relation=LINES_SQL, key="line", column="l_quantity", partition_by=("l_returnflag",), window=1000)
+_ordered("fx_diff_far", "pd_diff",
+         "round(l_quantity - lag(l_quantity, 20000) OVER (PARTITION BY l_returnflag ORDER BY line), 6)",
+         source=lines, relation=LINES_SQL, key="line", column="l_quantity", partition_by=("l_returnflag",), periods=20_000)
 _ordered("fx_cumsum", "cumsum", "round(coalesce(sum(balance) OVER (ORDER BY c_custkey), 0), 4)", digits=4)
 _ordered("fx_cumsum_partitioned", "cumsum",
          "round(sum(o_totalprice) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey), 2)", source=postings,

@@ -2,19 +2,25 @@
 
 Rows are range-partitioned on the full order and written once, so the bucket of a row is stable.
 Every bucket is then processed by ordinary windows partitioned by the bucket; what crosses a bucket
-edge (counts, sums, last values, a few neighbouring rows) is a table of at most a few rows per
-bucket, prefix-combined and broadcast. A partition column that holds a third of all rows is spread
-over many buckets like any other range. The order must be unique per row.
+edge (counts, sums, last values) is a table of at most a few rows per bucket, prefix-combined and
+broadcast. A partition column that holds a third of all rows is spread over many buckets like any
+other range. The order must be unique per row.
+
+The written rows are bucketed by their range, so windows over a bucket read them without another
+exchange: the wide rows cross the network once. A row that lies ``k`` places before another, in a
+different bucket, is found through the ranges of places: every row sends at most one narrow copy,
+however large ``k`` is.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerscan.plans.tables import written
+from ledgerscan.plans import tables
 
 SMALL_GROUP_ROWS = 1_000_000
 # Number of buckets; None leaves it to adaptive execution, from one up to the shuffle partitions.
@@ -46,13 +52,21 @@ class OrderedRows:
         layout = [*_columns(self.partition_by), *_columns(order_by)]
         ranged = df.repartitionByRange(count, *layout) if count else df.repartitionByRange(*layout)
         placed = ranged.sortWithinPartitions(*layout)
-        placed = written(placed.withColumn("__id", F.monotonically_increasing_id()))
         # the id holds the partition in its upper bits and the place inside it in the lower 33
-        self.rows = placed.select(
-            *df.columns,
+        placed = placed.withColumn("__id", F.monotonically_increasing_id()).select(
+            *_columns(df.columns),
             F.shiftright("__id", 33).cast("int").alias("__bucket"),
             F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)).alias("__at"),
         )
+        self.parts = count or tables.parts_for(df)
+        self.rows = tables.written_in_buckets(placed, "__bucket", self.parts)
+
+    def divided(self, rows: DataFrame, *names: str) -> OrderedRows:
+        """The same layout with ``rows`` (its rows and more columns), whose groups are divided further by ``names``."""
+        inner = copy.copy(self)
+        inner.rows = rows
+        inner.partition_by = [*self.partition_by, *names]
+        return inner
 
     # -- pieces ---------------------------------------------------------------------------
 
@@ -119,20 +133,38 @@ class OrderedRows:
 
     def with_running_sum(self, value: Column, name: str, total: str | None = None) -> DataFrame:
         """Running sum of ``value`` (null counts as nothing); optionally the group total too."""
-        rows = self.rows.withColumn("__v", value)
-        edges = self._edges(rows, {"__sum": F.sum("__v")})
-        whole = F.sum("__sum").over(Window.partitionBy("__group"))
+        return self.with_running_sums({name: value}, {name: total} if total else {})
+
+    def with_running_sums(
+        self, values: dict[str, Column], totals: dict[str, str] | None = None, after: dict[str, str] | None = None
+    ) -> DataFrame:
+        """A running sum a value, with further names for the total of the group and for the sum from its row to the end."""
+        totals, after = totals or {}, after or {}
+        inner = {n: f"__v{i}" for i, n in enumerate(values)}
+        rows = self.rows.withColumns({inner[n]: v for n, v in values.items()})
+        edges = self._edges(rows, {v: F.sum(v) for v in inner.values()})
+        whole = Window.partitionBy("__group")
+        later = whole.orderBy(F.desc("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
         edges = edges.select(
-            "__bucket", "__group", F.sum("__sum").over(self._earlier()).alias("__before"), whole.alias("__whole")
+            "__bucket",
+            "__group",
+            *[F.sum(v).over(self._earlier()).alias(f"{v}_before") for v in inner.values()],
+            *[F.sum(inner[n]).over(later).alias(f"{inner[n]}_behind") for n in after],
+            *[F.sum(inner[n]).over(whole).alias(f"{inner[n]}_whole") for n in totals],
         )
-        placed = self._with_edges(rows, edges)
-        running = F.sum("__v").over(self.window().rowsBetween(Window.unboundedPreceding, 0))
-        zero = F.lit(0).cast(rows.schema["__v"].dataType)
-        out = placed.withColumn(name, F.coalesce(running, zero) + F.coalesce("__before", zero))
-        if total:
-            in_bucket = F.sum("__v").over(Window.partitionBy("__bucket", *_columns(self.partition_by)))
-            out = out.withColumn(total, F.coalesce("__whole", in_bucket))
-        return out.drop("__v", "__before", "__whole")
+        out = self._with_edges(rows, edges)
+        groups = Window.partitionBy("__bucket", *_columns(self.partition_by))
+        onward = groups.orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+        backward = groups.orderBy(F.desc("__at")).rowsBetween(Window.unboundedPreceding, 0)
+        for name, v in inner.items():
+            zero = F.lit(0).cast(rows.schema[v].dataType)
+            out = out.withColumn(name, F.coalesce(F.sum(v).over(onward), zero) + F.coalesce(f"{v}_before", zero))
+            if name in after:
+                rest = F.coalesce(F.sum(v).over(backward), zero) + F.coalesce(f"{v}_behind", zero)
+                out = out.withColumn(after[name], rest)
+            if name in totals:
+                out = out.withColumn(totals[name], F.coalesce(f"{v}_whole", F.sum(v).over(groups)))
+        return out.drop(*[f"{v}{part}" for v in inner.values() for part in ("", "_before", "_behind", "_whole")])
 
     def with_last_known(self, value: Column, name: str) -> DataFrame:
         """``value`` carried forward over nulls."""
@@ -146,44 +178,82 @@ class OrderedRows:
         local = F.last("__v", ignorenulls=True).over(self.window().rowsBetween(Window.unboundedPreceding, 0))
         return placed.withColumn(name, F.coalesce(local, F.col("__before"))).drop("__v", "__before")
 
-    def with_halo(self, rows: DataFrame, depth: int) -> DataFrame:
-        """``rows`` plus, per bucket, copies of the ``depth`` rows before it in the whole order.
+    def _reached(self, first: int, last: int) -> DataFrame:
+        """Pairs of buckets: places ``first`` to ``last`` behind some row of ``__from`` lie in another one, ``__to``.
 
-        Copies carry ``__halo = true`` and a negative ``__at``, so they sort before the bucket's own
-        rows. A bucket gets at most ``depth`` copies, also when they come from several buckets.
+        Two rows a bucket for one shift; the ranges meet by sorting their bounds, not in pairs.
         """
-        starts = self._starts().filter("__start > 0")
-        wanted = starts.select(
-            F.col("__start_bucket").alias("__for_bucket"),
-            F.col("__start").alias("__for_start"),
-            F.explode(F.sequence(F.greatest(F.col("__start") - depth + 1, F.lit(1)), F.col("__start"))).alias("__wanted"),
+        sizes = self.rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
+        upto = Window.partitionBy(F.lit(0)).orderBy("__bucket")
+        ranges = sizes.select(
+            "__bucket",
+            F.row_number().over(upto).alias("__index"),
+            F.coalesce(F.sum("__n").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"),
+            (F.sum("__n").over(upto.rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("__end"),
+        )
+        bounds = F.array(
+            F.struct(F.col("__start").alias("__place"), F.lit(0).alias("__kind")),
+            F.struct((F.col("__start") + first).alias("__place"), F.lit(1).alias("__kind")),
+            F.struct((F.col("__end") + last).alias("__place"), F.lit(2).alias("__kind")),
+        )
+        events = ranges.select("__index", F.explode(bounds).alias("__b")).select("__index", "__b.*")
+        sweep = Window.partitionBy(F.lit(0)).orderBy("__place", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+        holder = F.last(F.when(F.col("__kind") == 0, F.col("__index")), ignorenulls=True).over(sweep)
+        events = events.withColumn("__holder", holder).groupBy("__index").agg(
+            F.max(F.when(F.col("__kind") == 1, F.col("__holder"))).alias("__low"),
+            F.max(F.when(F.col("__kind") == 2, F.col("__holder"))).alias("__high"),
         )
-        sources = self._starts()
-        placed = rows.join(F.broadcast(sources), F.col("__bucket") == F.col("__start_bucket"))
-        copies = (
-            placed.join(F.broadcast(wanted), F.col("__start") + F.col("__at") + 1 == F.col("__wanted"))
-            .withColumn("__bucket", F.col("__for_bucket"))
-            .withColumn("__at", F.col("__wanted") - F.col("__for_start") - 1)
-            .select(*rows.columns, F.lit(True).alias("__halo"))
+        pairs = events.select("__index", F.explode(F.sequence("__low", "__high")).alias("__other"))
+        source = ranges.select("__index", F.col("__bucket").alias("__from"), F.col("__start").alias("__from_start"))
+        target = ranges.select(
+            F.col("__index").alias("__other"),
+            F.col("__bucket").alias("__to"),
+            F.col("__start").alias("__to_start"),
+            F.col("__end").alias("__to_end"),
         )
-        return rows.withColumn("__halo", F.lit(False)).unionByName(copies)
+        pairs = pairs.filter("__index <> __other").join(F.broadcast(source), "__index").join(F.broadcast(target), "__other")
+        return pairs.drop("__index", "__other")
+
+    def _copies(self, rows: DataFrame, names: Sequence[str], first: int, last: int, wanted: Column, at: Column) -> DataFrame:
+        """Copies of ``names`` and the partition columns in the buckets that want them, dealt as the rows are."""
+        place = (F.col("__from_start") + F.col("__at")).alias("__p")
+        pairs = F.broadcast(self._reached(first, last))
+        plain = dict.fromkeys([*self.partition_by, *names])
+        sent = rows.select(*_columns(list(plain)), "__bucket", "__at").join(pairs, F.col("__bucket") == F.col("__from"))
+        sent = sent.select(*_columns(list(plain)), "__to", "__to_start", "__to_end", place).filter(wanted)
+        sent = sent.select(*_columns(list(plain)), F.col("__to").alias("__bucket"), at.alias("__at"))
+        return sent.repartition(self.parts, "__bucket").withColumn("__halo", F.lit(True))
+
+    def with_halo(self, rows: DataFrame, depth: int, names: Sequence[str] | None = None) -> DataFrame:
+        """``rows`` plus, per bucket, copies of the ``depth`` rows before it in the whole order.
 
+        Copies hold ``names`` (all columns, if not given) and the partition columns, ``__halo = true``
+        and a negative ``__at``, so they sort before the bucket's own rows. A bucket gets at most
+        ``depth`` copies, also when they come from several buckets.
+        """
+        names = [n for n in rows.columns if n not in ("__bucket", "__at")] if names is None else names
+        near = (F.col("__p") >= F.col("__to_start") - depth) & (F.col("__p") < F.col("__to_start"))
+        copies = self._copies(rows, names, 0, depth, near, F.col("__p") - F.col("__to_start"))
+        return rows.withColumn("__halo", F.lit(False)).unionByName(copies, allowMissingColumns=True)
 
-def neighbours(
-    df: DataFrame,
-    order_by: Sequence[str | Column],
-    partition_by: Sequence[str],
-    depth: int,
-    prepare: tuple[str, Column] | None,
-    outputs: dict[str, object],
-) -> DataFrame:
-    """``outputs``: name -> function(window) giving a Column that looks back at most ``depth`` rows."""
-    ordered = OrderedRows(df, order_by, partition_by)
-    rows = ordered.with_last_known(prepare[1], prepare[0]) if prepare else ordered.rows
-    out = ordered.with_halo(rows, depth)
-    for name, build in outputs.items():
-        out = out.withColumn(name, build(ordered.window()))
-    return out.filter(~F.col("__halo")).select(*df.columns, *outputs)
+    def with_lag(self, rows: DataFrame, value: str, name: str, k: int) -> DataFrame:
+        """Column ``value`` of the row ``k`` places before in the same group (null if there is none).
+
+        Inside a bucket this is a window; a row whose follower lies in another bucket sends one
+        copy to that row's place there, so the work does not depend on ``k``.
+        """
+        if k == 0:
+            return rows.withColumn(name, F.col(value))
+        local = rows.withColumn("__local", F.lag(value, k).over(self.window())).withColumn("__halo", F.lit(False))
+        there = (F.col("__p") + k).between(F.col("__to_start"), F.col("__to_end"))
+        copies = self._copies(rows, [value], k, k, there, F.col("__p") + k - F.col("__to_start"))
+        both = local.unionByName(copies, allowMissingColumns=True)
+        # a copy sorts right before the row that wants it
+        at = Window.partitionBy("__bucket").orderBy(F.asc("__at"), F.desc("__halo"))
+        both = both.withColumn("__sent", F.lag(F.struct("__halo", self.group().alias("__group"), F.col(value).alias("v"))).over(at))
+        meant = F.col("__sent.__halo") & F.col("__sent.__group").eqNullSafe(self.group())
+        found = both.filter(~F.col("__halo")).withColumn(name, F.when(meant, F.col("__sent.v")).otherwise(F.col("__local")))
+        return found.drop("__local", "__halo", "__sent")
 
 
 def between_ranks(low: Column, high: Column, rank: Column) -> Column:

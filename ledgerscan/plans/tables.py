@@ -56,3 +56,28 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/ledgerscan/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def parts_for(df: DataFrame) -> int:
+    """Hash buckets for ``df``: one a 16 MB the planner expects, at least one a core, at most the shuffle partitions."""
+    spark = df.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    expected = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(min(most, max(spark.sparkContext.defaultParallelism, expected >> 24)), 1)
+
+
+def written_in_buckets(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """As :func:`written`, in ``parts`` hash buckets of ``key``: work partitioned by ``key`` reads it without an exchange.
+
+    Spark knows the buckets of a table only, so the files belong to an external table while the
+    frame is built; its columns have plain names there, as catalogues refuse some. The files stay.
+    """
+    spark = df.sparkSession
+    name = f"ledgerscan_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/ledgerscan/{spark.sparkContext.applicationId}/{name}"
+    plain = [f"c{i}" for i in range(len(df.columns))]
+    stored = df.toDF(*plain).write.format("parquet").option("path", path)
+    stored.bucketBy(parts, plain[df.columns.index(key)]).saveAsTable(name)
+    table = spark.table(name).toDF(*df.columns)
+    spark.sql(f"DROP TABLE {name}")
+    return table

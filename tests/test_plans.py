@@ -1,5 +1,7 @@
 """Order-dependent plans against pandas, with many small buckets and skewed groups."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -204,3 +206,39 @@ def test_adaptive_buckets_keep_the_order(spark, monkeypatch):
     by_position = sorted(placed, key=lambda r: r["__position"])
     assert [r["__position"] for r in by_position] == list(range(1, len(placed) + 1))
     assert [r["ord"] for r in by_position] == sorted(r["ord"] for r in placed)
+
+
+@pytest.mark.parametrize("partition_by", [[], ["g"]])
+@pytest.mark.parametrize("far", [7, 65, 399])
+def test_far_rows_at_any_distance(spark, partition_by, far):
+    """Distances and windows below, between and beyond the sizes of buckets, groups and the table; one group holds most rows."""
+    pdf = pd.DataFrame({"ord": range(400)})
+    pdf["g"] = [["a", None, "c"][i % 3] if i % 5 == 0 else "hot" for i in range(400)]
+    pdf["x"] = [None if i % 7 == 3 else float((i * 7919) % 1000) / 8 for i in range(400)]
+    pdf["wide name, odd.1"] = pdf["ord"].astype(str)
+    df = spark.createDataFrame(pdf).withColumn("x", F.nanvl("x", F.lit(None).cast("double"))).repartition(5)
+    out = apply_function(df, "pd_rolling_mean", "x", "mean", order_by=["ord"], partition_by=partition_by, window=far)
+    out = apply_function(out, "pd_diff", "x", "diff", order_by=["ord"], partition_by=partition_by, periods=far)
+    out = apply_function(out, "pd_diff", "x", "ahead", order_by=["ord"], partition_by=partition_by, periods=-far)
+    out = apply_function(out, "pd_pct_change", "x", "pct", order_by=["ord"], partition_by=partition_by, periods=far)
+    got = out.toPandas().sort_values("ord", ignore_index=True)
+    assert list(got["wide name, odd.1"]) == list(pdf["wide name, odd.1"])
+    groups = pdf.groupby("g", dropna=False)["x"] if partition_by else pdf.assign(one=1).groupby("one")["x"]
+    expected = {
+        "mean": groups.transform(lambda s: s.rolling(far, min_periods=1).mean()),
+        "diff": groups.transform(lambda s: s - s.shift(far)),
+        "ahead": groups.transform(lambda s: s - s.shift(-far)),
+        "pct": groups.transform(lambda s: (s.ffill() / s.ffill().shift(far) - 1).replace([np.inf, -np.inf], np.nan)),
+    }
+    for name, values in expected.items():
+        np.testing.assert_allclose(got[name].astype(float), values, rtol=1e-12, err_msg=name)
+
+
+@pytest.mark.parametrize("fn, args", [("pd_rolling_mean", {"window": 100}), ("pd_diff", {"periods": 100}), ("cumsum", {})])
+def test_wide_rows_are_not_exchanged_again(spark, fn, args, capsys):
+    """After the layout is written, only narrow copies and edges move."""
+    df = spark.range(500).select(F.col("id").alias("ord"), F.col("id").alias("x"), F.lit("w").alias("wide"))
+    out = apply_function(df, fn, "x", "result", order_by=["ord"], partition_by=[], **args)
+    out.explain("formatted")
+    steps = [s for s in capsys.readouterr().out.split("\n\n") if "Exchange" in s.split("\n")[0]]
+    assert steps and not [s for s in steps if re.search(r"\b(wide|c2)#", s)]
