@@ -435,6 +435,36 @@ def _builtins(spark, sf):
     )
 
 
+@query(
+    "fx_builtins_moments",
+    f"""WITH t AS (SELECT *, list_avg(v) AS m, list_stddev_pop(v) AS s FROM {_TRIPLES_SQL})
+        SELECT c_custkey, round(list_aggregate(v, 'quantile_cont', 0.75), 6) AS upper_quartile,
+        round(CASE WHEN len(v) >= 3 AND s > 1e-12 THEN list_avg(list_transform(v, lambda x: pow((x - m) / s, 3))) ELSE 0 END, 6) AS skew,
+        round(CASE WHEN len(v) >= 4 AND s > 1e-12 THEN list_avg(list_transform(v, lambda x: pow((x - m) / s, 4))) - 3 ELSE 0 END, 6) AS kurt
+        FROM t""",
+)
+def _builtin_moments(spark, sf):
+    df = _triples(spark, sf)
+    f = Formula(df)
+    return df.select(
+        "c_custkey",
+        F.round(f.QUARTILE_INC(3, *_COLS), 6).alias("upper_quartile"),
+        F.round(f.SKEW(*_COLS), 6).alias("skew"),
+        F.round(f.KURT(*_COLS), 6).alias("kurt"),
+    )
+
+
+@query(
+    "fx_builtins_today",
+    f"""SELECT event_id, TIMESTAMP '2024-02-29 00:00:00' AS today, TIMESTAMP '2024-02-29 10:20:30' AS now,
+        {_ELAPSED.format("other", "ts")}::BIGINT AS days FROM {_MOMENTS_SQL}""",
+)
+def _builtin_today(spark, sf):
+    df = _moments(spark, sf)
+    f = Formula(df, as_of="2024-02-29 10:20:30")
+    return df.select("event_id", f.TODAY().alias("today"), f.NOW().alias("now"), f.DAYS("ts", "other").cast("long").alias("days"))
+
+
 @query(
     "fx_gcd_lcm_beyond_long",
     """SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN gcd(c_custkey, 12)::BIGINT END AS divisor,
