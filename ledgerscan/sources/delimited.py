@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerscan.plans.tables import written
+from ledgerscan.plans.tables import BROADCAST_BYTES, written
 from ledgerscan.sources import charsets
 
-#: Places of lines (a path and two numbers each) up to this number are broadcast; beyond, Spark joins by shuffle.
+#: Places of lines (a path and two numbers each) up to this number are broadcast; beyond, lines and places are joined by sorting.
 BROADCAST_LINES = 200_000
 
 
@@ -111,8 +111,10 @@ def records(lines: DataFrame, sep: str) -> DataFrame:
     if spans.isEmpty():
         return lines.select("file", "no", F.col("line").alias("record"))
     places = spans.select(F.col("file").alias("__file"), F.col("first").alias("__first"), F.explode(F.sequence("first", "last")).alias("__no"))
-    count = spans.agg(F.sum(F.col("last") - F.col("first") + 1)).first()[0]
-    places = F.broadcast(places) if count <= BROADCAST_LINES else places
+    many = F.col("last") - F.col("first") + 1
+    count, size = spans.agg(F.sum(many), F.sum(many * (F.octet_length("file") + 48))).first()
+    # the planner knows the packed size of the spans only and would broadcast millions of places unasked
+    places = F.broadcast(places) if count <= BROADCAST_LINES and size <= BROADCAST_BYTES else places.hint("merge")
     tagged = lines.join(places, (lines.file == places["__file"]) & (lines.no == places["__no"]), "left")
     alone = tagged.filter("__first is null").select("file", "no", F.col("line").alias("record"))
     joined = tagged.filter("__first is not null").groupBy("file", F.col("__first").alias("no"))

@@ -236,3 +236,16 @@ def test_row_checks_run_on_a_stream(spark, tmp_path):
     assert sorted(r.rid for r in spark.table("negatives").collect()) == [1, 3]
     with pytest.raises(ValueError):
         check_stream(stream, "duplicates", "x")
+
+
+def test_many_places_of_lines_are_not_broadcast(spark, tmp_path, monkeypatch):
+    from ledgerscan.sources import delimited
+
+    path = tmp_path / "notes.csv"
+    path.write_text("id,note\n" + "".join(f'{k},"a\nb {k}"\n' for k in range(200)), encoding="utf-8")
+    monkeypatch.setattr(delimited, "BROADCAST_LINES", 100)
+    found = delimited.records(delimited.numbered_lines(delimited.raw_lines(spark, str(path), "UTF-8")), ",")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "__no" in plan and not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "__no" in x]
+    assert found.filter("no > 0").count() == 200
+    assert sorted(r.note for r in read_csv(spark, str(path)).collect()) == sorted(f"a\nb {k}" for k in range(200))
