@@ -11,8 +11,9 @@ the smallest shared priority in each part of the hash range, and keeps a byte of
 text has none). Equal bytes estimate the share of equal output, hence how many characters the texts have
 in common (``likeness``): every character of a whole text can be sampled, at any length.
 
-``near_copies`` cuts fingerprints into bands of sampled bytes; documents that share a band are compared
-by whole fingerprints with one representative of the band, and linked from ``least`` on.
+``near_copies`` cuts fingerprints into bands of sampled bytes, so narrow that fingerprints of likeness ``least``
+always share one; entries that share a band are compared by whole fingerprints, first with one representative, then
+across the classes that this leaves. No pair of ``least`` or more ends in two classes.
 
 Defined results: null texts are empty; empty texts have the fingerprint of zeros, alike (1) to each other
 and to nothing else; equal texts have equal fingerprints; documents of one id stand in the order of their
@@ -23,13 +24,14 @@ empty table gives no rows; of the caller's columns only id and text are read, so
 from __future__ import annotations
 
 import bisect
+import math
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerscan.llm.common import prepare, text_of, without, written
@@ -43,8 +45,10 @@ GRAM, STRETCH = 8, 32
 PERIOD, CLASSES = 1 << 12, 256
 #: Characters that are fingerprinted in one go.
 PACK_CHARS = 1 << 20
-#: Bands of a fingerprint and samples in each: two texts of likeness 0.8 share a band with a chance of 0.98.
-BANDS, WIDTH = 32, 5
+#: Entries of a cell that are compared in one task; larger cells are compared in pairs of such blocks.
+BLOCK = 16_384
+#: Fingerprints that one is compared with in one go.
+COMPARED = 4_096
 #: Ranges of documents for each shuffle partition, and keys drawn for each range to place their bounds.
 RANGES, KEYS = 8, 16
 
@@ -273,38 +277,126 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 # -- near copies -----------------------------------------------------------------------------------
 
 
-def band_places() -> list[list[int]]:
-    """The samples that each band reads: shared random places."""
-    drawn = _mix(np.arange(1, BANDS * SAMPLES + 1, dtype=np.uint64) * _ODD).reshape(BANDS, SAMPLES)
-    return [sorted(np.argsort(row, kind="stable")[:WIDTH].tolist()) for row in drawn]
+def band_width(least: float) -> int:
+    """Samples of a band, so that texts of likeness ``least`` or more always share one.
 
+    Such texts differ in less than one of so many taken samples. A band is spoilt by a sample that differs, and
+    there are at least as many bands with a taken sample as taken samples over the width: one is left.
+    """
+    if least <= 0:
+        raise ValueError("texts are linked from a likeness above 0 on")
+    apart = (1 - _CHANCE) * (1 - least / (2 - least))
+    return SAMPLES if apart <= 1 / SAMPLES else max(1, math.ceil(1 / apart - 1e-9) - 1)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``likeness`` of the fingerprints in the rows of ``a`` and ``b``."""
+    taken = ((a > 0) | (b > 0)).sum(axis=1)
+    share = ((a == b) & (a > 0)).sum(axis=1) / np.maximum(taken, 1)
+    common = np.maximum(0.0, (share - _CHANCE) / (1 - _CHANCE))
+    return np.where(taken == 0, 1.0, 2 * common / (1 + common))
+
+
+def _prints(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SAMPLES)
+
+
+def _linked(edges: DataFrame, entries: DataFrame, least: float) -> DataFrame:
+    """The ``edges`` whose fingerprints are alike."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = alike(_prints(batch.column("fu")), _prints(batch.column("fv"))) >= least
+            yield batch.select(["u", "v"]).filter(pa.array(keep))
+
+    left, right = (entries.select(F.col("u").alias(k), F.col("print").alias(f"f{k}")) for k in ("u", "v"))
+    return edges.join(left, "u").join(right, "v").select("u", "v", "fu", "fv").mapInArrow(work, "u long, v long")
 
-def _alike(a: Column, b: Column) -> Column:
-    """``likeness`` of two fingerprints as text."""
-    x, y = (lambda k, f=f: F.substr(f, 2 * k + 1, F.lit(2)) for f in (a, b))
-    places = F.sequence(F.lit(0), F.lit(SAMPLES - 1))
-    same = F.size(F.filter(places, lambda k: (x(k) == y(k)) & (x(k) != "00")))
-    taken = F.size(F.filter(places, lambda k: (x(k) != "00") | (y(k) != "00")))
-    common = F.greatest(F.lit(0.0), (same / taken - _CHANCE) / (1 - _CHANCE))
-    return F.when(taken == 0, 1.0).otherwise(2 * common / (1 + common))
+
+def _across(members: DataFrame, entries: DataFrame, least: float) -> DataFrame:
+    """Links ``u, v`` between classes: entries of one cell (``cell, u, comp, n``) that are alike, of different ``comp``.
+
+    All entries of a cell are compared with those of other classes, in pairs of blocks where there are
+    many; classes that a link has joined are one from there on.
+    """
+
+    def joined(prints: np.ndarray, comps: list) -> Iterator[tuple[int, int]]:
+        names, class_of = np.unique(np.array(comps, np.int64), return_inverse=True)
+        for k in range(len(comps) - 1):
+            others = k + 1 + np.flatnonzero(class_of[k + 1 :] != class_of[k])
+            for lo in range(0, len(others), COMPARED):
+                some = others[lo : lo + COMPARED]
+                hits = some[alike(prints[k : k + 1], prints[some]) >= least]
+                for j in hits:
+                    if class_of[j] != class_of[k]:
+                        yield int(names[class_of[k]]), int(names[class_of[j]])
+                        class_of[class_of == class_of[j]] = class_of[k]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, prints, comps, found = None, [], [], []
+
+        def close() -> None:
+            if len(prints) > 1:
+                found.extend(joined(np.frombuffer(b"".join(prints), np.uint8).reshape(-1, SAMPLES), comps))
+
+        def out() -> pa.RecordBatch:
+            pairs = list(dict.fromkeys(found))
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+        for batch in batches:
+            for *at, comp, row in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != group:
+                    close()
+                    group, prints, comps = at, [], []
+                prints.append(row)
+                comps.append(comp)
+            yield out()
+        close()
+        yield out()
+
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own, last = F.pmod(F.xxhash64("u", F.lit(3)), blocks).cast("int"), blocks - 1
+    dealt = members.withColumn("own", own).withColumn(
+        "other", F.explode(F.when(last == 0, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), last), F.col("own"))))
+    )
+    dealt = dealt.select("u", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "comp")
+    dealt = dealt.join(entries.select("u", "print"), "u").select("cell", "i", "j", "comp", "print")
+    return dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(work, "u long, v long")
 
 
 def near_copies(prints: DataFrame, least: float = 0.8, id_col: str = "doc_id") -> DataFrame:
     """``prints`` with ``class_id``: the smallest id among the documents linked by fingerprints of likeness ``least`` or more.
 
-    Equal fingerprints are one entry. Within a band all entries are compared with its smallest one, never
-    in pairs; classes are what these links connect. ``class_id`` is null where no document of a class has an id.
+    Equal fingerprints are one entry. Fingerprints are cut into bands so narrow that alike ones share a band
+    (``band_width``), hence a cell. The entries of a cell are compared with its smallest one first; where that
+    leaves a cell with several classes, their entries are compared with each other, so no link between classes
+    is left out. ``class_id`` is null where no document of a class has an id.
     """
+    prepare(prints.sparkSession)
     docs = without(prints, "class_id").withColumn("__u", F.xxhash64("fingerprint", F.lit(1)))
-    entries = written(docs.groupBy(F.col("__u").alias("u")).agg(F.first("fingerprint").alias("fingerprint"), F.min(f"`{id_col}`").alias("low")))
-    bands = [F.xxhash64(F.lit(b), *[F.substring("fingerprint", 2 * p + 1, 2) for p in places]) for b, places in enumerate(band_places())]
-    cells = entries.select("u", F.explode(F.array(*bands)).alias("cell"))
-    shared = written(cells.groupBy("cell").agg(F.min("u").alias("v"), F.max("u").alias("w")).filter("v <> w").select("cell", "v"))
-    edges = written(cells.join(shared, "cell").filter("u <> v").select("u", "v").distinct())
-    left, right = (entries.select(F.col("u").alias(k), F.col("fingerprint").alias(f"f{k}")) for k in ("u", "v"))
-    links = edges.join(left, "u").join(right, "v").filter(_alike(F.col("fu"), F.col("fv")) >= least).select("u", "v")
-    groups = connected_components(written(links)).withColumnRenamed("node", "u")
-    lows = groups.join(entries.select("u", "low"), "u").groupBy("comp").agg(F.min("low").alias("class_low"))
-    named = entries.select("u", "low").join(groups, "u", "left").join(lows, "comp", "left")
-    named = written(named.select(F.col("u").alias("__u"), F.coalesce("class_low", "low").alias("class_id")))
+    entries = docs.groupBy(F.col("__u").alias("u")).agg(F.unhex(F.first("fingerprint")).alias("print"), F.min(f"`{id_col}`").alias("low"))
+    entries = written(entries)
+    width = band_width(least)
+    band = [F.substring("print", 1 + at, min(width, SAMPLES - at)) for at in range(0, SAMPLES, width)]
+    empty = [F.lit(bytes(min(width, SAMPLES - at))) for at in range(0, SAMPLES, width)]
+    cells = F.array(*[F.when(b != e, F.xxhash64(F.lit(k), b)) for k, (b, e) in enumerate(zip(band, empty, strict=True))])
+    cells = entries.select("u", F.explode(F.array_compact(cells)).alias("cell"))
+    whole = Window.partitionBy("cell")
+    cells = cells.withColumn("v", F.min("u").over(whole)).withColumn("n", F.count(F.lit(1)).over(whole))
+    cells = written(cells.filter("n > 1"))
+    edges = cells.filter("u <> v").select("u", "v").distinct()
+    first = connected_components(written(_linked(edges, entries, least)))
+
+    # classes so far; cells with several of them, whose smallest entry may be alike to neither
+    known = cells.filter("n > 2").join(first.select(F.col("node").alias("u"), "comp"), "u", "left").withColumn("comp", F.coalesce("comp", "u"))
+    known = written(known.select("cell", "u", "comp", "n"))
+    several = known.groupBy("cell").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("cell")
+    more = connected_components(written(_across(known.join(several, "cell", "left_semi"), entries, least)))
+
+    named = entries.select("u", "low").join(first.select(F.col("node").alias("u"), "comp"), "u", "left")
+    named = named.withColumn("comp", F.coalesce("comp", "u")).join(more.select(F.col("node").alias("comp"), F.col("comp").alias("joined")), "comp", "left")
+    named = written(named.select("u", "low", F.coalesce("joined", "comp").alias("comp")))
+    lows = named.groupBy("comp").agg(F.min("low").alias("class_id"))
+    named = written(named.join(lows, "comp").select(F.col("u").alias("__u"), "class_id"))
     return docs.join(named, "__u").drop("__u")

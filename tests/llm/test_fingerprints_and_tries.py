@@ -218,3 +218,34 @@ def test_ids_that_end_at_a_node_are_hashed_in_pieces(spark, monkeypatch):
     rows = [(20 * k, 0, "u", "same") for k in range(60)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     assert sorted((tuple(r) for r in prefix_trie.conversation_trie(df).collect()), key=str) == trie(rows)
+
+
+@pytest.mark.parametrize("least, block", [(0.8, 1 << 14), (0.8, 7), (0.6, 1 << 14)])
+def test_near_copies_link_all_pairs_of_the_likeness(spark, monkeypatch, least, block):
+    """Fingerprints around the threshold, short ones with empty samples too, against all pairs."""
+    monkeypatch.setattr(edit_embedding, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    made = []
+    for _ in range(40):
+        taken = rng.choice([0, 1, 2, 5, 20, 90, 128])
+        base = np.zeros(128, np.uint8)
+        base[rng.permutation(128)[:taken]] = rng.integers(1, 256, taken)
+        for _ in range(8):
+            other = base.copy()
+            places = np.flatnonzero(base)[rng.permutation(taken)[: int(taken * rng.uniform(0.1, 0.3))]]
+            other[places] = rng.integers(0 if taken < 100 else 1, 256, len(places))
+            made.append(other)
+    parent = [*range(len(made))]
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(made)):
+        for b in range(a):
+            if edit_embedding.likeness(made[a], made[b]) >= least and find(a) != find(b):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    prints = spark.createDataFrame([(i, p.tobytes().hex()) for i, p in enumerate(made)], "doc_id long, fingerprint string")
+    found = {r.doc_id: r.class_id for r in edit_embedding.near_copies(prints, least).collect()}
+    assert found == {i: find(i) for i in range(len(made))}
