@@ -41,3 +41,12 @@ def test_vouchers_of_every_size(spark):
     assert gaps == {"a": 2e32, "b": 4e32, "c": 4e-7}
     legs = run_check(df, "single_leg_voucher", "v", voucher_col="v", debit_col="debit", credit_col="credit").collect()
     assert {r.v for r in legs} == {"a", "b", "c", "e"}  # one row, or one side
+
+
+def test_totals_are_added_up_once(spark):
+    df = spark.range(10).select(F.col("id").alias("k"), F.lit(1e-7).alias("a"), F.lit(1e32).alias("b"))
+    sums = group_sums(df, {"k": F.col("k")}, {"a": F.col("a"), "b": F.col("b")}, {"a": {"a": 1}, "gap": {"a": 1, "b": -1}})
+    plan = sums.filter(F.abs("gap") > 0)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    with_lambdas = [line for line in plan if "lambda" in line]
+    # one place, per key: neither in a filter over the totals nor where every row is taken apart
+    assert len(with_lambdas) == 1 and "Generate inline" in with_lambdas[0], with_lambdas
