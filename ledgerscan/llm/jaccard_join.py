@@ -123,12 +123,18 @@ class Shingler:
         return np.unique(out)
 
 
+def class_of(n: int, classes: list[int]) -> int:
+    return int(np.searchsorted(classes, n, side="right")) - 1
+
+
 def signatures(shingles: np.ndarray, classes: list[int], percent: int) -> list[np.ndarray]:
     """Piece hashes of a set: as the smaller set (its own class) and as the larger (the class below)."""
-    own = int(np.searchsorted(classes, len(shingles), side="right")) - 1
+    own = class_of(len(shingles), classes)
     spread = mix(shingles)
-    out = []
+    both = []
     for k in (own, own - 1):
+        out = []
+        both.append(out)
         if k < 0:
             continue
         m = pieces(classes, k, percent)
@@ -142,36 +148,40 @@ def signatures(shingles: np.ndarray, classes: list[int], percent: int) -> list[n
             out.append(keys[used] if level + 1 < LEVELS else keys)
             if m >= MANY_PIECES or used.all():
                 break
-    return out
+    return [np.concatenate(out) if out else np.zeros(0, np.uint64) for out in both]
 
 
 def set_table(docs: DataFrame, percent: int, shingle_words: int, id_col: str, text_col: str) -> DataFrame:
-    """One row per document: ``doc_id, th`` (text hash), ``n, cid`` (set and its class), ``pieces``, ``small``; written."""
+    """One row per document: ``doc_id, th`` (text hash), ``n, cid, k`` (set and its size class), ``pieces``, ``below``
+    (of its own class and the one below), ``small``; written."""
     prepare(docs.sparkSession)
     classes = size_classes(percent)
 
     def run(batches):
         shingler = Shingler(shingle_words)
         for batch in batches:
-            n, cid, sig, small = [], [], [], []
+            n, cid, cls, sig, below, small = [], [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 s = shingler.shingles(text)
                 n.append(len(s))
                 if not len(s):
-                    cid.append(None), sig.append(None), small.append(None)
+                    cid.append(None), cls.append(None), sig.append(None), below.append(None), small.append(None)
                     continue
                 cid.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
-                sig.append(np.concatenate(signatures(s, classes, percent)).view(np.int64))
+                cls.append(class_of(len(s), classes))
+                for found, into in zip(signatures(s, classes, percent), (sig, below), strict=True):
+                    into.append(found.view(np.int64))
                 small.append(s.view(np.int64) if len(s) <= LIGHT_MOST else None)
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(sig, kind), pa.array(small, kind)],
-                ["doc_id", "th", "n", "cid", "pieces", "small"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(cls, pa.int32())]
+                + [pa.array(x, kind) for x in (sig, below, small)],
+                ["doc_id", "th", "n", "cid", "k", "pieces", "below", "small"],
             )
 
     text = text_of(text_col)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    made = rows.mapInArrow(run, "doc_id long, th long, n long, cid long, pieces array<long>, small array<long>")
+    made = rows.mapInArrow(run, "doc_id long, th long, n long, cid long, k int, pieces array<long>, below array<long>, small array<long>")
     return written(made.withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -292,31 +302,41 @@ def local_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 
 def heavy_links(docs: DataFrame, sets: DataFrame, reps: DataFrame, percent: int, shingle_words: int, text_col: str) -> DataFrame:
-    """Links of the sets in ``reps`` (``cid, n, th, pieces``) through inverted lists and comparison in blocks."""
-    lists = reps.select("cid", F.explode("pieces").alias("piece"))
-    led = lists.withColumn("u", F.min("cid").over(Window.partitionBy("piece")))
+    """Links of the sets in ``reps`` (``cid, n, th, k, pieces, below``) through inverted lists and comparison in blocks.
+
+    Clusters are formed class by class: a set is a member (``node``) of its own class and, as the larger set, of the
+    class below. In one graph sets of all sizes would hang together by chance and go to blocks they cannot be linked in.
+    """
+    node = {"pieces": F.xxhash64("cid", "k"), "below": F.xxhash64("cid", F.col("k") - 1)}
+    lists = [reps.select(at.alias("node"), F.lit(c == "pieces").alias("own"), F.explode(c).alias("piece")) for c, at in node.items()]
+    group = Window.partitionBy("piece")
+    # lists of larger sets only say nothing that those of their own class do not
+    led = lists[0].unionByName(lists[1]).withColumns({"u": F.min("node").over(group), "some": F.max("own").over(group)})
     # a set hangs on the smallest of its leaders, and so do its other leaders: as connected, with far fewer edges
-    hung = led.filter("u <> cid").select("u", F.col("cid").alias("v")).distinct()
+    hung = led.filter("some and u <> node").select("u", F.col("node").alias("v")).distinct()
     hung = hung.withColumn("m", F.min("u").over(Window.partitionBy("v")))
     candidates = hung.select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).filter("u <> v").distinct()
     cluster = connected_components(candidates)
-    members = reps.select("cid", "n", "th").join(cluster, F.col("cid") == F.col("node")).select("cid", "n", "th", "comp")
+    places = reps.select("cid", "n", "th", F.explode(F.array(*node.values())).alias("at"))
+    members = places.join(cluster, F.col("at") == F.col("node")).select("cid", "n", "th", "comp")
     blocks = members.groupBy("comp").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    members = written(members.join(blocks, "comp"))
-    wanted = members.select(F.col("th").alias("wanted"), "cid", "comp", "blocks")
+    members = members.join(blocks, "comp").groupBy("cid", "th").agg(F.collect_list(F.struct("comp", "blocks")).alias("at"))  # two at most
+    members = written(members)
+    wanted = members.select(F.col("th").alias("wanted"), "cid", "at")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     text = text_of(text_col)
     rows = docs.select(F.xxhash64(text).alias("th"), text.alias("text")).join(wanted, F.col("th") == F.col("wanted"))
-    rows = rows.groupBy("cid", "comp", "blocks").agg(F.first("text").alias("text"))
+    rows = rows.groupBy("cid").agg(F.first("at").alias("at"), F.first("text").alias("text"))
 
     def shingle(batches):
         shingler = Shingler(shingle_words)
         for batch in batches:
-            found = [shingler.shingles(t).tobytes() for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], ["cid", "comp", "blocks", "s"])
+            found = [shingler.shingles(t).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary())], ["cid", "at", "s"])
 
-    made = rows.mapInArrow(shingle, "cid long, comp long, blocks int, s binary")
+    made = rows.mapInArrow(shingle, "cid long, at array<struct<comp: long, blocks: int>>, s binary")
+    made = made.select("cid", "s", F.inline("at"))
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     last = F.col("blocks") - 1
     other = F.explode(F.when(last == 0, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), last), F.col("own"))))
@@ -345,7 +365,7 @@ def linked_components(
     most = boundary({r["n"]: r["count"] for r in sizes}, percent)
     light = light_links(reps.filter(F.col("n") <= most).select("cid", "n", "small"), most, percent)
     # a light set can be linked with a heavy one only if it is nearly as large
-    heavy = reps.filter(F.col("n") * 100 >= percent * (most + 1)).select("cid", "n", "th", "pieces")
+    heavy = reps.filter(F.col("n") * 100 >= percent * (most + 1)).select("cid", "n", "th", "k", "pieces", "below")
     links = light.unionByName(heavy_links(docs, sets, heavy, percent, shingle_words, text_col))
     groups = connected_components(links)
     named = sets.select("doc_id", "n", "cid").join(groups, F.col("cid") == F.col("node"), "left")

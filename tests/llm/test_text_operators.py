@@ -314,3 +314,15 @@ def test_ratio_equals_brute_force_and_reads_every_letter(spark, sample):
         assert found[i].llr == pytest.approx(expected[i], abs=1e-4)
         assert found[i].kept == (not found[i].base_failed and found[i].llr >= quality_rules.THRESHOLD)
     assert len({round(found[i].llr, 3) for i in (5001, 5002, 5003)}) == 3
+
+
+def test_candidate_clusters_hold_sets_of_like_sizes_only(spark, monkeypatch):
+    words = [f"w{i}" for i in range(3000)]
+    sizes = [int(100 * 1.1**k) for k in range(35)]
+    clusters, real = [], jaccard_join.connected_components
+    monkeypatch.setattr(jaccard_join, "connected_components", lambda edges: clusters.append(real(edges)) or clusters[-1])
+    found = jaccard_join.linked_components(frame(spark, [(k, " ".join(words[:n])) for k, n in enumerate(sizes)]), 80, 5).collect()
+    assert {r.component_id for r in found} == {0} and len(found) == 35  # each is linked with the next, so all hang together
+    members = [r["count"] for r in clusters[0].groupBy("comp").count().collect()]
+    # sizes of a cluster differ by two classes at most, not by a factor of 25
+    assert len(members) >= 10 and max(members) <= 6, members
