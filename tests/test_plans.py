@@ -255,3 +255,23 @@ def test_layouts_have_ranges_of_bounded_size_one_a_bucket(spark, monkeypatch):
     slots = layout.rows.select(F.pmod(F.hash("__bucket"), F.lit(layout.parts))).distinct()
     assert slots.count() == layout.parts  # no hash bucket holds two ranges
     assert [r["p"] for r in layout.with_place("p").orderBy("id").select("p").collect()] == [*range(1, 20_001)]
+
+
+def test_quantiles_lay_out_only_what_lies_around_a_rank(spark, monkeypatch):
+    # 60,000 distinct values of two groups, beside a column of five values
+    df = spark.range(60_000).select((F.col("id") % 2).alias("g"), (F.xxhash64("id") / 1e9).alias("x"), (F.col("id") % 5).cast("double").alias("y"))
+    laid, real = [], ordered.OrderedRows.__init__
+
+    def counted(self, rows, *more):
+        laid.append(rows.count())
+        real(self, rows, *more)
+
+    monkeypatch.setattr(ordered.OrderedRows, "__init__", counted)
+    exact = quantiles(df, ["g"], ["x", "y"], [0.25, 0.5, 1.0]).orderBy("g").collect()
+    assert quantiles(df, ["g"], ["x", "y"], [0.25, 0.5, 1.0], small_group_rows=0).orderBy("g").collect() == exact
+    assert len(laid) == 1 and laid[0] < 1_000
+    # bounds that miss a rank: everything is laid out, the result is the same
+    monkeypatch.setattr(ordered, "SKETCH", 20)
+    monkeypatch.setattr(ordered, "SLACK", 0)
+    assert quantiles(df, ["g"], ["x", "y"], [0.25, 0.5, 1.0], small_group_rows=0).orderBy("g").collect() == exact
+    assert len(laid) == 3 and laid[2] > 60_000
