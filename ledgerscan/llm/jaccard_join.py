@@ -21,6 +21,7 @@ other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
@@ -37,6 +38,8 @@ from ledgerscan.llm.components import connected_components
 LIGHT_MOST = 40
 #: Shingles in a block of a cluster.
 BLOCK_SHINGLES = 1 << 20
+#: Bytes of text a shingle up to which a set is sent as its text; bounds the texts of a block.
+SHINGLE_TEXT = 16
 #: Rows of two longs up to this number are broadcast; beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 2_000_000
 KNOWN_WORDS = 200_000
@@ -123,6 +126,12 @@ class Shingler:
         return np.unique(out)
 
 
+@functools.cache
+def shingler(words: int) -> Shingler:
+    """The one of a worker, so that its memory of words lasts."""
+    return Shingler(words)
+
+
 def class_of(n: int, classes: list[int]) -> int:
     return int(np.searchsorted(classes, n, side="right")) - 1
 
@@ -301,8 +310,10 @@ def local_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return links
 
 
-def heavy_links(docs: DataFrame, sets: DataFrame, reps: DataFrame, percent: int, shingle_words: int, text_col: str) -> DataFrame:
-    """Links of the sets in ``reps`` (``cid, n, th, k, pieces, below``) through inverted lists and comparison in blocks.
+def heavy_links(
+    docs: DataFrame, sets: DataFrame, reps: DataFrame, percent: int, shingle_words: int, id_col: str, text_col: str
+) -> DataFrame:
+    """Links of the sets in ``reps`` (``cid, n, th, doc_id, k, pieces, below``) through inverted lists and comparison in blocks.
 
     Clusters are formed class by class: a set is a member (``node``) of its own class and, as the larger set, of the
     class below. In one graph sets of all sizes would hang together by chance and go to blocks they cannot be linked in.
@@ -317,35 +328,45 @@ def heavy_links(docs: DataFrame, sets: DataFrame, reps: DataFrame, percent: int,
     hung = hung.withColumn("m", F.min("u").over(Window.partitionBy("v")))
     candidates = hung.select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).filter("u <> v").distinct()
     cluster = connected_components(candidates)
-    places = reps.select("cid", "n", "th", F.explode(F.array(*node.values())).alias("at"))
-    members = places.join(cluster, F.col("at") == F.col("node")).select("cid", "n", "th", "comp")
+    places = reps.select("cid", "n", "th", "doc_id", F.explode(F.array(*node.values())).alias("at"))
+    members = places.join(cluster, F.col("at") == F.col("node")).select("cid", "n", "th", "doc_id", "comp")
     blocks = members.groupBy("comp").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    members = members.join(blocks, "comp").groupBy("cid", "th").agg(F.collect_list(F.struct("comp", "blocks")).alias("at"))  # two at most
+    members = members.join(blocks, "comp").groupBy("cid", "n", "th", "doc_id").agg(F.collect_list(F.struct("comp", "blocks")).alias("at"))  # two at most
     members = written(members)
-    wanted = members.select(F.col("th").alias("wanted"), "cid", "at")
+    wanted = members.select(F.col("th").alias("wanted"), F.col("doc_id").alias("of"), "cid", "n", "at")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
+    named = (F.col("th") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("of"))
     text = text_of(text_col)
-    rows = docs.select(F.xxhash64(text).alias("th"), text.alias("text")).join(wanted, F.col("th") == F.col("wanted"))
-    rows = rows.groupBy("cid").agg(F.first("at").alias("at"), F.first("text").alias("text"))
+    rows = docs.select(F.xxhash64(text).alias("th"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
+    rows = rows.join(wanted, named).select("cid", "n", "at", "text")
+    # id and text name one row, unless rows are equal in both: only then texts are grouped, which moves all of them once more
+    if not sets.select("th", "doc_id").join(wanted, named).groupBy("cid").count().filter("count > 1").isEmpty():
+        rows = rows.groupBy("cid").agg(*(F.first(c).alias(c) for c in ("n", "at", "text")))
+    # a set for several blocks goes as shingles; one for a single block as its text, packed half of them, unless far longer
+    single = F.forall("at", lambda place: place["blocks"] == 1) & (F.octet_length("text") <= SHINGLE_TEXT * F.col("n"))
 
     def shingle(batches):
-        shingler = Shingler(shingle_words)
         for batch in batches:
-            found = [shingler.shingles(t).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary())], ["cid", "at", "s"])
-
-    made = rows.mapInArrow(shingle, "cid long, at array<struct<comp: long, blocks: int>>, s binary")
-    made = made.select("cid", "s", F.inline("at"))
+            texts, alone = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            found = [None if a else shingler(shingle_words).shingles(t).tobytes() for a, t in zip(alone, texts, strict=True)]
+            texts = [t if a else None for a, t in zip(alone, texts, strict=True)]
+            made = [pa.array(texts, batch.column(2).type), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], ["cid", "at", "text", "s"])
+
+    rows = rows.select("cid", "at", "text", single.alias("single"))
+    made = rows.mapInArrow(shingle, "cid long, at array<struct<comp: long, blocks: int>>, text string, s binary")
+    made = made.select("cid", "text", "s", F.inline("at"))
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     last = F.col("blocks") - 1
     other = F.explode(F.when(last == 0, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), last), F.col("own"))))
     dealt = made.withColumn("own", own).withColumn("other", other)
-    dealt = dealt.select("cid", "comp", "s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = dealt.select("cid", "comp", "text", "s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def compare(table: pa.Table) -> pa.Table:
-        cids = table.column("cid").to_pylist()
-        found = local_links([np.frombuffer(s, np.uint64) for s in table.column("s").to_pylist()], percent)
+        cids, texts, made = (table.column(c).to_pylist() for c in ("cid", "text", "s"))
+        sets = [shingler(shingle_words).shingles(t) if s is None else np.frombuffer(s, np.uint64) for t, s in zip(texts, made, strict=True)]
+        found = local_links(sets, percent)
         return pa.table({"u": pa.array([cids[a] for a, _ in found], pa.int64()), "v": pa.array([cids[b] for _, b in found], pa.int64())})
 
     return dealt.groupBy("comp", "i", "j").applyInArrow(compare, "u long, v long")
@@ -365,8 +386,8 @@ def linked_components(
     most = boundary({r["n"]: r["count"] for r in sizes}, percent)
     light = light_links(reps.filter(F.col("n") <= most).select("cid", "n", "small"), most, percent)
     # a light set can be linked with a heavy one only if it is nearly as large
-    heavy = reps.filter(F.col("n") * 100 >= percent * (most + 1)).select("cid", "n", "th", "k", "pieces", "below")
-    links = light.unionByName(heavy_links(docs, sets, heavy, percent, shingle_words, text_col))
+    heavy = reps.filter(F.col("n") * 100 >= percent * (most + 1)).select("cid", "n", "th", "doc_id", "k", "pieces", "below")
+    links = light.unionByName(heavy_links(docs, sets, heavy, percent, shingle_words, id_col, text_col))
     groups = connected_components(links)
     named = sets.select("doc_id", "n", "cid").join(groups, F.col("cid") == F.col("node"), "left")
     named = named.select("doc_id", "n", F.coalesce("comp", "cid").alias("comp"))

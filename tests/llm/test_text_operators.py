@@ -109,6 +109,27 @@ def test_components_of_copies_and_no_rows(spark):
     assert jaccard_join.linked_components(frame(spark, []), 90, 3).count() == 0
 
 
+def test_texts_of_candidates_move_once(spark, monkeypatch):
+    rnd = random.Random(8)
+    base = [[f"w{rnd.randint(0, 5000)}" for _ in range(size)] for size in (60, 90, 300)]
+    rows = [(len(base) * k + i, noisy(rnd, words, k)) for k in range(3) for i, words in enumerate(base)]
+    rows += [(50 + k, "ab " * (3000 + k) + " ".join(base[0][:40]) + "x" * k) for k in range(3)]  # far longer than its shingles
+    edges, real = [], jaccard_join.connected_components
+    monkeypatch.setattr(jaccard_join, "connected_components", lambda found: edges.append(found) or real(found))
+    found = jaccard_join.linked_components(frame(spark, rows, "moved"), 80, 5).collect()
+    assert {r[0]: (r[1], r[2]) for r in found} == components(rows, 80, 5)
+    plan = edges[-1]._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "first(text" not in plan
+
+    # rows that share id and text, or have no id, are told apart by nothing: they are one set, every row stays
+    twins = rows + rows[:4]
+    found = jaccard_join.linked_components(frame(spark, twins, "twins"), 80, 5).collect()
+    assert len(found) == len(twins) and {r[0]: (r[1], r[2]) for r in found} == components(rows, 80, 5)
+    nameless = [(None, text) for _, text in rows]
+    found = jaccard_join.linked_components(frame(spark, nameless + nameless[:2] + rows, "nameless"), 80, 5).collect()
+    assert {r[0]: (r[1], r[2]) for r in found if r[0] is not None} == components(rows, 80, 5)
+
+
 # -- 4 -------------------------------------------------------------------------------------------
 
 
