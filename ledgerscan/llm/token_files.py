@@ -35,12 +35,19 @@ MAGIC = b"FRV1"
 #: A block is closed at this many values, a file aims at ``FILE_IDS``.
 BLOCK_IDS = 1 << 20
 FILE_IDS = 1 << 23
-#: words remembered by a worker, after a space and at the start of a line: 80 MB and 20 MB
-KNOWN_WORDS = 400_000
+#: words remembered by a worker in an Arrow array (some 40 bytes each), chunks of other kinds (40 MB), starts of lines (20 MB)
+KNOWN_WORDS = 800_000
+KNOWN_CHUNKS = 200_000
 KNOWN_STARTS = 100_000
 #: letters of the texts whose chunks are looked up together
 BLOCK_LETTERS = 1 << 23
+#: new words encoded in one call
+NEW_WORDS = 4096
+#: Latin letters only; a subset of what the byte-level pattern takes for letters
+LETTERS = "[A-Za-zÀ-ÖØ-öø-ſ]+"
+PLAIN = f"^{LETTERS}$"
 TAILS = ".,!?;:%$&#*|"
+CLOSED = f"^{LETTERS}(?:[{TAILS}]+|[{TAILS}]*\n{LETTERS}[{TAILS}]*)$"
 
 # length in bytes of the four values of every control byte, and the masks of the lengths
 LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
@@ -131,7 +138,11 @@ class Encoder:
         self.letters = _byte_letters()
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(sorted(added, key=len, reverse=True))) if added else None
-        self.words = Chunks(self.chunk, KNOWN_WORDS)
+        #: tokens that begin with a space
+        self.opening = np.zeros(top + 1, bool)
+        self.opening[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token[:1] == self.letters[32]]] = True
+        self.known, self.ids, self.id_counts = pa.array([], pa.string()), np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        self.words = Chunks(self.chunk, KNOWN_CHUNKS)
         self.tails = Memory(self.piece, 10_000)
         self.starts = Memory(lambda word: self.piece(word.encode().decode("latin-1").translate(self.letters)), KNOWN_STARTS)
         self.words.tails, self.words.starts, self.words.line_break = self.tails, self.starts, self.piece(self.letters[10])
@@ -142,12 +153,13 @@ class Encoder:
 
     def piece(self, letters: str) -> bytes:
         """One pre-token in byte letters, by the library's model."""
-        return np.array([t.id for t in self.model.tokenize(letters)], dtype=self.dtype).tobytes()
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}{'H' if self.dtype.itemsize == 2 else 'I'}", *ids)
 
     def chunk(self, chunk: str) -> bytes:
         """A space and what follows it up to the next safe cut."""
         if _plain(chunk):
-            return self.piece("\u0120" + chunk.encode().decode("latin-1").translate(self.letters))
+            return self.piece("\u0120" + (chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(self.letters)))
         return self.whole(" " + chunk)
 
     def start(self, chunk: str) -> bytes:
@@ -175,33 +187,106 @@ class Encoder:
         bounds = split.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
         coded = split.flatten().dictionary_encode()
-        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        chunks = coded.dictionary
         index = coded.indices.to_numpy().astype(np.int64)
         # texts that hold a special token, or a space beside white space or an end, go their own way
-        odd = np.fromiter((not c or c[0] in WHITE or c[-1] in WHITE for c in chunks), bool, len(chunks))
+        length = pc.binary_length(chunks).to_numpy()
+        odd = (length == 0) | (pc.binary_length(pc.utf8_trim(chunks, WHITE_LETTERS)).to_numpy() < length)
         alone = np.add.reduceat(odd[index], bounds[:-1]) > 0 if len(texts) else np.zeros(0, bool)
         for token in self.tokenizer.get_added_tokens_decoder().values():
             alone |= pc.match_substring(texts, token.content).to_numpy(zero_copy_only=False)
         special = {k: self.encode(texts[k].as_py()) for k in np.flatnonzero(alone).tolist()}
         # a text begins without a space: its first chunk is an entry of its own, as is the end of a text
-        heads = [special[k] if k in special else self.start(chunks[at]) for k, at in enumerate(index[bounds[:-1]].tolist())]
+        begun = chunks.take(pa.array(index[bounds[:-1]])).to_pylist()
+        heads = [special[k] if k in special else self.start(c) for k, c in enumerate(begun)]
         index[bounds[:-1]] = len(chunks) + np.arange(len(heads))
         used = np.zeros(len(chunks) + len(heads), bool)
         used[index[~np.repeat(alone, np.diff(bounds))]] = True
-        entries = [self.words[c] if u else b"" for c, u in zip(chunks, used.tolist())] + heads + [end]
-        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // self.dtype.itemsize
-        starts = np.cumsum(sizes) - sizes
-        pool = np.frombuffer(b"".join(entries), dtype=self.dtype)
-        index = np.insert(index, bounds[1:], len(entries) - 1)
-        lengths = sizes[index]
-        ends = np.cumsum(lengths)
-        ids = pool[np.repeat(starts[index] - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        coding, sizes = self.coded(chunks, used[: len(chunks)])
+        apart = [*heads, end]
+        coding = np.concatenate([coding, np.frombuffer(b"".join(apart), dtype=self.dtype)])
+        sizes = np.concatenate([sizes, self.sizes(apart)])
+        index = np.insert(index, bounds[1:], len(sizes) - 1)
+        ids, ends = gathered(coding, sizes, index)
         return ids, ends[bounds[1:] + np.arange(len(heads))]
 
+    def coded(self, chunks: pa.Array, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the ``used`` ones of ``chunks`` one after another, and the number of ids of every chunk.
+
+        A word with punctuation or a line break and another word behind it is two entries, so that every word is looked
+        up once, whatever follows it.
+        """
+        cut = pc.match_substring_regex(chunks, CLOSED)
+        closed = chunks.filter(cut)
+        words = pc.replace_with_mask(chunks, cut, pc.replace_substring_regex(closed, f"(?s)^({LETTERS}).*$", r"\1")).dictionary_encode()
+        tails = pc.replace_substring_regex(closed, f"^{LETTERS}", "").dictionary_encode()
+        word = words.indices.to_numpy()
+        needed = np.zeros(len(words.dictionary), bool)
+        needed[word[used]] = True
+        coding, counts = self.entries(words.dictionary.filter(pa.array(needed)))
+        closing = [*map(self.words.behind, tails.dictionary.to_pylist()), b""]
+        sizes = np.zeros(len(needed) + len(closing), np.int64)
+        sizes[: len(needed)][needed] = counts
+        sizes[len(needed) :] = self.sizes(closing)
+        both = np.full((len(chunks), 2), len(sizes) - 1)
+        both[:, 0] = np.where(used, word, len(sizes) - 1)
+        both[np.flatnonzero(cut.to_numpy(zero_copy_only=False)), 1] = len(needed) + tails.indices.to_numpy()
+        both[~used, 1] = len(sizes) - 1
+        ids, _ = gathered(np.concatenate([coding, np.frombuffer(b"".join(closing), dtype=self.dtype)]), sizes, both.ravel())
+        return ids, sizes[both].sum(axis=1)
+
+    def entries(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks one after another, and the number of ids of each.
+
+        Words are looked up in an Arrow array; new ones go to the library many at a time: behind a space each is a
+        pre-token of its own.
+        """
+        plain = pc.match_substring_regex(chunks, PLAIN)
+        words, plain = chunks.filter(plain).cast(pa.string()), plain.to_numpy(zero_copy_only=False)
+        place = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy().astype(np.int64)
+        fresh = place < 0
+        new = words.filter(pa.array(fresh))
+        other = [*map(self.words.__getitem__, chunks.filter(pa.array(~plain)).to_pylist())]
+        made = [self.new_words(new.slice(lo, NEW_WORDS)) for lo in range(0, len(new), NEW_WORDS)]
+        ids = np.concatenate([self.ids, *(m[0] for m in made)])
+        sizes = np.concatenate([self.id_counts, *(m[1] for m in made)])
+        place[fresh] = len(self.known) + np.arange(len(new))
+        room = min(len(new), KNOWN_WORDS - len(self.known))
+        index = np.zeros(len(chunks), np.int64)
+        index[plain] = place
+        index[~plain] = len(sizes) + np.arange(len(other))
+        found = gathered(np.concatenate([ids, np.frombuffer(b"".join(other), self.dtype)]), np.concatenate([sizes, self.sizes(other)]), index)[0]
+        counts = np.concatenate([sizes, self.sizes(other)])[index]
+        if room > 0:
+            self.known = pa.concat_arrays([self.known, new.slice(0, room)])
+            self.id_counts = sizes[: len(self.known)]
+            self.ids = ids[: int(self.id_counts.sum())]
+        return found, counts
+
+    def new_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        text = " " + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
+        at = np.flatnonzero(self.opening[ids])
+        if len(at) == len(words):
+            return ids, np.diff(at, append=len(ids))
+        found = [self.chunk(word) for word in words.to_pylist()]  # a vocabulary whose tokens do not tell where a word begins
+        return np.frombuffer(b"".join(found), self.dtype), self.sizes(found)
+
+    def sizes(self, entries: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(len, entries), np.int64, len(entries)) // self.dtype.itemsize
+
+
+def gathered(values: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries ``index`` of ``values``, which holds entries of ``sizes`` one after another, and where each ends."""
+    starts = np.cumsum(sizes) - sizes
+    lengths = sizes[index]
+    ends = np.cumsum(lengths)
+    return values[np.repeat(starts[index] - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)], ends
+
 
 def _plain(word: str) -> bool:
     """Latin letters only: one pre-token of the byte-level pattern."""
-    return word.isalpha() and max(word) < "\u0180"
+    return word.isalpha() and (word.isascii() or max(word) < "\u0180")
 
 
 class Chunks(Memory):
@@ -218,6 +303,14 @@ class Chunks(Memory):
                 return b"".join((self[word], self.tail(ended[len(word) :]), self.line_break, self.starts[other], self.tail(begun[len(other) :])))
         return super().__missing__(key)
 
+    def behind(self, rest: str) -> bytes:
+        """What stands behind a word: punctuation, or a line break (punctuation before it or not) and a word, punctuation behind it or not."""
+        ended, broken, begun = rest.partition("\n")
+        if not broken:
+            return self.tail(ended)
+        word = begun.rstrip(TAILS)
+        return b"".join((self.tail(ended), self.line_break, self.starts[word], self.tail(begun[len(word) :])))
+
     def tail(self, letters: str) -> bytes:
         return self.tails[letters] if letters else b""
 
@@ -225,6 +318,7 @@ class Chunks(Memory):
 # a space beside white space, or at an end of the text; white space here is a superset of any engine's
 _WHITE = r"[\s\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]"
 WHITE = frozenset(c for c in map(chr, range(0x10000)) if re.match(_WHITE, c))
+WHITE_LETTERS = "".join(sorted(WHITE))
 ODD_SPACE = re.compile(rf" (?:{_WHITE}|\Z)|(?:{_WHITE}|\A) ")
 SAFE_CUT = re.compile(rf"(?<!{_WHITE})(?<!\A) (?!{_WHITE}|\Z)")
 

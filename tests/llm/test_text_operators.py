@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from brute import WORD, components, counts, overlapping, sha, without_lines, without_repeats
@@ -62,6 +63,34 @@ def test_token_files_equal_the_library(spark, sample, monkeypatch):
     assert sorted(tuple(r) for r in token_files.token_index(spark, folder).collect()) == expected
 
 
+def test_new_words_are_encoded_many_at_a_time(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    library, coder, rnd = Tokenizer.from_file(path), token_files.Encoder(path), random.Random(3)
+    monkeypatch.setattr(token_files, "KNOWN_WORDS", 500)
+    monkeypatch.setattr(token_files, "NEW_WORDS", 64, raising=False)
+    alone, chunk = [], coder.chunk
+    coder.chunk = coder.words.compute = lambda word: alone.append(word) or chunk(word)
+    letters = "abcdefghijklmnopqrstuvwxyzABCÀéñß\u017f\u0149ªº"
+    words = ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 9))) for _ in range(1500)]
+    ends = ["", "", "", ".", ",", "?!", ".\n", "\n", "|\n", ".\n\n", "'s", "9", " ", "\t", "日", "$\r\n"]
+    for most in (3, len(ends)):  # plain words first, then all kinds of ends
+        texts = ["", " ", "x", "<|endoftext|> a"] * (most > 3)
+        texts += ["".join(rnd.choice(["", " "] if most > 3 else [" "]) + rnd.choice(words) + rnd.choice(ends[:most]) for _ in range(400)) for _ in range(20)]
+        texts = texts if most > 3 else [t.strip() for t in texts]  # a space at an end goes another way
+        for _ in range(2):  # again, some words known
+            ids, bounds = coder.encode_all(pa.array(texts), np.array([2], coder.dtype).tobytes())
+            expected = [library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+            assert ids.tolist() == [i for e in expected for i in e]
+            assert bounds.tolist() == np.cumsum([len(e) for e in expected]).tolist()
+        if most == 3:
+            # ª and º are no letters of the pattern here, so such chunks are encoded alone
+            assert not [w for w in alone if "ª" not in w and "º" not in w]
+    assert len(coder.known) == 500 and len(coder.ids) == coder.id_counts.sum()
+    assert coder.encode_all(pa.array([], pa.string()), b"\2\0")[0].tolist() == []
+
+
 def test_token_files_of_no_rows_and_null_ids(spark):
     path = tokenizer_path("byte_bpe_50k.json")
     for rows in ([], [(None, "a b"), (None, None), (3, "a b"), (3, "a b")]):
