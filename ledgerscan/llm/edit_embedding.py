@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from ledgerscan.llm.common import prepare, text_of, without, written
 from ledgerscan.llm.components import connected_components
+from ledgerscan.plans.tables import written_in_buckets
 
 #: Samples of a fingerprint, one byte each.
 SAMPLES = 128
@@ -51,6 +52,10 @@ BLOCK = 16_384
 COMPARED = 4_096
 #: Ranges of documents for each shuffle partition, and keys drawn for each range to place their bounds.
 RANGES, KEYS = 8, 16
+#: Bits of a cell's hash: entries of a cell are compared by whole fingerprints, so others with its hash cost time only.
+CELL_BITS = 40
+#: Hexadecimal results, moved and written as bytes.
+DIGITS = ("edited_sha256", "fingerprint", "edited_fingerprint")
 
 _CHANCE = 1 / 255
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -371,16 +376,22 @@ def near_copies(prints: DataFrame, least: float = 0.8, id_col: str = "doc_id") -
     Equal fingerprints are one entry. Fingerprints are cut into bands so narrow that alike ones share a band
     (``band_width``), hence a cell. The entries of a cell are compared with its smallest one first; where that
     leaves a cell with several classes, their entries are compared with each other, so no link between classes
-    is left out. ``class_id`` is null where no document of a class has an id.
+    is left out. ``class_id`` is null where no document of a class has an id. A ``fingerprint`` is bytes or their
+    hexadecimal digits; it moves as bytes. Entries lie in buckets, so that joins do not move them again.
     """
-    prepare(prints.sparkSession)
-    docs = without(prints, "class_id").withColumn("__u", F.xxhash64("fingerprint", F.lit(1)))
-    entries = docs.groupBy(F.col("__u").alias("u")).agg(F.unhex(F.first("fingerprint")).alias("print"), F.min(f"`{id_col}`").alias("low"))
-    entries = written(entries)
+    spark = prints.sparkSession
+    prepare(spark)
+    docs = without(prints, "class_id")
+    digits = dict(docs.dtypes)["fingerprint"] == "string"
+    if digits:
+        docs = docs.withColumn("fingerprint", F.unhex("fingerprint"))
+    docs = docs.withColumn("__u", F.xxhash64("fingerprint", F.lit(1)))
+    entries = docs.groupBy(F.col("__u").alias("u")).agg(F.first("fingerprint").alias("print"), F.min(f"`{id_col}`").alias("low"))
+    entries = written_in_buckets(entries, "u", int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     width = band_width(least)
     band = [F.substring("print", 1 + at, min(width, SAMPLES - at)) for at in range(0, SAMPLES, width)]
     empty = [F.lit(bytes(min(width, SAMPLES - at))) for at in range(0, SAMPLES, width)]
-    cells = F.array(*[F.when(b != e, F.xxhash64(F.lit(k), b)) for k, (b, e) in enumerate(zip(band, empty, strict=True))])
+    cells = F.array(*[F.when(b != e, F.shiftrightunsigned(F.xxhash64(F.lit(k), b), 64 - CELL_BITS)) for k, (b, e) in enumerate(zip(band, empty, strict=True))])
     cells = entries.select("u", F.explode(F.array_compact(cells)).alias("cell"))
     whole = Window.partitionBy("cell")
     cells = cells.withColumn("v", F.min("u").over(whole)).withColumn("n", F.count(F.lit(1)).over(whole))
@@ -399,4 +410,12 @@ def near_copies(prints: DataFrame, least: float = 0.8, id_col: str = "doc_id") -
     named = written(named.select("u", "low", F.coalesce("joined", "comp").alias("comp")))
     lows = named.groupBy("comp").agg(F.min("low").alias("class_id"))
     named = written(named.join(lows, "comp").select(F.col("u").alias("__u"), "class_id"))
-    return docs.join(named, "__u").drop("__u")
+    found = docs.join(named, "__u").drop("__u")
+    return found.withColumn("fingerprint", F.lower(F.hex("fingerprint"))) if digits else found
+
+
+def fingerprint_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``edited_fingerprints`` with the hash of the edited text in place of it, and ``near_copies`` of all documents."""
+    found = edited_fingerprints(df, id_col, text_col).withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+    found = written(found.withColumns({c: F.unhex(c) for c in DIGITS}))
+    return near_copies(found, id_col=id_col).withColumns({c: F.lower(F.hex(c)) for c in DIGITS})

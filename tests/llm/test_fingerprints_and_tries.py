@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from brute import WORD, sha
 
-from ledgerscan.llm import edit_embedding, fill_in_middle, prefix_trie
+from ledgerscan.llm import edit_embedding, fill_in_middle, prefix_trie, queries
 
 TOKEN = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 ODD = ["", " ", "\n \t", "a", " lead and trail \r\n", "é Σ İ 你好 🙂 \x85 \xa0x", "has <P> inside", "<S>", "<M", "<", "P>", "<<P", "one\x0btwo\x0cthree", "x" * 70_000 + " y" * 30_000]
@@ -249,3 +249,21 @@ def test_near_copies_link_all_pairs_of_the_likeness(spark, monkeypatch, least, b
     prints = spark.createDataFrame([(i, p.tobytes().hex()) for i, p in enumerate(made)], "doc_id long, fingerprint string")
     found = {r.doc_id: r.class_id for r in edit_embedding.near_copies(prints, least).collect()}
     assert found == {i: find(i) for i in range(len(made))}
+
+
+def test_fingerprints_move_as_bytes(spark):
+    """The query shuffles bytes, not their digits, and joins entries where they lie; its rows are those of both operators."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    found = queries.QUERIES["op11_edit_fingerprints"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert all(f"lower(hex({c}#" in plan.split("Join")[0] for c in edit_embedding.DIGITS)
+    prints = edit_embedding.edited_fingerprints(docs)
+    edited = {r.doc_id: r for r in prints.collect()}
+    classes = {r.doc_id: r for r in edit_embedding.near_copies(prints.drop("edited")).collect()}
+    rows = found.collect()
+    assert len(rows) == len(edited) == len(classes) == docs.count()
+    for r in rows:
+        e, c = edited[r.doc_id], classes[r.doc_id]
+        assert r.edited_sha256 == hashlib.sha256(e.edited.encode()).hexdigest()
+        assert (r.n_chars, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) == (e.n_chars, e.fingerprint, e.edited_fingerprint, e.near_edited, e.near_next)
+        assert (r.fingerprint, r.class_id) == (c.fingerprint, c.class_id)
