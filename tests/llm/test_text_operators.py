@@ -208,6 +208,22 @@ def test_suffixes_are_sorted():
     assert [bytes(data[k : k + 5]) for k in order] == sorted(bytes(data[k : k + 5]) for k in start)
 
 
+def test_only_suffixes_with_a_shared_hash_are_sorted(monkeypatch):
+    """Classes are those of the strings in a segment; strings that no other one is equal to are not sorted."""
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 99, 3000).astype(np.uint8)
+    start, length, segment = rng.integers(0, 2900, 500), np.repeat([5, 9, 60], [200, 200, 100]), np.repeat([0, 1, 2, 3], [100, 100, 200, 100])
+    start[-1] = start[-2]
+    sorted_ = []
+    plain = suffix_dedup.Suffixes.order
+    monkeypatch.setattr(suffix_dedup.Suffixes, "order", lambda self, a, n, s: sorted_.append(len(a)) or plain(self, a, n, s))
+    found = suffix_dedup.Suffixes(data, np.zeros(len(data), np.int64)).classes(start, length, segment)
+    strings = [(s, bytes(data[a : a + n])) for a, n, s in zip(start, length, segment, strict=True)]
+    times = Counter(strings)
+    assert sorted_ == [sum(times[x] > 1 for x in strings)] and 0 < sorted_[0] < 500
+    assert len({*zip(found.tolist(), strings, strict=True)}) == len({*found.tolist()}) == len(times)
+
+
 # -- 8 -------------------------------------------------------------------------------------------
 
 
