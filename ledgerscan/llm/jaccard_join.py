@@ -7,8 +7,10 @@ less than scanning, computed from the counts of sizes.
 
 The lists of heavy sets are keyed by pieces: the shingles of a set are dealt by their hash into one
 piece more than two linked sets can differ in, so linked sets have a piece in common (lists of single
-shingles would hold every document with a frequent phrase). Sets of one list form a candidate
-cluster; clusters are compared exactly, in blocks of bounded size, around pivots: what is linked to a
+shingles would hold every document with a frequent phrase). Sets of one list whose sketches allow a
+link form a candidate cluster: a sketch has a bit for every class of shingles, the parity of their
+number, so two sets differ in as many shingles at least as their sketches in bits, and no link is lost.
+Clusters are compared exactly, in blocks of bounded size, around pivots: what is linked to a
 pivot needs no comparison among itself, and the triangle inequality of the Jaccard distance leaves out
 most of the rest. A block gives a spanning forest, never all pairs. Equal sets are one set from the start.
 
@@ -160,37 +162,70 @@ def signatures(shingles: np.ndarray, classes: list[int], percent: int) -> list[n
     return [np.concatenate(out) if out else np.zeros(0, np.uint64) for out in both]
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the number of shingles by hash, one bit a shingle at least; a power of two bits, 64 or more."""
+    bits = 64 << max(0, (len(shingles) - 1).bit_length() - 6)
+    odd = np.bincount((mix(shingles) >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(words: np.ndarray, n: int) -> np.ndarray:
+    """A sketch of ``n`` words out of one of more: bits of places that are equal in the shorter one are added."""
+    return np.bitwise_xor.reduce(words.reshape(-1, n), axis=0)
+
+
+def near_sketches(sketches: list[np.ndarray], sizes: np.ndarray, own: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs, one of them ``own`` at least, whose sketches allow a link."""
+    n = min(map(len, sketches))
+    words = np.stack([folded(s, n) for s in sketches])
+    left, edges = np.arange(len(sizes)), []
+    while len(left) > 1:
+        reached, left = [left[0]], left[1:]
+        while reached and len(left):
+            p = reached.pop()
+            total = sizes[left] + sizes[p]
+            most = total - 2 * -(-percent * total // (100 + percent))  # shingles in which linked sets can differ
+            least = np.maximum(np.bitwise_count(words[left] ^ words[p]).sum(axis=1, dtype=np.int64), abs(sizes[left] - sizes[p]))
+            hit = (least <= most) & (own[left] | own[p])
+            found, left = left[hit], left[~hit]
+            edges += [(int(p), int(x)) for x in found]
+            reached += found.tolist()
+    return edges
+
+
 def set_table(docs: DataFrame, percent: int, shingle_words: int, id_col: str, text_col: str) -> DataFrame:
     """One row per document: ``doc_id, th`` (text hash), ``n, cid, k`` (set and its size class), ``pieces``, ``below``
-    (of its own class and the one below), ``small``; written."""
+    (of its own class and the one below), ``small``, ``sketch``; written."""
     prepare(docs.sparkSession)
     classes = size_classes(percent)
 
     def run(batches):
         shingler = Shingler(shingle_words)
         for batch in batches:
-            n, cid, cls, sig, below, small = [], [], [], [], [], []
+            n, cid, cls, sig, below, small, sketches = [], [], [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 s = shingler.shingles(text)
                 n.append(len(s))
                 if not len(s):
-                    cid.append(None), cls.append(None), sig.append(None), below.append(None), small.append(None)
+                    cid.append(None), cls.append(None), sig.append(None), below.append(None), small.append(None), sketches.append(None)
                     continue
                 cid.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
                 cls.append(class_of(len(s), classes))
                 for found, into in zip(signatures(s, classes, percent), (sig, below), strict=True):
                     into.append(found.view(np.int64))
                 small.append(s.view(np.int64) if len(s) <= LIGHT_MOST else None)
+                sketches.append(sketch(s).tobytes())
             kind = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(cls, pa.int32())]
-                + [pa.array(x, kind) for x in (sig, below, small)],
-                ["doc_id", "th", "n", "cid", "k", "pieces", "below", "small"],
+                + [*(pa.array(x, kind) for x in (sig, below, small)), pa.array(sketches, pa.binary())],
+                ["doc_id", "th", "n", "cid", "k", "pieces", "below", "small", "sketch"],
             )
 
     text = text_of(text_col)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    made = rows.mapInArrow(run, "doc_id long, th long, n long, cid long, k int, pieces array<long>, below array<long>, small array<long>")
+    kinds = "doc_id long, th long, n long, cid long, k int, pieces array<long>, below array<long>, small array<long>, sketch binary"
+    made = rows.mapInArrow(run, kinds)
     return written(made.withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -310,21 +345,48 @@ def local_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return links
 
 
+def allowed(stars: DataFrame, percent: int) -> DataFrame:
+    """Links ``u, v`` that sketches allow within each of ``stars``: lists ``star`` of ``node, n, own, sketch``."""
+
+    def run(batches):
+        for batch in batches:
+            stars = batch.column(0)
+            nodes, sizes, own = (stars.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "own"))
+            sketches = [np.frombuffer(s.as_buffer(), np.uint64) for s in stars.flatten().field("sketch")]
+            ends = np.cumsum(stars.value_lengths().to_numpy())
+            u, v = [], []
+            for lo, hi in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+                for a, b in near_sketches(sketches[lo:hi], sizes[lo:hi], own[lo:hi], percent):
+                    u.append(min(nodes[lo + a], nodes[lo + b])), v.append(max(nodes[lo + a], nodes[lo + b]))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return stars.select("star").mapInArrow(run, "u long, v long")
+
+
 def heavy_links(
     docs: DataFrame, sets: DataFrame, reps: DataFrame, percent: int, shingle_words: int, id_col: str, text_col: str
 ) -> DataFrame:
-    """Links of the sets in ``reps`` (``cid, n, th, doc_id, k, pieces, below``) through inverted lists and comparison in blocks.
+    """Links of the sets in ``reps`` (``row, cid, n, th, doc_id, pieces, below, sketch``) through inverted lists and comparison in blocks.
 
     Clusters are formed class by class: a set is a member (``node``) of its own class and, as the larger set, of the
     class below. In one graph sets of all sizes would hang together by chance and go to blocks they cannot be linked in.
+    Long sets of one class share pieces by chance too, each with a share of all others: only links that the sketches
+    allow are followed, or clusters and blocks a set would grow with the corpus.
     """
-    node = {"pieces": F.xxhash64("cid", "k"), "below": F.xxhash64("cid", F.col("k") - 1)}
-    lists = [reps.select(at.alias("node"), F.lit(c == "pieces").alias("own"), F.explode(c).alias("piece")) for c, at in node.items()]
+    # numbers of rows are packed better than hashes; the last bit tells the set's own class from the one below
+    node = {"pieces": F.col("row") * 2 + 1, "below": F.col("row") * 2}
+    own = F.col("node").bitwiseAND(1) == 1
+    lists = [reps.select(at.alias("node"), F.explode(c).alias("piece")) for c, at in node.items()]
     group = Window.partitionBy("piece")
     # lists of larger sets only say nothing that those of their own class do not
-    led = lists[0].unionByName(lists[1]).withColumns({"u": F.min("node").over(group), "some": F.max("own").over(group)})
+    led = lists[0].unionByName(lists[1]).withColumns({"u": F.min("node").over(group), "some": F.max(own).over(group)})
+    # sets of one list are all in the star of its leader
+    stars = led.filter("some and u <> node").select("u", F.explode(F.array("u", "node")).alias("node")).distinct()
+    known = reps.select(F.explode(F.array(*node.values())).alias("at"), "n", "sketch")
+    stars = stars.join(known, F.col("node") == F.col("at"))
+    stars = stars.groupBy("u").agg(F.collect_list(F.struct("node", "n", own.alias("own"), "sketch")).alias("star"))
     # a set hangs on the smallest of its leaders, and so do its other leaders: as connected, with far fewer edges
-    hung = led.filter("some and u <> node").select("u", F.col("node").alias("v")).distinct()
+    hung = allowed(stars, percent).distinct()
     hung = hung.withColumn("m", F.min("u").over(Window.partitionBy("v")))
     candidates = hung.select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).filter("u <> v").distinct()
     cluster = connected_components(candidates)
@@ -386,7 +448,7 @@ def linked_components(
     most = boundary({r["n"]: r["count"] for r in sizes}, percent)
     light = light_links(reps.filter(F.col("n") <= most).select("cid", "n", "small"), most, percent)
     # a light set can be linked with a heavy one only if it is nearly as large
-    heavy = reps.filter(F.col("n") * 100 >= percent * (most + 1)).select("cid", "n", "th", "doc_id", "k", "pieces", "below")
+    heavy = reps.filter(F.col("n") * 100 >= percent * (most + 1)).select("row", "cid", "n", "th", "doc_id", "pieces", "below", "sketch")
     links = light.unionByName(heavy_links(docs, sets, heavy, percent, shingle_words, id_col, text_col))
     groups = connected_components(links)
     named = sets.select("doc_id", "n", "cid").join(groups, F.col("cid") == F.col("node"), "left")

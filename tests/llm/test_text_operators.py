@@ -392,3 +392,38 @@ def test_candidate_clusters_hold_sets_of_like_sizes_only(spark, monkeypatch):
     members = [r["count"] for r in clusters[0].groupBy("comp").count().collect()]
     # sizes of a cluster differ by two classes at most, not by a factor of 25
     assert len(members) >= 10 and max(members) <= 6, members
+
+
+def test_chance_pieces_make_no_clusters(spark, monkeypatch):
+    """Long texts of few words share many shingles and so whole pieces; only those that can be linked are clustered."""
+    rnd = random.Random(21)
+    rows = [(k, " ".join(rnd.choice("abcdef") for _ in range(3000))) for k in range(40)]
+    rows += [(100 + k, noisy(rnd, rows[k][1].split(), 30)) for k in range(3)]
+    clusters, real = [], jaccard_join.connected_components
+    monkeypatch.setattr(jaccard_join, "connected_components", lambda edges: clusters.append(real(edges)) or clusters[-1])
+    found = jaccard_join.linked_components(frame(spark, rows), 80, 5).collect()
+    assert {r[0]: (r[1], r[2]) for r in found} == components(rows, 80, 5)
+    assert max(r["count"] for r in clusters[0].groupBy("comp").count().collect()) <= 4
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_sketches_allow_every_link(percent):
+    rnd = np.random.default_rng(3)
+    sets = []
+    for n in (1, 2, 5, 30, 63, 64, 65, 200, 1000, 5000):
+        base = rnd.integers(0, 1 << 63, n).astype(np.uint64)
+        for gone in (0, 1, n // 20, n // 10, n // 5):
+            fresh = rnd.integers(0, 1 << 63, gone).astype(np.uint64)
+            sets += [np.unique(base[gone:]), np.unique(np.concatenate([base[gone:], fresh])), np.unique(np.concatenate([base, fresh]))]
+    sets = [s for s in sets if len(s)]
+    for s in sets:  # a longer sketch folds to a shorter one and keeps the bound
+        assert len(jaccard_join.sketch(s)) * 64 >= len(s)
+    edges = jaccard_join.near_sketches([jaccard_join.sketch(s) for s in sets], np.array([len(s) for s in sets]), np.ones(len(sets), bool), percent)
+    group = [*range(len(sets))]
+    for a, b in edges:
+        group = [group[a] if g == group[b] else g for g in group]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(both := np.intersect1d(sets[a], sets[b])) >= percent * (len(sets[a]) + len(sets[b]) - len(both))]
+    assert len(links) > 50 and all(group[a] == group[b] for a, b in links)
+    for sizes in ((300, 310, 380), (5000, 5100, 7000)):
+        unlike = [jaccard_join.sketch(np.unique(rnd.integers(0, 1 << 63, n).astype(np.uint64))) for n in sizes]
+        assert not jaccard_join.near_sketches(unlike, np.array(sizes), np.ones(3, bool), percent)
