@@ -88,6 +88,39 @@ def test_toxicity_on_held_out_labels(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in found)
 
 
+@pytest.mark.parametrize("size", [1 << 30, 24_000])
+def test_every_labelled_row_is_fitted(spark, monkeypatch, size):
+    """Words that only rows after the first 2,500 of a class have, by hash of their id, tell the class too."""
+    monkeypatch.setattr(toxicity, "SHARD_BYTES", size, raising=False)
+    ids = [r[0] for r in spark.range(8000).orderBy(F.xxhash64("id"), "id").collect()]
+    labels, rows = [], []
+    for y, common, rare in ((0, "calm", "plork"), (1, "rude", "zork")):
+        own = ids[y::2]
+        labels += [(i, y) for i in own]
+        rows += [(i, f"some {common if k < 3200 else rare + str(k % 20)} words") for k, i in enumerate(own)]
+        rows += [(10_000 + 100 * y + k, f"some {rare}{k} words") for k in range(20)]
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in toxicity.toxicity(docs, labels).collect()}
+    assert len(found) == len(rows)
+    assert [found[10_000 + 100 * y + k]["predicted"] for y in (0, 1) for k in range(20)] == [0] * 20 + [1] * 20
+    # however rows are cut
+    one, two = (toxicity.fitted(d, k, "doc_id", "text", "toxic") for d, k in ((docs, labels), (docs.repartition(7, "text"), labels.repartition(3))))
+    assert np.array_equal(one.dense, two.dense) and np.array_equal(one.embedding, two.embedding) and one.thresholds == two.thresholds
+
+
+def test_shards_hold_all_rows_and_labels_of_one_class(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, None), (2, "der die"), (3, "c"), (None, "d"), (4, "e")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 0), (1, 1), (2, 1), (3, None), (None, 1), (4, 5), (9, 1)], "doc_id long, toxic int")
+    rows = toxicity.labelled(docs, labels, "doc_id", "text", "toxic")
+    found = [x for batch in toxicity.shards(rows, 3).toArrow().to_batches() for x in toxicity.unpacked(batch)]
+    texts = sorted((int(k), toxicity.NAMES[name], len(t)) for _, y, _, names, all_ in found for k, name, t in zip(y, names, all_, strict=True))
+    assert texts == sorted([(k, "other", n) for k in (0, 1) for n in (2, 2, 0)] + [(1, "de", 2)])
+    for y, share in ((0, 0.0), (1, 1.0)):
+        assert toxicity.fitted(docs, labels.filter(f"toxic = {y}"), "doc_id", "text", "toxic") == share
+    assert toxicity.fitted(docs, labels.limit(0), "doc_id", "text", "toxic") == 0.0
+
+
 def test_scores_do_not_depend_on_company_and_bad_rows(spark):
     model = toxicity.Model()
     model.thresholds = {"": 0.1}
